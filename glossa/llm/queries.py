@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix
 from .sharding import shard_documents
 from .token_counts import count_tokens
+from .toxicity import toxicity
 from .url_filters import SPAM_TOKENS, Rule, judge_urls
 
 #: The rule table of op2.
@@ -30,6 +31,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -50,6 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
@@ -76,6 +82,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, host, path, rule,
             coalesce(best.verdict, CASE WHEN regexp_matches(host, '(^|[^a-z0-9])({_SPAM})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
         FROM parts LEFT JOIN best USING (r)""",
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": """
         WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
