@@ -34,7 +34,9 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Characters of a chunk.
 CHUNK = 1 << 15
 #: Words whose counts a worker remembers.
-MEMO = 600_000
+MEMO = 1_200_000
+#: States of the merger that a worker keeps.
+STATES = 500_000
 
 _PIECE = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 _SPACE = re.compile(f"[{SPACES}]")
@@ -60,73 +62,84 @@ def load_vocabulary(path: str) -> tuple[list[tuple[bytes, bytes]], list[str]]:
 class Merger:
     """The transducer over the bytes of a pre-token, compiled as it is used."""
 
-    def __init__(self, merges: list[tuple[bytes, bytes]]):
+    def __init__(self, merges: list[tuple[bytes, bytes]], most: int = STATES):
+        self.most = most
         self.rank = {pair: k for k, pair in enumerate(merges)}
-        self.tokens = {bytes([b]) for b in range(256)} | {a + b for a, b in merges}
+        #: Of each token that a merge makes: that merge's rank and its two parts.
+        self.made = {a + b: (k, a, b) for k, (a, b) in reversed(list(enumerate(merges)))}
+        self.tokens = {bytes([b]) for b in range(256)} | self.made.keys()
         self.stems = {t[:k] for t in self.tokens for k in range(len(t))}
-        self.longest = max(map(len, self.tokens))
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self._clear()
+
+    def _clear(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.keys: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, int]]] = []
-        self.start = self._state((b"", ((b"", 0),)))
+        self.steps: dict[int, tuple[int, int]] = {}  # by state * 256 + byte: next state * 256, change of the count
+        self._state((b"", ((b"", 0),)))
 
     def _state(self, key: tuple) -> int:
-        if key not in self.ids:
-            self.ids[key] = len(self.keys)
+        at = self.ids.get(key)
+        if at is None:
+            at = self.ids[key] = len(self.keys)
             self.keys.append(key)
-            self.steps.append({})
-        return self.ids[key]
-
-    def encode(self, data: bytes) -> list[bytes]:
-        """Merges applied by rank, the plain way; for short strings."""
-        parts = [data[k : k + 1] for k in range(len(data))]
-        while len(parts) > 1:
-            ranks = [self.rank.get(p, 1 << 60) for p in zip(parts, parts[1:])]
-            k = ranks.index(min(ranks))
-            if ranks[k] == 1 << 60:
-                break
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+        return at << 8
 
     def compatible(self, left: bytes, right: bytes) -> bool:
+        """Whether the merges leave ``left + right`` as these two tokens; ``left`` may be empty.
+
+        The merges that made the two are undone from the last one back.  Before each,
+        the parts that then met at the border must not have had a merge of their own
+        that came first: one of lower rank, or of equal rank and further to the left.
+        """
         if not left:
-            return self.encode(right) == [right]
-        pair = left, right
-        if pair not in self.fits:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            self.fits[pair] = self.encode(left + right) == [left, right]
-        return self.fits[pair]
-
-    def _step(self, state: int, byte: int) -> tuple[int, int]:
-        """(next state, change of the count)."""
-        suffix, ends = self.keys[state]
-        grown = suffix + bytes([byte])
-        for k in range(len(grown)):  # the longest candidate first; just one is right
-            token = grown[k:]
-            last, count = ends[k]
-            if token in self.tokens and self.compatible(last, token):
+            return True
+        rank, made = self.rank, self.made
+        limit = 1 << 60
+        while True:
+            if rank.get((left, right), 1 << 60) < limit:
+                return False
+            a, b = made.get(left), made.get(right)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and a[0] > b[0]):
+                limit, left = a[0], a[2]
+            else:
+                limit, right = b[0] + 1, b[1]
+
+    def _step(self, at: int, byte: int) -> tuple[int, int]:
+        """(next state * 256, change of the count)."""
+        suffix, ends = self.keys[at >> 8]
+        grown = suffix + bytes((byte,))
+        tokens, stems = self.tokens, self.stems
+        places = [(grown[i:], *ends[i]) for i in range(len(ends)) if ends[i] is not None]
+        for token, last, count in places:  # the longest candidate first; just one is right
+            if token in tokens and self.compatible(last, token):
                 break
         else:
             raise ValueError("the vocabulary lacks a single byte")
-        ends = (*ends, (token, count + 1))
-        drop = next(k for k in range(len(grown) + 1) if grown[k:] in self.stems)
         change = count + 1
-        out = self._state((grown[drop:], tuple((t, n - change) for t, n in ends[drop:])))
-        self.steps[state][byte] = out, change
+        # A place from which no vocabulary entry goes on like the text can't begin a token any more; it is forgotten.
+        kept = [(rest, last, n - change) for rest, last, n in places if rest in stems]
+        if kept:
+            grown = kept[0][0]
+            ends = [None] * len(grown) + [(token, 0)]
+            for rest, last, n in kept:
+                ends[len(grown) - len(rest)] = last, n
+            out = self._state((grown, tuple(ends)))
+        else:
+            out = self._state((b"", ((token, 0),)))
+        self.steps[at + byte] = out, change
         return out, change
 
     def count(self, data: bytes) -> int:
-        if len(self.keys) > 1_000_000:  # bounded memory: compile anew what is still in use
-            self.ids.clear(), self.keys.clear(), self.steps.clear()
-            self.start = self._state((b"", ((b"", 0),)))
-        state, total, steps = self.start, 0, self.steps
+        if len(self.keys) > self.most:  # bounded memory: what is still in use is compiled anew
+            self._clear()
+        at, total, known = 0, 0, self.steps.get
         for byte in data:
-            step = steps[state].get(byte)
+            step = known(at + byte)
             if step is None:
-                step = self._step(state, byte)
-            state = step[0]
+                step = self._step(at, byte)
+            at = step[0]
             total += step[1]
         return total
 
@@ -217,11 +230,23 @@ class Counter:
 
     def _piece(self, piece: str) -> int:
         """Tokens of spaces and the word after them: one transition between synchronising steps."""
-        n = sum(self.merger.count(t.encode("utf-8", "surrogatepass")) for t in self.pretokens(piece))
+        n, memo = 0, self.memo
+        core = piece.rstrip(".,")
+        if (core[1:] if core[:1] == " " else core).isalpha():  # letters, then stops: the splitter's most common paths, at once
+            words = (core, piece[len(core) :]) if len(core) < len(piece) else (core,)
+        else:
+            words = self.pretokens(piece)
+        for word in words:
+            known = memo.get(word)
+            if known is None:
+                known = self.merger.count(word.encode("utf-8", "surrogatepass"))
+                if len(word) <= 64:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[word] = known
+            n += known
         if len(piece) <= 64:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[piece] = n
+            memo[piece] = n
         return n
 
     def _run(self, text: str) -> int:
