@@ -286,10 +286,10 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", columns: t
     Null and empty texts get the model's score of a text without features; long texts
     are read whole; repeated rows are scored each and alike.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast((model.counts, model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shipped.value)
+        scorer = Scorer(Model(*shipped.value))
         for batch in batches:
             scores = [scorer.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*columns, name])
