@@ -3,7 +3,10 @@
 Equal vectors are one class from the start.  Cells are fitted on a bounded sample;
 every class is indexed in the cell of its nearest centroid.  A pair that is close
 enough but lies in two cells is close to the plane between their centroids, so each
-class is also a guest of all cells whose plane is that near; no pair is lost.
+class is also a guest of cells whose plane is near.  How near decides between effort
+and recall: with ``margin=None`` the bound is that of the threshold itself and no pair
+is lost; with a margin m it is m standard deviations of how far a random direction
+carries a pair across a plane (the pair's distance over the root of the dimension).
 Cells are cut into blocks of bounded size, each product of two blocks is a task's
 unit of work, and what leaves a unit is a count for each member and a spanning
 forest of its links, never all pairs.
@@ -26,7 +29,9 @@ from .staging import stage
 #: Classes that the centroids are fitted on, at most about.
 SAMPLE = 20_000
 #: Classes a cell is meant to have, and most cells; the table of centroids is bounded by the latter.
-CELL, MOST_CELLS = 1500, 16_384
+CELL, MOST_CELLS = 400, 16_384
+#: Standard deviations of a pair across the plane between two cells that are searched.
+MARGIN = 2.0
 #: Members of a block.
 BLOCK = 2048
 #: Parts into which the members of one class are salted.
@@ -39,11 +44,13 @@ def valid_vector(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+def near_duplicate_vectors(
+    vectors: DataFrame, threshold: float = 0.95, vector: str = "embedding", key: str = "vec_id", margin: float | None = MARGIN
+) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept``.
 
     Rows link when the cosine of their vectors, in double precision, is at least
-    ``threshold``.  Vectors that are null, empty, zero or hold null or non-finite
+    ``threshold`` and the index finds the pair (always with ``margin=None``).  Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing, nor do rows with a null key or vectors of unequal
     length.  Rows that repeat a vector link with each other, those that repeat a key
     too.  ``component_id`` is the smallest key reachable by links, the row's own
@@ -60,7 +67,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, vector:
     )
     classes = stage(found, "vector-classes")
 
-    links = stage(_links(classes, threshold), "vector-links")
+    links = stage(_links(classes, threshold, margin), "vector-links")
     counts = links.where("other is null").groupBy("mark").agg(F.sum("n").alias("linked"))
     labels = components(links.where("other is not null").select(F.col("mark").alias("a"), F.col("other").alias("b")))
     known = classes.select("mark", "least", "many", "salts").join(counts, "mark", "left").join(labels.withColumnRenamed("node", "mark"), "mark", "left")
@@ -99,7 +106,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _links(classes: DataFrame, threshold: float) -> DataFrame:
+def _links(classes: DataFrame, threshold: float, margin: float | None) -> DataFrame:
     """``mark, other, n``: forest links where ``other`` is set, else ``n`` more rows that ``mark`` links with."""
     spark = classes.sparkSession
     sizes = {r["d"]: r["count"] for r in classes.groupBy(F.size("v").alias("d")).count().collect()}  # one row a vector length
@@ -113,7 +120,7 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
             if cells > 1:
                 centroids[d] = fit_centroids(_unit(np.array(own)), cells)
     shipped = spark.sparkContext.broadcast(centroids)
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    apart_at_most = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart = {d: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) if len(c) <= 2048 else None for d, c in shipped.value.items()}
@@ -127,6 +134,7 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
                 if cent is None:
                     cells, home = np.zeros(1, int), 0
                 else:
+                    reach = apart_at_most * (1 if margin is None else min(1.0, margin / math.sqrt(d)))
                     score = cent @ _unit(flat[None, a:b])[0]
                     home = int(score.argmax())
                     gap = apart[d][home] if apart[d] is not None else np.sqrt(np.maximum(0, 2 - 2 * cent @ cent[home]))
