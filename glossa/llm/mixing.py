@@ -63,7 +63,7 @@ def mix(
     weights: tuple[float, ...] = (3.0, 1.0, 2.0),
     most: float = 2.0,
     levels: int = LEVELS,
-    carry: bool = False,
+    carry: bool | None = False,
 ) -> DataFrame:
     """One row per input row: ``doc_id, size, source_size, target, taken, copies, shards``.
 
@@ -77,20 +77,19 @@ def mix(
     With ``carry``, one row per taken copy: the columns of ``docs``, then ``shard`` and
     ``position`` (a hash that orders the shard) under names that clash with none.
     """
-    fields = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    if carry:
+        return _copies(docs, mix(docs, text, key, source, share, weights, most, levels, None), text, key)
     rows = docs.select(
         F.col(key).alias("id"),
         F.col(source).cast("string").alias("source"),
         word_count(F.col(text)).alias("size"),
         F.xxhash64(F.lit(41), key).alias("order"),
         F.xxhash64(text).alias("digest"),
-        *fields,
     ).withColumn("piece", F.pmod(F.shiftright("order", 20), F.lit(PIECES)).cast("int"))
-    rows = rows if carry else stage(rows, "mix-rows")
-    narrow = rows.drop("row")
+    rows = stage(rows, "mix-rows")
 
     # Where on its source's line each piece begins: PIECES rows a source.
-    pieces = narrow.groupBy("source", "piece").agg(F.sum("size").alias("words"))
+    pieces = rows.groupBy("source", "piece").agg(F.sum("size").alias("words"))
     line = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = stage(pieces, "mix-pieces")
     targets = source_targets(pieces.groupBy("source").agg(F.sum("words").alias("source_size")), share, weights, most)
@@ -114,13 +113,25 @@ def mix(
     tree = splitting_tree(table.select(F.col("of").alias("source"), "source_size", "target").distinct(), levels)
     rows = rows.join(tree, rows["source"].eqNullSafe(tree["of"]) & (rows["block"] == tree["leaf_block"]), "left")
     shards = F.slice(F.coalesce("leaf_shards", F.array().cast("array<int>")), 1, F.col("copies"))
-    if not carry:
-        return rows.select(
-            F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", shards.alias("shards")
-        )
+    if carry is None:
+        return rows.select("id", "digest", "again", "copies", shards.alias("shards"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", shards.alias("shards")
+    )
+
+
+def _copies(docs: DataFrame, plan: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of ``docs``, each as often as the plan takes it, dealt to shards and shuffled there."""
     shard, position = fresh(docs, "shard", "position")
-    out = rows.select("row", "id", "again", "digest", F.posexplode(shards).alias("copy", "shard"))
-    out = out.select("row.*", F.col("shard").alias(shard), F.xxhash64(F.lit(43), "id", "digest", "again", "copy").alias(position))
+    # Rows that repeat key and text are interchangeable: the n-th gets the n-th entry.
+    plan = stage(plan.where("copies > 0"), "mix-plan")
+    plan = plan.groupBy(F.col("id").alias("plan_id"), F.col("digest").alias("plan_digest")).agg(F.array_sort(F.collect_list(F.struct("again", "shards"))).alias("entries"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("digest"))
+    rows = rows.join(plan, rows["id"].eqNullSafe(plan["plan_id"]) & (rows["digest"] == plan["plan_digest"]))
+    rows = rows.withColumn("again", F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.xxhash64("row"))))
+    shards = F.get(F.col("entries.shards"), F.col("again") - 1)
+    out = rows.select("row", "id", "again", "digest", F.posexplode(shards).alias("copy", "to"))
+    out = out.select("row.*", F.col("to").alias(shard), F.xxhash64(F.lit(43), "id", "digest", "again", "copy").alias(position))
     return out.repartition(shard, F.pmod(F.col(position), F.lit(64))).sortWithinPartitions(shard, position)
 
 

@@ -10,6 +10,7 @@ from .embedding_dedup import near_duplicate_vectors
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .mixing import mix
+from .packing import pack_documents
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .token_counts import count_tokens
@@ -30,6 +31,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -69,6 +74,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filters": op2_url_filters,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_secret_scans": op4_secret_scans,
@@ -100,10 +106,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, host, path, rule,
             coalesce(best.verdict, CASE WHEN regexp_matches(host, '(^|[^a-z0-9])({_SPAM})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
         FROM parts LEFT JOIN best USING (r)""",
-    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
-    "op4_secret_scans": op4_secret_scans,
-    "op5_embedding_dedup": op5_embedding_dedup,
-    "op6_toxicity": op6_toxicity,
     "op3_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import fresh, stage
 
 #: Labelled rows of each class that fit the classifier, at most about.
 TRAINING_ROWS = {1: 6000, 0: 12000}
@@ -287,16 +287,25 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", columns: t
     are read whole; repeated rows are scored each and alike.
     """
     shipped = docs.sparkSession.sparkContext.broadcast((model.counts, model.weights, model.bias))
+    asked = list(columns) if text in columns else [*columns, text]
+    at = asked.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(*shipped.value))
         for batch in batches:
-            scores = [scorer.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*columns, name])
+            scores = [scorer.score(t) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(scores, pa.float64())], [*columns, name])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).alias("body"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in asked])
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInArrow(run, f"{kinds}, {name} double")
+    return rows.mapInArrow(run, f"{kinds}, `{name}` double")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with their columns alone."""
+    model = train(docs, labels.where(~held_out(key)), character_counts(docs, text), text, key)
+    (name,) = fresh(docs, "score")
+    return score_toxicity(docs, model, text, tuple(docs.columns), name).where(F.col(name) < threshold).drop(name)
 
 
 def held_out(key: str) -> Column:
