@@ -1 +1 @@
-"""See the modules."""
+"""Set-oriented text operators: each takes a DataFrame of texts and gives a DataFrame of answers."""
