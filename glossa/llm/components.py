@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import discard, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,11 +16,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "component-edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "component-labels")
+    previous = labels
     while True:
         around = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         low = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
         roots = labels.select(F.col("node").alias("low"), F.col("label").alias("root"))
         new = stage(low.join(roots, "low", "left").select("node", "old", F.least("low", "root").alias("label")), "component-labels")
+        discard(previous)
+        previous, labels = new, new.select("node", "label")
         if new.where("label <> old").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+            discard(both)
+            return labels

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import keep_rows, stage
 
 #: Runs into which copies of one text are salted.
 SALTS = 1024
@@ -48,8 +48,7 @@ def exact_dedup(
         text_value = normalise(text_value)
     first = F.col("id").desc_nulls_last() if keep == "max" else F.col("id").asc_nulls_last()
 
-    fields = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    rows = docs.select(F.col(key).alias("id"), text_value.alias("body"), *fields)
+    rows = docs.select(F.col(key).alias("id"), text_value.alias("body"), F.xxhash64(text).alias("original"))
     rows = rows.select(
         "*",
         F.substring("body", 1, LEAD).alias("lead"),
@@ -61,12 +60,12 @@ def exact_dedup(
     runs = stage(
         rows.repartitionByRange("lead", "digest", "salt").select(
             "id",
+            "original",
             F.unhex(F.sha2(F.encode("body", "UTF-8"), 256)).alias("sha"),
             "salt",
             F.row_number().over(run.orderBy(first)).alias("place"),
             F.count(F.lit(1)).over(whole).alias("run_size"),
             best("id").over(whole).alias("run_best"),
-            *(["row"] if carry else []),
         ),
         "dedup-runs",
     )
@@ -76,14 +75,15 @@ def exact_dedup(
         .agg(best("run_best").alias("keep_id"), F.sum("run_size").alias("group_size"), F.collect_set("salt").alias("salts"))
         .select("sha", "keep_id", "group_size", F.explode("salts").alias("salt"))
     )
+    joined = runs.join(groups, ["sha", "salt"])
+    stays = (F.col("place") == 1) & _stays(keep)
     if carry:
-        heads = runs.where("place = 1").select("id", "sha", "salt", "row").join(groups, ["sha", "salt"])
-        return heads.where(_stays(keep)).select("row.*")
-    return runs.join(groups, ["sha", "salt"]).select(
+        return keep_rows(docs, key, text, joined.select("id", F.col("original").alias("digest"), stays.alias("stays")))
+    return joined.select(
         F.col("id").alias("doc_id"),
         "keep_id",
         "group_size",
-        ((F.col("place") == 1) & _stays(keep)).alias("kept"),
+        stays.alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 

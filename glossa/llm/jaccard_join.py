@@ -4,10 +4,12 @@ A document is the set of its distinct word n-grams, each a 64-bit hash.  If two
 are similar enough, then under any global order of tokens their prefixes of length
 ``size - ceil(t * size) + 1`` share a token.  Here all orders put a fixed pseudo-random
 part of the token space first and rare tokens before frequent ones; they differ in how
-tokens of equal frequency follow each other.  Candidates share a prefix token under the
-first order, and only those that also share one under each of the others are verified,
-on whole sets.  Tokens that a single document has fill prefixes without being able to
-match, so they are only counted.
+tokens of like frequency follow each other.  Candidates share a prefix token under the
+first order; only those that also share one under each of the others, and whose parity
+bitmaps don't prove them too far apart, are verified on whole sets.  Tokens that a single document has fill prefixes without being able to
+match, so they are only counted.  A first sieve counts just the part of the token space
+that comes first; what passes it is read again and sieved on all tokens, counted among
+those that passed.
 
 Equal sets are one node from the start.  Links join components in two rounds: first
 each token's documents are held against the token's first document, then what shares a
@@ -22,16 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import stage
+from .staging import discard, keep_rows, stage
 
 #: Bytes of text that are hashed at a time.
 BATCH = 1 << 21
 #: Share of the token space that comes first, per unit of (1 - threshold).
-FIRST = 2.5
+FIRST = 1.25
+#: Bits of a set's parity bitmap.
+BITS = 512
 
 _U = np.uint64
 _MIX = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
@@ -130,6 +134,12 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.int64(mix(s, k).sum(dtype=np.uint64).view(np.int64))) for k in (101, 202))
 
 
+def _parities(s: np.ndarray) -> list[int]:
+    """A bitmap of how many hashes fall on each bit, odd or even: two sets differ in at least as many elements as bits."""
+    odd = np.bincount((mix(s, 9) & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _need(n: int, num: int, den: int) -> int:
     """Prefix length of a set of ``n``: what is left after all but the least possible overlap, and one more."""
     return n + (-num * n // den) + 1
@@ -156,31 +166,35 @@ def jaccard_components(
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, seen = Powers(), set()
         for batch in batches:
-            sizes, ones, twos, tokens = [], [], [], []
+            sizes, ones, twos, tokens, rest = [], [], [], [], []
             for s in text_sets(batch.column(1), width, powers):
                 one, two = _fingerprint(s) if len(s) else (0, 0)
                 sizes.append(len(s)), ones.append(one), twos.append(two)
                 if not len(s) or (one, two) in seen:  # equal sets speak once in a task
-                    tokens.append(None)
+                    tokens.append(None), rest.append(None)
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add((one, two))
-                part = s[(mix(s, 7) & _U(0xFFFFFFFF)) < limit]
-                tokens.append((part if len(part) >= _need(len(s), num, den) else s).view(np.int64))
+                first = (mix(s, 7) & _U(0xFFFFFFFF)) < limit
+                tokens.append(s[first].view(np.int64))
+                # A prefix that goes beyond the first part of the token space needs the rest as well.
+                rest.append(s[~first].view(np.int64) if first.sum() < _need(len(s), num, den) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), _lists(tokens)], ["id", "n", "one", "two", "tokens"]
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), _lists(tokens), _lists(rest)],
+                ["id", "digest", "n", "one", "two", "tokens", "rest"],
             )
 
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
     kind = source.schema["id"].dataType.simpleString()
-    read_schema = f"id {kind}, n long, one long, two long, tokens array<long>"
-    rows = stage(source.mapInArrow(read, read_schema).withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
+    read_schema = f"id {kind}, digest long, n long, one long, two long, tokens array<long>, rest array<long>"
+    read_rows = stage(source.mapInArrow(read, read_schema).withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
+    rows = stage(read_rows.select("row", "id", "digest", "n", "one", "two", F.col("tokens").isNotNull().alias("speaks")), "jaccard-names")
 
     # A set is named by its size and fingerprint; its node is the first row that spoke for it.
-    sets = rows.where("n > 0").groupBy("one", "two", "n").agg(F.min(F.when(F.col("tokens").isNotNull(), F.col("row"))).alias("node"), F.min("id").alias("least"))
+    sets = rows.where("n > 0").groupBy("one", "two", "n").agg(F.min(F.when(F.col("speaks"), F.col("row"))).alias("node"), F.min("id").alias("least"))
     sets = stage(sets, "jaccard-sets")
-    links = _links(docs, rows, sets, width, num, den, text, key)
+    links = _links(docs, read_rows, rows, sets, width, num, den, text, key)
     labels = components(links)
     sets = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     roots = sets.groupBy("label").agg(F.min("least").alias("component"))
@@ -190,31 +204,16 @@ def jaccard_components(
     salt = F.pmod(F.xxhash64("row"), F.lit(256)).cast("int")
     salts = rows.where("n > 0").withColumn("salt", salt).groupBy("one", "two", "n").agg(F.collect_set("salt").alias("salts"))
     named = named.join(salts, ["one", "two", "n"]).select("one", "two", "n", "component", F.explode("salts").alias("salt"))
-    out = rows.drop("tokens").withColumn("salt", salt).join(named, ["one", "two", "n", "salt"], "left")
+    out = rows.drop("speaks").withColumn("salt", salt).join(named, ["one", "two", "n", "salt"], "left")
     out = out.withColumn("component", F.coalesce("component", "id"))
     # One row stays: that of the component's key, or where no member has a key, the first of its set.
     own = out.where(F.col("id").eqNullSafe(F.col("component")))
     first = stage(own.groupBy("component", F.when(F.col("component").isNull(), F.concat_ws(":", "one", "two", "n")).alias("of")).agg(F.min("row").alias("stays")), "jaccard-stays")
-    if not carry:
-        kept = first.select(F.col("stays").alias("row"), F.lit(True).alias("kept"))
-        out = out.join(kept, "row", "left")
-        return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce("kept", F.lit(False)).alias("kept"))
-    chosen = first.select(F.col("stays").alias("row")).join(rows.select("row", "id", "one", "two", "n"), "row")
-    return _rows_of(docs, chosen, width, text, key)
-
-
-def _rows_of(docs: DataFrame, chosen: DataFrame, width: int, text: str, key: str) -> DataFrame:
-    """The rows of ``docs`` that ``chosen`` (id, one, two, n) names, one for each even if rows repeat."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("whole"), F.col(key).alias("id"), F.xxhash64(text).alias("digest"))
-    ids = chosen.select("id").distinct()
-    held = packed.join(ids, packed["id"].eqNullSafe(ids["id"]), "left_semi")
-    again = Window.partitionBy("id").orderBy("digest", F.xxhash64("whole"))
-    # Keys are unique as a rule, so a window holds a row or two.
-    many = chosen.groupBy("id").agg(F.count(F.lit(1)).alias("wanted"))
-    held = held.withColumn("again", F.row_number().over(again))
-    out = held.join(many, held["id"].eqNullSafe(many["id"])).where("again <= wanted")
-    return out.select("whole.*")
+    kept = first.select(F.col("stays").alias("row"), F.lit(True).alias("kept"))
+    out = out.join(kept, "row", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    if carry:
+        return keep_rows(docs, key, text, out.select("id", "digest", F.col("kept").alias("stays")))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
 def _lists(values: list) -> pa.Array:
@@ -225,44 +224,61 @@ def _lists(values: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([v is None for v in values]))
 
 
-def _links(docs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, num: int, den: int, text: str, key: str) -> DataFrame:
+def _links(docs: DataFrame, read_rows: DataFrame, rows: DataFrame, sets: DataFrame, width: int, num: int, den: int, text: str, key: str) -> DataFrame:
     """Verified links (a, b) that join the same nodes as all links."""
-    spoken = rows.where("tokens is not null").select("row", "n", F.size("tokens").alias("m"), "tokens")
-    postings = spoken.select("row", F.explode("tokens").alias("token"))
+    # First sieve, on the part of the tokens that comes first: who has a shared token in its prefix at all.
+    spoken = read_rows.where("tokens is not null").select("row", "n", F.size("tokens").alias("m"), F.col("rest").isNotNull().alias("beyond"), "tokens", "rest")
+    postings = spoken.select("row", F.lit(1).alias("first"), F.explode("tokens").alias("token")).union(spoken.select("row", F.lit(0), F.explode("rest")))
     often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often >= 2")
-    shared = postings.join(often, "token")
-    lists = shared.groupBy("row").agg(F.collect_list(F.struct("often", "token")).alias("list"))
-    nodes = lists.join(spoken.drop("tokens"), "row").join(sets.select(F.col("node").alias("row")), "row", "left_semi")
-    # Tokens of one document come first in every order; the rest of the prefix is of shared tokens.
+    shared = postings.join(often.select("token"), "token", "left_semi").groupBy("row").agg(F.sum("first").alias("shared"), F.sum(1 - F.col("first")).alias("shared2"))
     prefix = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1
-    nodes = nodes.withColumn("q", (prefix - (F.col("m") - F.size("list"))).cast("int")).where("q > 0")
+    within = prefix > F.col("m") - F.col("shared")
+    after = (F.col("shared") > 0) | (prefix - F.col("m") > F.col("n") - F.col("m") - F.col("shared2"))
+    open_ = spoken.drop("tokens", "rest").join(shared, "row").where(F.when(F.col("beyond"), after).otherwise(within)).select("row")
+    open_ = open_.join(sets.select(F.col("node").alias("row")), "row", "left_semi")
+    held = _whole_sets(docs, rows, open_, width, text, key)
+
+    # Second sieve, on whole sets and among those that passed: tokens of one of them come first in every order.
+    postings = held.select("node", F.explode("tokens").alias("token"))
+    often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often >= 2")
+    lists = postings.join(often, "token").groupBy("node").agg(F.collect_list(F.struct("often", "token")).alias("list"))
+    nodes = lists.join(held.select("node", F.size("tokens").cast("long").alias("n"), "bits"), "node").withColumn("s", F.size("list").cast("long"))
+    nodes = nodes.withColumn("q", (prefix - (F.col("n") - F.col("s"))).cast("int")).where("q > 0")
 
-    def under(order) -> object:
-        ordered = F.array_sort(F.transform("list", lambda x: F.struct(x["often"].alias("often"), order(x["token"]).alias("place"), x["token"].alias("token"))))
+    def under(rarity, order) -> object:
+        ordered = F.array_sort(F.transform("list", lambda x: F.struct(rarity(x["often"]).alias("often"), order(x["token"]).alias("place"), x["token"].alias("token"))))
         return F.transform(F.slice(ordered, 1, F.least("q", F.size("list"))), lambda x: x["token"])
 
-    orders = [under(lambda t: t), under(lambda t: F.bitwise_not(t)), under(lambda t: F.xxhash64(t))]
-    nodes = stage(nodes.select(F.col("row").alias("node"), "n", *[o.alias(f"p{k}") for k, o in enumerate(orders)]), "jaccard-nodes")
-
-    posted = nodes.select("node", "n", F.explode("p0").alias("token"))
-    close = F.lit(den) * F.least("n", "n2") >= F.lit(num) * F.greatest("n", "n2")
-    heads = posted.groupBy("token").agg(F.min(F.struct("n", "node")).alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    heads = heads.select("token", F.col("head.node").alias("a"), F.col("head.n").alias("n2"))
+    same, level = lambda often: often, lambda often: F.floor(F.log2(often))
+    orders = [under(same, lambda t: t), under(level, lambda t: F.xxhash64(t)), under(level, lambda t: F.bitwise_not(F.xxhash64(t)))]
+    nodes = stage(nodes.select("node", "n", "s", "bits", *[o.alias(f"p{k}") for k, o in enumerate(orders)]), "jaccard-nodes")
+
+    # Sizes alone exclude a pair: no more is common than either shares with anyone.
+    most = F.least("s", "s2")
+    close = F.lit(den) * most >= F.lit(num) * (F.col("n") + F.col("n2") - most)
+    apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(BITS // 64)), F.lit(0))
+    close = close & (apart * (den + num) <= (F.col("n") + F.col("n2")) * (den - num))
+    posted = nodes.select("node", "n", "s", "bits", F.explode("p0").alias("token"))
+    heads = posted.groupBy("token").agg(F.max(F.struct("s", "n", "node", "bits")).alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    heads = heads.select("token", F.col("head.node").alias("a"), F.col("head.n").alias("n2"), F.col("head.s").alias("s2"), F.col("head.bits").alias("bits2"))
     stars = posted.join(heads, "token").where((F.col("node") != F.col("a")) & close).select("a", F.col("node").alias("b")).distinct()
     stars = stage(stars, "jaccard-pairs")
-    held = _whole_sets(docs, rows, nodes, width, text, key)
     found = stage(_verified(_filtered(stars, nodes), held, num, den), "jaccard-links")
 
-    # Second round: what shares a token but not a component yet.
+    # Second round: what shares a token but not a component yet. A token's largest component is only held against others.
     labels = components(found)
-    part = F.coalesce("label", "node")
-    marked = stage(posted.join(labels, "node", "left").withColumn("part", part).select("token", "node", "n", "part"), "jaccard-marked")
-    mixed = marked.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
-    open_ = marked.join(mixed, "token")
-    other = open_.select("token", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("part").alias("part2"))
-    pairs = open_.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("part") != F.col("part2")) & close)
-    pairs = pairs.select(F.col("node").alias("a"), "b").distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return found.union(stage(_verified(_filtered(pairs, nodes), held, num, den), "jaccard-links"))
+    marked = stage(posted.join(labels, "node", "left").select("token", "node", "n", "s", "bits", F.coalesce("label", "node").alias("part")), "jaccard-marked")
+    parts = marked.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many"))
+    mixed = parts.groupBy("token").agg(F.max(F.struct("many", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("top.part").alias("large"))
+    left = marked.join(mixed, "token").where("part <> large").drop("large")
+    other = marked.select("token", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("bits").alias("bits2"), F.col("part").alias("part2"))
+    pairs = left.join(other, "token").where((F.col("part") != F.col("part2")) & close)
+    pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stage(pairs.join(known, ["a", "b"], "left_anti"), "jaccard-pairs")
+    late = stage(_verified(_filtered(pairs, nodes), held, num, den), "jaccard-links")
+    discard(read_rows, held, nodes, stars, marked, pairs)
+    return found.union(late)
 
 
 def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -273,45 +289,51 @@ def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return stage(both.select("a", "b"), "jaccard-candidates")
 
 
-def _whole_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, text: str, key: str) -> DataFrame:
-    """``node, set`` of all nodes that are in any pair, read from the texts again."""
-    wanted = rows.join(nodes.select(F.col("node").alias("row")), "row").select("row", "id", "one", "two", "n")
-    ids = wanted.select("id").distinct()
+def _whole_sets(docs: DataFrame, rows: DataFrame, open_: DataFrame, width: int, text: str, key: str) -> DataFrame:
+    """``node, tokens, bits``: the whole sets of the given rows, read from the texts again."""
+    wanted = stage(rows.join(open_, "row").select("row", "id", "one", "two", "n"), "jaccard-open")
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    held = source.join(ids, source["id"].eqNullSafe(ids["id"]), "left_semi")
+    held = source.join(wanted, source["id"].eqNullSafe(wanted["id"]), "left_semi")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             marks: tuple[list, list, list] = [], [], []
-            values = []
+            values, bits = [], []
             for s in text_sets(batch.column(1), width, powers):
                 one, two = _fingerprint(s) if len(s) else (0, 0)
                 marks[0].append(len(s)), marks[1].append(one), marks[2].append(two)
-                values.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([*(pa.array(m, pa.int64()) for m in marks), pa.array(values, pa.binary())], ["n", "one", "two", "values"])
+                values.append(s.view(np.int64)), bits.append(_parities(s))
+            columns = [*(pa.array(m, pa.int64()) for m in marks), _lists(values), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["n", "one", "two", "tokens", "bits"])
 
-    sets = held.mapInArrow(read, "n long, one long, two long, values binary")
+    sets = held.mapInArrow(read, "n long, one long, two long, tokens array<long>, bits array<long>")
     # Rows that repeat a key may have other texts; the fingerprint picks the right one.
     joined = sets.join(wanted.select("row", "one", "two", "n"), ["one", "two", "n"])
-    return stage(joined.select(F.col("row").alias("node"), "values").dropDuplicates(["node"]), "jaccard-values")
+    return stage(joined.select(F.col("row").alias("node"), "tokens", "bits").dropDuplicates(["node"]), "jaccard-values")
 
 
 def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose whole sets are similar enough."""
-    a = held.select(F.col("node").alias("a"), F.col("values").alias("x"))
-    b = held.select(F.col("node").alias("b"), F.col("values").alias("y"))
+    a = held.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+    b = held.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            (p, ps), (q, qs) = (_arrays(batch.column(k)) for k in (2, 3))
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
+            for k in range(len(batch)):
+                both = np.concatenate([p[ps[k] : ps[k + 1]], q[qs[k] : qs[k + 1]]])
+                both.sort()
                 inter = int((both[1:] == both[:-1]).sum())
-                keep.append(den * inter >= num * (len(p) + len(q) - inter))
+                keep.append(den * inter >= num * (len(both) - inter))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def _arrays(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists one after another, and where each list begins and the last ends."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    return np.asarray(column.flatten()), np.concatenate([[0], np.cumsum(sizes)])

@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,37 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # when the driver ends
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: all that came from them is staged itself."""
+    for df in staged:
+        jvm = df.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def keep_rows(docs: DataFrame, key: str, text: str, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns alone.
+
+    ``decided`` has a row for each of ``docs``: ``id``, ``digest`` (xxhash64 of the
+    text) and ``stays``.  Rows alike in both are interchangeable; of those at most one
+    stays.  What goes is far less than what stays, so rows are held against the former.
+    """
+    classes = decided.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("many"), F.max("stays").alias("stays")).where("many > 1 or not stays")
+    classes = stage(classes, "leaving").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "many", "stays")
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("digest")]
+    rows = docs.select(*own)
+    out = rows.join(classes.select("__id", "__digest"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_anti").select("row.*")
+    again = classes.where("stays")
+    if again.isEmpty():
+        return out
+    first = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.xxhash64("row")))
+    repeated = rows.join(again.select("__id", "__digest"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_semi")
+    return out.union(repeated.withColumn("place", first).where("place = 1").select("row.*"))
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
