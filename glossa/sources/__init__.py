@@ -1 +1 @@
-"""See the modules."""
+"""Readers, the versioned dataset store, exports and seeded workloads."""
