@@ -32,8 +32,8 @@ from .staging import discard, keep_rows, stage
 
 #: Bytes of text that are hashed at a time.
 BATCH = 1 << 21
-#: Share of the token space that comes first, per unit of (1 - threshold).
-FIRST = 1.25
+#: Share of the token space that comes first, beyond the share (1 - threshold) of a set that is its prefix.
+FIRST = 0.1
 #: Bits of a set's parity bitmap.
 BITS = 512
 
@@ -160,7 +160,7 @@ def jaccard_components(
     empty result; other columns are ignored.  With ``carry`` the kept rows of ``docs``
     are returned with their columns alone.
     """
-    share = min(1.0, FIRST * (1 - num / den))
+    share = min(1.0, FIRST + 1 - num / den)
     limit = _U(int(share * (1 << 32)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

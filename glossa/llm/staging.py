@@ -6,6 +6,7 @@ A staged table is an ordinary Parquet table in the folder named by
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # when the driver ends
+    # What was shuffled for this table is no longer referred to; a collection lets Spark delete those files now.
+    gc.collect()
+    jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
