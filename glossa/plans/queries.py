@@ -547,7 +547,7 @@ def runs_per_experiment(spark, t):
     return t("customer").join(runs, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("id"), F.coalesce("n", F.lit(0)).alias("runs"), "last")
 
 
-@query("SELECT o_orderkey AS run_id, c_name AS experiment, o_orderdate AS "at" FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500")
+@query("SELECT o_orderkey AS run_id, c_name AS experiment, o_orderdate AS \"at\" FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500")
 def recent_runs(spark, t):
     rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(500).select(F.col("o_orderkey").alias("run_id"), F.col("c_name").alias("experiment"), F.col("o_orderdate").alias("at"))
