@@ -50,10 +50,10 @@ class Store:
         place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq")))
         return self.table(name).withColumn("__p", place).where("__p = 1 and not removed").drop("__p")
 
-    def append(self, name: str, **values) -> dict:
-        schema = self.spark.createDataFrame([], TABLES[name]).schema
+    def append(self, table: str, /, **values) -> dict:
+        schema = self.spark.createDataFrame([], TABLES[table]).schema
         row = {f.name: values.get(f.name) for f in schema.fields}
-        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{table}")
         return row
 
     def next_id(self, name: str) -> int:

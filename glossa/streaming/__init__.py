@@ -1 +1 @@
-"""See the modules."""
+"""The text operators over streams."""
