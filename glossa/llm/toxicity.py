@@ -32,7 +32,9 @@ LEAST_RATIO = 2.0
 #: Hash space of features.
 SPACE = 1 << 22
 #: Words and spans that a worker remembers.
-MEMO = 400_000
+MEMO = 300_000
+#: Characters that are counted at a time.
+COUNTED = 1 << 20
 
 #: Letters that digits and signs stand for.
 LEET = {
@@ -193,11 +195,25 @@ def character_counts(docs: DataFrame, text: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
-        for batch in batches:
-            data = "  ".join(t for t in batch.column(0).to_pylist() if t).encode("utf-8", "replace").translate(_TO_SYMBOL)
-            s = np.frombuffer(data, np.uint8).astype(np.int32)
+
+        def add(texts: list[str]) -> None:
+            s = np.frombuffer("  ".join(texts).encode("utf-8", "replace").translate(_TO_SYMBOL), np.uint8).astype(np.int16)
             if len(s) > 2:
-                total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
+                total[:] += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
+
+        for batch in batches:
+            held: list[str] = []
+            size = 0
+            for t in batch.column(0):
+                t = t.as_py()
+                if not t:
+                    continue
+                held.append(t)
+                size += len(t)
+                if size >= COUNTED:
+                    add(held)
+                    held, size = [], 0
+            add(held)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
 
