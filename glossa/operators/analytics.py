@@ -179,7 +179,7 @@ def and_query(df: DataFrame, query: str, text: str = "text", key: str = "doc_id"
     """
     wanted = query_terms(query)
     if not wanted:
-        return df.select(key).limit(0)
+        return df.select(key).where(F.lit(False))
     have = tokens(F.col(text))
     return df.select(key, have.alias("__w")).where(F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), "__w")) == 0).select(key)
 
