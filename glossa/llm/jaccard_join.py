@@ -32,8 +32,10 @@ from .staging import discard, keep_rows, stage
 
 #: Bytes of text that are hashed at a time.
 BATCH = 1 << 21
-#: Share of the token space that comes first, beyond the share (1 - threshold) of a set that is its prefix.
-FIRST = 0.1
+#: Share of the token space that comes first: per unit of (1 - threshold), which is a prefix's share of a set, and at most.
+FIRST, MOST_FIRST = 2.5, 0.3
+#: Bits of a hash that name a token in the sieves; tokens that share a name only let more through.
+NAME = (1 << 48) - 1
 #: Bits of a set's parity bitmap.
 BITS = 512
 
@@ -160,7 +162,7 @@ def jaccard_components(
     empty result; other columns are ignored.  With ``carry`` the kept rows of ``docs``
     are returned with their columns alone.
     """
-    share = min(1.0, FIRST + 1 - num / den)
+    share = min(MOST_FIRST, FIRST * (1 - num / den))
     limit = _U(int(share * (1 << 32)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +179,9 @@ def jaccard_components(
                     seen.clear()
                 seen.add((one, two))
                 first = (mix(s, 7) & _U(0xFFFFFFFF)) < limit
-                tokens.append(s[first].view(np.int64))
+                tokens.append((s[first] & _U(NAME)).view(np.int64))
                 # A prefix that goes beyond the first part of the token space needs the rest as well.
-                rest.append(s[~first].view(np.int64) if first.sum() < _need(len(s), num, den) else None)
+                rest.append((s[~first] & _U(NAME)).view(np.int64) if first.sum() < _need(len(s), num, den) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), _lists(tokens), _lists(rest)],
                 ["id", "digest", "n", "one", "two", "tokens", "rest"],
@@ -239,7 +241,7 @@ def _links(docs: DataFrame, read_rows: DataFrame, rows: DataFrame, sets: DataFra
     held = _whole_sets(docs, rows, open_, width, text, key)
 
     # Second sieve, on whole sets and among those that passed: tokens of one of them come first in every order.
-    postings = held.select("node", F.explode("tokens").alias("token"))
+    postings = held.select("node", F.explode("tokens").alias("token")).withColumn("token", F.col("token").bitwiseAND(F.lit(NAME)))
     often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often >= 2")
     lists = postings.join(often, "token").groupBy("node").agg(F.collect_list(F.struct("often", "token")).alias("list"))
     nodes = lists.join(held.select("node", F.size("tokens").cast("long").alias("n"), "bits"), "node").withColumn("s", F.size("list").cast("long"))
@@ -293,24 +295,23 @@ def _whole_sets(docs: DataFrame, rows: DataFrame, open_: DataFrame, width: int,
     """``node, tokens, bits``: the whole sets of the given rows, read from the texts again."""
     wanted = stage(rows.join(open_, "row").select("row", "id", "one", "two", "n"), "jaccard-open")
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    held = source.join(wanted, source["id"].eqNullSafe(wanted["id"]), "left_semi")
+    asked = source.join(wanted, source["id"].eqNullSafe(wanted["id"])).select("text", "row", "n", "one", "two")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            marks: tuple[list, list, list] = [], [], []
-            values, bits = [], []
-            for s in text_sets(batch.column(1), width, powers):
-                one, two = _fingerprint(s) if len(s) else (0, 0)
-                marks[0].append(len(s)), marks[1].append(one), marks[2].append(two)
-                values.append(s.view(np.int64)), bits.append(_parities(s))
-            columns = [*(pa.array(m, pa.int64()) for m in marks), _lists(values), pa.array(bits, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["n", "one", "two", "tokens", "bits"])
-
-    sets = held.mapInArrow(read, "n long, one long, two long, tokens array<long>, bits array<long>")
-    # Rows that repeat a key may have other texts; the fingerprint picks the right one.
-    joined = sets.join(wanted.select("row", "one", "two", "n"), ["one", "two", "n"])
-    return stage(joined.select(F.col("row").alias("node"), "tokens", "bits").dropDuplicates(["node"]), "jaccard-values")
+            names = zip(*(batch.column(k).to_pylist() for k in range(1, 5)))
+            nodes, values, bits = [], [], []
+            for s, (row, n, one, two) in zip(text_sets(batch.column(0), width, powers), names):
+                # Rows that repeat a key may have other texts; the fingerprint picks the right one.
+                if len(s) == n and _fingerprint(s) == (one, two):
+                    nodes.append(row), values.append(s.view(np.int64)), bits.append(_parities(s))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(values), pa.array(bits, pa.list_(pa.int64()))], ["node", "tokens", "bits"])
+
+    held = stage(asked.mapInArrow(read, "node long, tokens array<long>, bits array<long>"), "jaccard-values")
+    if held.groupBy("node").count().where("count > 1").isEmpty():
+        return held
+    return stage(held.dropDuplicates(["node"]), "jaccard-values")  # rows that repeat key and text
 
 
 def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:

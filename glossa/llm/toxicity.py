@@ -42,7 +42,7 @@ LEET = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 #: Costs of the channel, in nats.
-AS_LEET, DROPPED_SIGN, DROPPED_GAP, KEPT_GAP, DROPPED_REPEAT = 0.7, 3.0, 0.2, 2.5, 0.3
+AS_LEET, DROPPED_SIGN, DROPPED_GAP, KEPT_GAP, DROPPED_REPEAT = 0.7, 6.0, 0.2, 4.0, 0.8
 
 #: Symbols of the language model: 0 anything between words, 1 to 26 letters, 27 other letters.
 SYMBOLS = 28
