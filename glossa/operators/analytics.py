@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -206,6 +208,25 @@ def query_postings(df: DataFrame, query: str, text: str = "text", key: str = "do
 # Similarity
 
 
+def _weigh(a: Column, b: Column) -> Column:
+    """Squared lengths of two term vectors and the products of shared terms, largest first.
+
+    Counting a row's terms in expressions costs its length times its vocabulary; an Arrow UDF is linear.
+    """
+
+    def one(x: list | None, y: list | None) -> dict:
+        p, q = Counter([] if x is None else x), Counter([] if y is None else y)
+        shared = sorted(((p[t] * q[t], t) for t in p.keys() & q.keys()), key=lambda c: (-c[0], c[1]))
+        found = [{"product": n, "term": t} for n, t in shared]
+        return {"na": sum(n * n for n in p.values()), "nb": sum(n * n for n in q.values()), "contributions": found}
+
+    @F.pandas_udf("na long, nb long, contributions array<struct<product:long,term:string>>")
+    def weigh(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x, y) for x, y in zip(xs, ys)], columns=["na", "nb", "contributions"])
+
+    return weigh(a, b)
+
+
 def similarity(df: DataFrame, text_a: str = "text", text_b: str = "textB", method: str = "cosine") -> DataFrame:
     """``df`` with ``score`` by ``method``, all four measures, shared and one-sided terms, contributions and token counts.
 
@@ -216,24 +237,21 @@ def similarity(df: DataFrame, text_a: str = "text", text_b: str = "textB", metho
     # Split before counting, so that tokens are made once a row.
     rows = df.withColumns({"__a": tokens(F.col(text_a), remove_stop_words=True), "__b": tokens(F.col(text_b), remove_stop_words=True)})
     rows = rows.withColumns({"__da": F.array_distinct("__a"), "__db": F.array_distinct("__b")})
-    often = lambda words, t: F.size(F.filter(words, lambda x: x == t)).cast("long")
     rows = rows.withColumns(
         {
             "sharedTerms": F.array_intersect("__da", "__db"),
             "onlyInA": F.array_except("__da", "__db"),
             "onlyInB": F.array_except("__db", "__da"),
-            "__na": F.aggregate("__da", F.lit(0).cast("long"), lambda s, t: s + often("__a", t) * often("__a", t)),
-            "__nb": F.aggregate("__db", F.lit(0).cast("long"), lambda s, t: s + often("__b", t) * often("__b", t)),
+            "__w": _weigh(F.col("__a"), F.col("__b")),
         }
     )
-    pairs = F.transform("sharedTerms", lambda t: F.struct((often("__a", t) * often("__b", t)).alias("product"), t.alias("term")))
-    rows = rows.withColumn("contributions", F.array_sort(pairs, lambda x, y: F.when(x["product"] > y["product"], -1).when(x["product"] < y["product"], 1).when(x["term"] < y["term"], -1).when(x["term"] > y["term"], 1).otherwise(0)))
+    rows = rows.withColumn("contributions", F.col("__w.contributions"))
     dot = F.aggregate("contributions", F.lit(0).cast("long"), lambda s, x: s + x["product"])
     both, a, b = F.size("sharedTerms"), F.size("__da"), F.size("__db")
     ratio = lambda up, down: F.when(down > 0, up / down).otherwise(F.lit(0.0))
     rows = rows.withColumns(
         {
-            "cosine": ratio(dot, F.sqrt((F.col("__na") * F.col("__nb")).cast("double"))),
+            "cosine": ratio(dot, F.sqrt((F.col("__w.na") * F.col("__w.nb")).cast("double"))),
             "jaccard": ratio(both, a + b - both),
             "dice": ratio(2 * both, a + b),
             "overlap": ratio(both, F.least(a, b)),
@@ -241,7 +259,7 @@ def similarity(df: DataFrame, text_a: str = "text", text_b: str = "textB", metho
             "tokensB": F.size("__b"),
         }
     )
-    return rows.withColumn("score", round4(F.col(method))).drop("__a", "__b", "__da", "__db", "__na", "__nb")
+    return rows.withColumn("score", round4(F.col(method))).drop("__a", "__b", "__da", "__db", "__w")
 
 
 def similar_pairs(df: DataFrame, least_shared: int = 1, text: str = "text", key: str = "doc_id", most_documents: int | None = None) -> DataFrame:
