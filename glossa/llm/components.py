@@ -15,6 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     label, so chains shorten by halves.  Rounds are written to the shared folder.
     """
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "component-edges")
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "component-labels")
     previous = labels
     while True:
