@@ -34,6 +34,8 @@ from .staging import discard, keep_rows, stage
 BATCH = 1 << 21
 #: Share of the token space that comes first: per unit of (1 - threshold), which is a prefix's share of a set, and at most.
 FIRST, MOST_FIRST = 2.5, 0.3
+#: Bits of the bitmap of wanted identifiers, at most 8 MB in all.
+MAP_BITS = 1 << 26
 #: Bits of a hash that name a token in the sieves; tokens that share a name only let more through.
 NAME = (1 << 48) - 1
 #: Bits of a set's parity bitmap.
@@ -294,7 +296,7 @@ def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _whole_sets(docs: DataFrame, rows: DataFrame, open_: DataFrame, width: int, text: str, key: str) -> DataFrame:
     """``node, tokens, bits``: the whole sets of the given rows, read from the texts again."""
     wanted = stage(rows.join(open_, "row").select("row", "id", "one", "two", "n"), "jaccard-open")
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    source = _likely(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), wanted)
     asked = source.join(wanted, source["id"].eqNullSafe(wanted["id"])).select("text", "row", "n", "one", "two")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,6 +316,19 @@ def _whole_sets(docs: DataFrame, rows: DataFrame, open_: DataFrame, width: int,
     return stage(held.dropDuplicates(["node"]), "jaccard-values")  # rows that repeat key and text
 
 
+def _likely(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``source`` whose ``id`` may be in ``wanted``, so that texts nobody asks for aren't shuffled.
+
+    The filter is a bitmap of hashed identifiers in MAP_BITS / 32768 rows of 4 KB, whatever the input.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
+    bucket, bit = F.floor(slot / 32768).cast("int"), slot % 32768
+    maps = stage(wanted.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("map")), "jaccard-map")
+    byte = F.conv(F.hex(F.substring("map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = source.withColumn("bucket", bucket).join(F.broadcast(maps), "bucket")
+    return near.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select("id", "text")
+
+
 def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose whole sets are similar enough."""
     a = held.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
