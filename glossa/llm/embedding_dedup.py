@@ -3,10 +3,13 @@
 Equal vectors are one class from the start.  Cells are fitted on a bounded sample;
 every class is indexed in the cell of its nearest centroid.  A pair that is close
 enough but lies in two cells is close to the plane between their centroids, so each
-class is also a guest of cells whose plane is near.  How near decides between effort
-and recall: with ``margin=None`` the bound is that of the threshold itself and no pair
-is lost; with a margin m it is m standard deviations of how far a random direction
-carries a pair across a plane (the pair's distance over the root of the dimension).
+class is also a guest of cells whose plane is near.  The distances of a pair's two
+members from that plane add up to the pair's own distance at most, so the nearer one
+is within half of it: with ``margin=None`` classes up to there are guests, no pair is
+lost, and a pair that only one of the two cells sees is counted for both members.
+With a margin m the bound is m standard deviations of how far a random direction
+carries a pair (its distance over the root of the dimension), if that is less; vectors
+of low intrinsic dimension lose links by it.
 Cells are cut into blocks of bounded size, each product of two blocks is a task's
 unit of work, and what leaves a unit is a count for each member and a spanning
 forest of its links, never all pairs.
@@ -30,8 +33,6 @@ from .staging import stage
 SAMPLE = 20_000
 #: Classes a cell is meant to have, and most cells; the table of centroids is bounded by the latter.
 CELL, MOST_CELLS = 400, 16_384
-#: Standard deviations of a pair across the plane between two cells that are searched.
-MARGIN = 2.0
 #: Members of a block.
 BLOCK = 2048
 #: Parts into which the members of one class are salted.
@@ -45,13 +46,13 @@ def valid_vector(v: Column) -> Column:
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, threshold: float = 0.95, vector: str = "embedding", key: str = "vec_id", margin: float | None = MARGIN
+    vectors: DataFrame, threshold: float = 0.95, vector: str = "embedding", key: str = "vec_id", margin: float | None = None
 ) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept``.
 
     Rows link when the cosine of their vectors, in double precision, is at least
-    ``threshold`` and the index finds the pair (always with ``margin=None``).  Vectors that are null, empty, zero or hold null or non-finite
-    components link with nothing, nor do rows with a null key or vectors of unequal
+    ``threshold``; with a margin, if the index finds the pair too.  Vectors that are null,
+    empty, zero or hold null or non-finite components link with nothing, nor do rows with a null key or vectors of unequal
     length.  Rows that repeat a vector link with each other, those that repeat a key
     too.  ``component_id`` is the smallest key reachable by links, the row's own
     included; ``kept`` marks rows whose key it is.  An empty table gives an empty
@@ -127,34 +128,35 @@ def _links(classes: DataFrame, threshold: float, margin: float | None) -> DataFr
         for batch in batches:
             marks, many, lists = batch.column(0), batch.column(1), batch.column(2)
             flat, ends = np.asarray(lists.flatten()), np.cumsum(np.asarray(pa.compute.list_value_length(lists)))
-            out: tuple[list, list, list] = [], [], []
+            out: tuple[list, list, list, list] = [], [], [], []
             for k, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
                 d = int(b - a)
                 cent = shipped.value.get(d)
                 if cent is None:
                     cells, home = np.zeros(1, int), 0
                 else:
-                    reach = apart_at_most * (1 if margin is None else min(1.0, margin / math.sqrt(d)))
+                    reach = apart_at_most * (0.5 if margin is None else min(0.5, margin / math.sqrt(d)))
                     score = cent @ _unit(flat[None, a:b])[0]
                     home = int(score.argmax())
                     gap = apart[d][home] if apart[d] is not None else np.sqrt(np.maximum(0, 2 - 2 * cent @ cent[home]))
                     cells = np.flatnonzero(score[home] - score <= reach * gap + 1e-12)
                 for c in cells:
-                    out[0].append(k), out[1].append(int(c)), out[2].append(int(c) == home)
+                    out[0].append(k), out[1].append(int(c)), out[2].append(home), out[3].append(cells.tolist() if int(c) == home else None)
             take = pa.array(out[0], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [_take(marks, take), _take(many, take), _take(lists, take), pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_())], ["mark", "many", "v", "cell", "home"]
+                [_take(marks, take), _take(many, take), _take(lists, take), *(pa.array(x, pa.int32()) for x in out[1:3]), pa.array(out[3], pa.list_(pa.int32()))],
+                ["mark", "many", "v", "cell", "home", "visits"],
             )
 
-    placed = classes.select("mark", "many", "v").mapInArrow(place, "mark string, many long, v array<double>, cell int, home boolean")
+    placed = classes.select("mark", "many", "v").mapInArrow(place, "mark string, many long, v array<double>, cell int, home int, visits array<int>")
     placed = stage(placed.withColumn("d", F.size("v")), "vector-cells")
     # Blocks of a cell by the hash of the member; one row a cell.
-    cells = placed.groupBy("d", "cell").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("all"))
+    cells = placed.groupBy("d", "cell").agg(F.count_if(F.col("home") == F.col("cell")).alias("homes"), F.count(F.lit(1)).alias("all"))
     cut = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(BLOCK))).cast("int")
     cells = cells.withColumns({"left_blocks": cut("homes"), "right_blocks": cut("all")})
     at = placed.join(cells, ["d", "cell"]).withColumns({"i": F.pmod(F.xxhash64("mark"), "left_blocks").cast("int"), "j": F.pmod(F.xxhash64(F.lit(11), "mark"), "right_blocks").cast("int")})
-    left = at.where("home").select("d", "cell", "i", F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)).alias("j"), F.lit(0).alias("side"), "mark", "many", "v")
-    right = at.select("d", "cell", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), "j", F.lit(1).alias("side"), "mark", "many", "v")
+    left = at.where("home = cell").select("d", "cell", "i", F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)).alias("j"), F.lit(0).alias("side"), "mark", "many", "v", "home", "visits")
+    right = at.select("d", "cell", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), "j", F.lit(1).alias("side"), "mark", "many", "v", "home", F.lit(None).cast("array<int>").alias("visits"))
 
     def multiply(unit: pa.Table) -> pa.Table:
         side = unit["side"].to_numpy()
@@ -165,13 +167,22 @@ def _links(classes: DataFrame, threshold: float, margin: float | None) -> DataFr
             whole = _unit(np.asarray(vectors.flatten()).reshape(len(side), -1))
             near = whole[x] @ whole[y].T >= threshold
             near &= marks[x][:, None] != marks[y][None, :]
-            counts = near @ unit["many"].to_numpy()[y]
-            some = np.flatnonzero(counts)
+            many = unit["many"].to_numpy()
+            counts = near @ many[y]
+            # What the home of a guest doesn't see, as the other isn't its guest, counts for the guest here.
+            homes, which = np.unique(unit["home"].to_numpy()[y], return_inverse=True)
+            visits = _take(unit["visits"], pa.array(x))
+            to, of = np.asarray(visits.flatten()), np.repeat(np.arange(len(x)), np.asarray(pa.compute.list_value_length(visits)))
+            at = np.minimum(np.searchsorted(homes, to), len(homes) - 1)
+            seen = np.zeros((len(x), len(homes)), bool)
+            seen[of[homes[at] == to], at[homes[at] == to]] = True
+            back = many[x] @ (near & ~seen[:, which])
+            some, other = np.flatnonzero(counts), np.flatnonzero(back)
             rows, cols = _forest(near)
             found = (
-                [*marks[x][some], *marks[x][rows]],
-                [*[None] * len(some), *marks[y][cols]],
-                [*counts[some].tolist(), *[0] * len(rows)],
+                [*marks[x][some], *marks[y][other], *marks[x][rows]],
+                [*[None] * (len(some) + len(other)), *marks[y][cols]],
+                [*counts[some].tolist(), *back[other].tolist(), *[0] * len(rows)],
             )
         return pa.table([pa.array(c, t) for c, t in zip(found, (pa.string(), pa.string(), pa.int64()))], ["mark", "other", "n"])
 

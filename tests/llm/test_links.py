@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from glossa.llm import embedding_dedup
 from glossa.llm import jaccard_join as jj
 from glossa.llm.components import components
 from glossa.llm.embedding_dedup import near_duplicate_vectors
@@ -102,3 +104,24 @@ def test_vectors_equal_brute_force(spark, margin):
     else:
         assert sum(g[0] for g in got.values()) >= 0.9 * sum(w[0] for w in want.values()) and all(got[i][0] <= want[i][0] for i in want)
     assert near_duplicate_vectors(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("margin", [None, 0.3])
+def test_vectors_of_low_intrinsic_dimension(spark, monkeypatch, margin):
+    monkeypatch.setattr(embedding_dedup, "CELL", 100)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2000, 4)) @ rng.normal(size=(4, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.99) & ~np.eye(len(x), dtype=bool)
+    union = Union(range(len(x)))
+    for a, b in zip(*np.nonzero(near)):
+        union.join(int(a), int(b))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = {} if margin is None else {"margin": margin}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicate_vectors(df, threshold=0.99, **asked).collect()}
+    if margin is None:
+        assert got == {i: (int(near[i].sum()), union.find(i)) for i in range(len(x))}
+    else:  # a pair found in one cell alone counts for both of its rows
+        members = Counter(c for _, c in got.values())
+        assert all((n > 0) == (members[c] > 1) for n, c in got.values())
+        assert sum(n for n, _ in got.values()) < near.sum()
