@@ -4,7 +4,9 @@ Base patterns give spans by themselves.  The method adds spans whose content it
 can confirm: base64 or hexadecimal candidates are decoded, private keys must parse
 with nested lengths that fill each other exactly, signed tokens must have a
 decodable header that names an algorithm, and other encoded text must hold a base
-pattern itself.
+pattern or something confirmed itself, at any depth.  Candidates have at least the
+length that the shortest base pattern of 12 bytes has when encoded; a run broken by
+line ends is as many candidates.
 """
 
 from __future__ import annotations
@@ -28,9 +30,8 @@ KINDS = ("assign", "access", "hex", "jwt", "key", "encoded")
 
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-_LONG_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
-_DIGIT_AND_CASE = re.compile(r"[0-9+/_-]")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LONG_HEX = re.compile(r"[0-9A-Fa-f]{24,}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -108,11 +109,8 @@ def is_signed_token(text: str) -> bool:
 
 
 def _holds_secret(data: bytes) -> bool:
-    try:
-        inner = data.decode("ascii")
-    except UnicodeDecodeError:
-        return False
-    return bool(base_spans(inner))
+    inner = data.decode("utf-8", "replace")  # bytes that aren't UTF-8 part what is beside them, as other signs do
+    return bool(base_spans(inner) or confirmed_spans(inner))
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
@@ -136,7 +134,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             if pattern is _LONG_HEX:
                 data = bytes.fromhex(run) if len(run) % 2 == 0 else None
             else:
-                data = decode_base64(run) if _DIGIT_AND_CASE.search(run) or run[:1].isupper() else None
+                data = decode_base64(run)
             if data is None:
                 continue
             kind = "key" if is_private_key(data) else "encoded" if _holds_secret(data) else None

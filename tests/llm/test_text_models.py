@@ -80,6 +80,20 @@ def test_structure_decides():
     assert se.confirmed_spans("A" * 100 + " " + "word" * 40) == []
 
 
+def test_short_and_nested_encodings():
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    pem = f"-----BEGIN PRIVATE KEY-----\n{b64(KEY)}\n-----END PRIVATE KEY-----\n"
+    jwt = f"{part({'alg': 'HS256'})}.{part({'sub': '1'})}.c2ln"
+    secrets = ["password=hunter22", "token=abcdef", "api_key: 9f8e7d6c5b", "clé: token=abcdef", pem, jwt, b64("token=abcdef"), "token=abcdef".encode().hex()]
+    for run in [b64(x) for x in secrets] + [x.encode().hex() for x in secrets] + [b64("cl\xe9 token=abcdef".encode("latin-1")), b64("secret=aaaaaa")]:
+        assert se.confirmed_spans(f"x {run} y") == [(2, 2 + len(run), "encoded")], run
+    lower = b64("xAKIA" + "ABC" * 7 + "A")
+    assert lower.isalpha() and lower[0].islower()
+    assert se.confirmed_spans(lower) == [(0, len(lower), "encoded")]
+    assert se.confirmed_spans(f"responsibilities {b64('token=abc')} {b64('just a plain text, nothing else')} {'0' * 30}") == []
+
+
 def test_secret_query(odd, none, documents):
     rows = se.scan_secrets(odd).collect()
     assert len(rows) == 9 and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows)
