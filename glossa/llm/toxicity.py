@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -49,12 +50,53 @@ SYMBOLS = 28
 _TO_SYMBOL = bytes([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0 for b in range(256)])
 
 _SIGNS = re.escape("".join(LEET))
-_SPACED = re.compile(rf"(?<![^\W_])(?:[a-z{_SIGNS}](?:[ ._*-])){{3,}}[a-z{_SIGNS}](?![^\W_])", re.I)
-_LEETED = re.compile(rf"[a-z][{_SIGNS}]+[a-z]|[{_SIGNS}][a-z]|[a-z][@$|(0-9]", re.I)
-_REPEATED = re.compile(r"([^\W\d_])\1\1")
+_MARKS = frozenset(c for c in LEET if not c.isalnum())
+_ALONE = r"(?<![^\W_])[^\W_](?![^\W_])"
+#: Letters and digits that stand alone, any gaps between them; signs for letters alone.
+_SPACED = re.compile(rf"{_ALONE}(?:[\W_]+{_ALONE})*")
+_SPACED_SIGNS = re.compile(rf"[{re.escape(''.join(sorted(_MARKS)))}](?:[^\w{re.escape(''.join(sorted(_MARKS)))}]+[{re.escape(''.join(sorted(_MARKS)))}])+")
+#: Letters and signs of a spaced-out word, at least.
+SPACED = 3
+_LEETED = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|[{_SIGNS}][^\W\d_]|[^\W\d_][@$|(0-9]")
+_REPEATED = re.compile(r"([^\W\d_])\1")
+_REPEATED_SIGN = re.compile(rf"([{_SIGNS}])\1")
 _EDGE = "\"'.,;:!?()[]{}<>-_*#%&/\\~`^=+|$@"
 
 
+def _gap(c: str) -> bool:
+    return not c.isalnum() and c not in _MARKS
+
+
+def spaced_spans(text: str) -> Iterator[str]:
+    """Stretches in which letters, digits and signs for letters stand alone, SPACED of them at least."""
+    for m in _SPACED.finditer(text):
+        start, end = m.span()
+        first = last = 0
+        while start and _gap(text[start - 1]):  # signs that lead
+            k = start - 1
+            while k and _gap(text[k - 1]):
+                k -= 1
+            if not k or text[k - 1] not in _MARKS or k > 1 and text[k - 2].isalnum():
+                break
+            start, first = k - 1, first + 1
+        while end < len(text) and _gap(text[end]):  # signs that follow
+            k = end + 1
+            while k < len(text) and _gap(text[k]):
+                k += 1
+            if k == len(text) or text[k] not in _MARKS or k + 1 < len(text) and text[k + 1].isalnum():
+                break
+            end, last = k + 1, last + 1
+        core = m.group()
+        inner = sum(c.isalnum() or c in _MARKS for c in core)
+        if inner >= SPACED:
+            yield core
+        if first + last and first + inner + last >= SPACED:
+            yield text[start:end]
+    for m in _SPACED_SIGNS.finditer(text):
+        if sum(c in _MARKS for c in m.group()) >= SPACED:
+            yield m.group()
+
+
 class Decoder:
     """Viterbi search for the original of a disguised span."""
 
@@ -65,8 +107,12 @@ class Decoder:
         mid = (cube.sum(0) + 20 * low[None, :]) / (cube.sum(0).sum(1, keepdims=True) + 20)
         self.cost = (-np.log((cube + 5 * mid[None, :, :]) / (pair[:, :, None] + 5))).tolist()
 
-    def options(self, c: str, before: str, spaced: bool) -> list[tuple[str, int, float]]:
-        """(written, symbol or -1 for nothing, channel cost) for one character; ``before`` is the one it follows."""
+    def options(self, c: str, before: str, spaced: bool, beside: bool = False, pairs: bool = False) -> list[tuple[str, int, float]]:
+        """(written, symbol or -1 for nothing, channel cost) for one character.
+
+        ``before`` is the one it follows; a sign ``beside`` a letter may be a gap between spaced ones.
+        With ``pairs`` a repeated sign stands for a letter of its own each time.
+        """
         low = c.lower()
         if len(low) != 1:
             return [(c, 27, 0.0)]
@@ -75,27 +121,33 @@ class Decoder:
         elif low.isalpha():
             out = [(low, 27, 0.0)]
         elif low in LEET:
-            out = [(x, ord(x) - 96, AS_LEET) for x in LEET[low]] + [("", -1, DROPPED_SIGN)]
+            out = [(x, ord(x) - 96, AS_LEET) for x in LEET[low]] + [("", -1, DROPPED_GAP if spaced and beside and low in _MARKS else DROPPED_SIGN)]
         elif spaced:
             return [("", -1, DROPPED_GAP), (" ", 0, KEPT_GAP)]
         else:
             return [("", -1, DROPPED_SIGN), (c, 0, 0.0)]
-        if low == before:
+        if low == before and not (pairs and low in LEET):
             out.append(("", -1, DROPPED_REPEAT))
         return out
 
-    def decode(self, span: str, spaced: bool = False) -> str:
+    def decode(self, span: str, spaced: bool = False, pairs: bool = False) -> str:
         """The cheapest original; ties go to the first in option order."""
         cost = self.cost
         # State: the last two symbols. Back pointers are (previous entry, written) so that memory grows with the span alone.
         beam: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         before = ""
-        for c in span:
+        for k, c in enumerate(span):
             made: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for written, symbol, paid in self.options(c, before, spaced):
+            beside = spaced and (span[k - 1 : k].isalnum() or span[k + 1 : k + 2].isalnum())
+            for written, symbol, paid in self.options(c, before, spaced, beside, pairs):
+                # The model counts the bytes of other letters.
+                again = len(c.encode("utf-8", "replace")) - 1 if symbol == 27 else 0
                 for (a, b), (total, path) in beam.items():
                     if symbol < 0:
                         key, sum_, step = (a, b), total + paid, path
+                    elif again:
+                        sum_ = total + paid + cost[a][b][27] + cost[b][27][27] + (again - 1) * cost[27][27][27]
+                        key, step = (27, 27), (path, written)
                     else:
                         key, sum_, step = (b, symbol), total + paid + cost[a][b][symbol], (path, written)
                     if key not in made or sum_ < made[key][0]:
@@ -127,15 +179,17 @@ class Reader:
             known = (word,) if word else ()
             core = token.strip("\"'.,;:?[]{}<>-_*#%&/\\~`^=")
             if _LEETED.search(core) or _REPEATED.search(core):
-                known += tuple(w for w in self.decoder.decode(core).split() if w != word)
+                read = [self.decoder.decode(core)]
+                if _REPEATED_SIGN.search(core):
+                    read.append(self.decoder.decode(core, pairs=True))
+                known += tuple(dict.fromkeys(w for r in read for w in r.split() if w != word))
             self.words[token] = known
         return known
 
     def restored(self, text: str) -> list[str]:
         """Decoded spans of letters that were spaced out."""
         out = []
-        for m in _SPACED.finditer(text):
-            span = m.group()
+        for span in spaced_spans(unicodedata.normalize("NFC", text)):
             found = self.spans.get(span)
             if found is None:
                 if len(self.spans) >= MEMO // 8:

@@ -123,6 +123,27 @@ def test_spaced_letters_and_reading(decoder):
     assert reader.forms("cl0wn!!") == ("cl0wn", "clown") and reader.forms("word,") == ("word",)
 
 
+@pytest.fixture(scope="module")
+def languages():
+    text = ("réeux dödel achkeitü idiot stupid ass you are an idiot and a stupid loser un vrai réeux der dödel " * 30).encode().translate(to._TO_SYMBOL)
+    s = np.frombuffer(text, np.uint8).astype(int)
+    n = to.SYMBOLS
+    return to.Reader(to.Decoder(np.bincount((s[:-2] * n + s[1:-1]) * n + s[2:], minlength=n**3)))
+
+
+@pytest.mark.parametrize("word", ["réeux", "dödel", "achkeitü", "idiot", "ass"])
+@pytest.mark.parametrize("gap", [" ", "  ", "/", " - ", "\n", "_", "*", "!", "|", "·"])
+def test_spaced_words_with_any_letters_and_gaps(languages, word, gap):
+    assert word in languages.restored(f"what {gap.join(word)} then")
+
+
+def test_doubled_letters_and_leading_signs(languages):
+    assert all(word in languages.forms(token) for token, word in (("stuupid", "stupid"), ("idiiot", "idiot"), ("döödel", "dödel"), ("rée0ux", "réeux")))
+    assert languages.restored("what a, b") == [] and "ass" in languages.restored("an @ $ $") and "stupid" in languages.restored("so $ t u p i d!")
+    assert languages.restored("re\u0301eux r e\u0301 e u x") == ["réeux"]
+    assert list(to.spaced_spans("| " * 100_000 + "word" + " !" * 100_000))  # in linear time
+
+
 def test_toxicity(spark, documents, none):
     rnd = random.Random(8)
     words = ["river", "stone", "cloud", "paper", "green", "under", "table", "light"]
