@@ -8,11 +8,20 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Seconds between collections that let Spark delete the files of shuffles nobody refers to.
+COLLECT_EVERY = 5.0
+
+_collected = 0.0
+_scopes: list[list[DataFrame]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where unset, a temporary one on a local master only."""
@@ -27,27 +36,53 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it again, so that later plans start from the written table."""
+    """Write ``df`` once and read it again, so that later plans start from the written table.
+
+    The table stays until it is discarded, its scope ends, or the driver does.
+    """
+    global _collected
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # when the driver ends
-    # What was shuffled for this table is no longer referred to; a collection lets Spark delete those files now.
-    gc.collect()
-    jvm.System.gc()
+    folder, place = _folder(spark, path)
+    folder.deleteOnExit(place)
+    if time.monotonic() - _collected > COLLECT_EVERY:
+        gc.collect()
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
 def discard(*staged: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more: all that came from them is staged itself."""
+    """Delete staged tables that nothing reads any more: all that came from them is staged or written itself."""
     for df in staged:
-        jvm = df.sparkSession._jvm
-        place = jvm.org.apache.hadoop.fs.Path(df._staged_at)
-        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        folder, place = _folder(df.sparkSession, df._staged_at)
+        folder.delete(place, True)
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Delete, at the end, what operators staged within; take a table out of the given list to keep it.
+
+        with scope() as staged:
+            exact_dedup(docs).write.parquet(path)
+    """
+    held: list[DataFrame] = []
+    _scopes.append(held)
+    try:
+        yield held
+    finally:
+        _scopes.remove(held)
+        discard(*held)
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def keep_rows(docs: DataFrame, key: str, text: str, decided: DataFrame) -> DataFrame:

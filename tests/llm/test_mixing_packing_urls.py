@@ -1,10 +1,14 @@
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
+from math import ceil, comb, floor, log2
 
 import pytest
-from glossa.llm.mixing import mix
+import xxhash
+from glossa.llm.mixing import hypergeometric, mix, splitting_tree
 from glossa.llm.packing import best_fit, pack_documents, packed_texts
 from glossa.llm.url_filters import Rule, judge_urls
+from pyspark.sql import functions as F
 
 
 def targets(sizes, share=1.5, most=2.0):
@@ -20,11 +24,93 @@ def targets(sizes, share=1.5, most=2.0):
         fixed.update({s: most * sizes[s] for s in above})
 
 
-def test_mix(documents):
+def spark_hash(*values):
+    """Spark's xxhash64 of integers given as (value, bytes), texts and nulls."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else (v[0] % (1 << 8 * v[1])).to_bytes(v[1], "little")
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_split(total, marked, taken, chance):
+    """The number at which the exact distribution function passes a chance."""
+    run = Fraction(0)
+    for k in range(max(0, taken + marked - total), min(taken, marked) + 1):
+        run += Fraction(comb(marked, k) * comb(total - marked, taken - k), comb(total, taken))
+        if run > chance:
+            return k
+    return min(taken, marked)
+
+
+def brute_mix(rows, block_words, levels=4):
+    """(copies, leaves) of each document from the quotas of blocks, drawn with exact fractions."""
+    sizes = defaultdict(int)
+    weights = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+        weights[s] += len(t.split()) + 1
+    want = targets(sizes)
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    blocks, draws = defaultdict(list), {}
+    for i, t, s in rows:
+        h = spark_hash((41, 4), (i, 8), (spark_hash(t), 8))
+        bits = max(8, ceil(log2(weights[s] / block_words)))
+        blocks[order.index(s) + 1, h >> 64 - bits].append((signed(h), len(t.split()), i))
+    cut = {}
+    for k, s in enumerate(order, 1):
+        whole = floor(want[s] / sizes[s])
+        rest, before = want[s] - whole * sizes[s], 0
+        own = [b for b in blocks if b[0] == k]
+        for b in sorted(own, key=lambda b: (signed(spark_hash((47, 4), (k, 4), (b[1], 8))), b[1])):
+            words = sum(x[1] for x in blocks[b])
+            draws[b] = whole + (0 < rest and before < rest)
+            if draws[b] > whole and before + words > rest:
+                at = before
+                for h, n, _ in sorted(blocks[b]):
+                    if at + n / 2 >= rest:
+                        cut[b] = min(cut.get(b, h), h)
+                    at += n
+            before += words
+    quota = Counter()
+    for b, n in draws.items():
+        quota[b[0]] += n
+    nodes = {0: {k: n for k, n in quota.items() if n}}
+    for level in range(levels):
+        below = {}
+        for node, counts in nodes.items():
+            total = sum(counts.values())
+            taken, left = (total + node % 2) // 2, {}
+            for k in sorted(counts):
+                chance = signed(spark_hash((53, 4), (level, 4), (node, 4), (k, 4))) % (1 << 53) / float(1 << 53)
+                left[k] = brute_split(total, counts[k], taken, chance)
+                total, taken = total - counts[k], taken - left[k]
+            below[2 * node], below[2 * node + 1] = left, {k: counts[k] - left[k] for k in counts}
+        nodes = below
+    owners = {}
+    for k in quota:
+        mine = sorted((signed(spark_hash((59, 4), (k, 4), (b[1], 8), (p, 4))), b, p) for b in draws if b[0] == k for p in range(1, draws[b] + 1))
+        leaf_of = [leaf for leaf in sorted(nodes) for _ in range(nodes[leaf].get(k, 0))]
+        owners |= {(b, p): leaf for (_, b, p), leaf in zip(mine, leaf_of)}
+    out = {}
+    for b, docs in blocks.items():
+        for h, _, i in docs:
+            leaves = [owners[b, p] for p in range(1, draws[b] + 1)]
+            out[i] = leaves[:-1] if b in cut and h >= cut[b] else leaves
+    return out
+
+
+@pytest.mark.parametrize("block_words", [1 << 20, 16])
+def test_mix(documents, block_words):
     rnd = random.Random(3)
     rows = [(i, " ".join("w" * rnd.randint(1, 60)), rnd.choice(["a", "a", "a", "a", "b", "c", "d", None])) for i in range(2000)]
-    got = mix(documents(rows)).collect()
-    sizes, taken, want = defaultdict(int), defaultdict(int), None
+    got = mix(documents(rows), block_words=block_words).collect()
+    sizes, taken = defaultdict(int), defaultdict(int)
     by = {i: s for i, _, s in rows}
     for r in got:
         sizes[by[r["doc_id"]]] += r["size"]
@@ -33,12 +119,36 @@ def test_mix(documents):
     want = targets(sizes)
     for r in got:
         assert abs(r["target"] - want[by[r["doc_id"]]]) < 1e-6 and r["source_size"] == sizes[by[r["doc_id"]]]
-    assert all(abs(taken[s] - want[s]) <= 60 for s in sizes)
-    again = mix(documents(rows).repartition(5)).collect()
+    assert all(abs(taken[s] - want[s]) <= 30 for s in sizes)  # half of the longest document
+    assert {r["doc_id"]: r["shards"] for r in got} == brute_mix(rows, block_words)
+    again = mix(documents(rows).repartition(5), block_words=block_words).collect()
     assert {(r["doc_id"], r["copies"], tuple(r["shards"])) for r in got} == {(r["doc_id"], r["copies"], tuple(r["shards"])) for r in again}
-    out = mix(documents(rows), carry=True)
+    out = mix(documents(rows), carry=True, block_words=block_words)
     assert out.columns[:-2] == documents(rows).columns and out.columns[-2:] == ["_shard", "position"]
-    assert Counter(r["doc_id"] for r in out.collect()) == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
+    copies = out.collect()
+    assert Counter((r["doc_id"], r["_shard"]) for r in copies) == Counter((r["doc_id"], s) for r in got for s in r["shards"])
+    assert len({r["position"] for r in copies}) == len(copies)
+
+
+def test_splits_follow_the_hypergeometric_law(spark):
+    cases = [(20, 7, 10), (300, 280, 150), (1000, 5, 500), (5, 0, 2), (6, 6, 3), (0, 0, 0), (9, 4, 0)]
+    chances = [k / 97 for k in range(97)]
+    df = spark.createDataFrame([(*c, u) for c in cases for u in chances], "t long, m long, n long, u double")
+    for r in df.withColumn("k", hypergeometric(*(F.col(c) for c in "tmnu"))).collect():
+        assert r["k"] == brute_split(r["t"], r["m"], r["n"], Fraction(r["u"])), r
+    large = spark.range(400).select(hypergeometric(F.lit(30_000_000), F.lit(10_000_000), F.lit(15_000_000), (F.col("id") + 0.5) / 400).alias("k")).collect()
+    mean, deviation = 5_000_000, (15e6 * (1 / 3) * (2 / 3) * 0.5) ** 0.5
+    z = [(r["k"] - mean) / deviation for r in large]
+    assert abs(sum(z)) < 4 and abs(sum(x * x for x in z) / 400 - 1) < 0.02
+
+
+def test_tree_keeps_quotas(spark):
+    quotas = {k: (5 * k * k + 1) % 97 for k in range(1, 30)}
+    table = spark.createDataFrame([(k, n) for k, n in quotas.items()], "sid int, passes int")
+    ends = {r["sid"]: r["ends"] for r in splitting_tree(table, 4).collect()}
+    assert {k: e[-1] for k, e in ends.items()} == quotas and all(e == sorted(e) and len(e) == 16 for e in ends.values())
+    leaves = [sum(e[k] - (e[k - 1] if k else 0) for e in ends.values()) for k in range(16)]
+    assert max(leaves) - min(leaves) <= 1
 
 
 def test_mix_of_odd_rows(odd, none):
