@@ -2,29 +2,34 @@
 
 A document is the set of its distinct word n-grams, each a 64-bit hash.  If two sets
 are similar enough, then under any global order of tokens their prefixes of length
-``size - ceil(t * size) + 1`` share a token.  Here all orders put a fixed pseudo-random
-part of the token space first and rare tokens before frequent ones; they differ in how
-tokens of like frequency follow each other.  Candidates share a prefix token under the
-first order; only those that also share one under each of the others, and whose parity
-bitmaps don't prove them too far apart, are verified on whole sets.  Tokens that a single document has fill prefixes without being able to
-match, so they are only counted.  A first sieve counts just the part of the token space
-that comes first; what passes it is read again and sieved on all tokens, counted among
-those that passed.
+``size - ceil(t * size) + 1`` share a token.  A first sieve looks at a fixed pseudo-random
+part of the token space, put first in an order of its own: sets whose prefix there has no
+token that another set has can't link.  What passes is read again in whole.  The second
+sieve counts all tokens among what passed; its three orders put rare tokens before frequent
+ones and differ in how tokens of like frequency follow each other.  Candidates share a
+prefix token under the first order; only those that also share one under each of the
+others, and whose sizes and parity bitmaps don't prove them too far apart, are verified on
+whole sets.  Tokens that a single set has fill prefixes without being able to match, so
+they are only counted.
 
 Equal sets are one node from the start.  Links join components in two rounds: first
-each token's documents are held against the token's first document, then what shares a
+each token's documents are held against the token's largest document, then what shares a
 token but not yet a component is compared in full.  Large groups of near copies thus
 cost a comparison each, and no link between components is lost.
+
+Tokens so frequent that there can only be HOT of them meet their postings by broadcast,
+the others by a shuffle in which each has a small share; pairs of a token are salted.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -40,6 +45,10 @@ MAP_BITS = 1 << 26
 NAME = (1 << 48) - 1
 #: Bits of a set's parity bitmap.
 BITS = 512
+#: Tokens that can be hot, at most: those with more than 1 / HOT of all postings.
+HOT = 1 << 15
+#: Bytes from which a word is hashed by itself.
+LONG_WORD = 256
 
 _U = np.uint64
 _MIX = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
@@ -47,8 +56,8 @@ _BASE = 0x9E3779B97F4A7C15
 _RNG = np.random.default_rng(20240)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: A random odd value for each byte, A-Z as a-z.
-_BYTE = (_RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1))[_LOWER]
+#: Masks of the first 0 to 7 bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 _PLACE = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
@@ -62,26 +71,32 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2 ** 64, grown as needed."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def reach(self, n: int) -> None:
-        if len(self.up) < n:
-            size = max(n, BATCH + 4096)
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(size, _U(base))
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word of ``data``, A-Z as a-z: eight bytes at a time, each step a scrambling of all before."""
+    low = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(low) - 7,), "<u8", low.data, strides=(1,))
+    size = end - begin
+    out = mix(size.astype(np.uint64), 3)
+    left = np.flatnonzero(size < LONG_WORD)
+    at = 0
+    while len(left):
+        rest = size[left] - at
+        part = eights[begin[left] + at]
+        last = rest < 8
+        part[last] &= _FIRST[rest[last]]
+        out[left] = mix(out[left] ^ part, 4)
+        left = left[rest > 8]
+        at += 8
+    for k in np.flatnonzero(size >= LONG_WORD):
+        out[k] = int.from_bytes(hashlib.blake2b(low[begin[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
-def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int, powers: Powers) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; texts lie one after another in ``data``.
 
-    A word is a run of non-blank bytes, hashed as a polynomial of its bytes and then
-    scrambled; a text with fewer words than ``width`` is one shingle of all its words.
+    A word is a run of non-blank bytes; a text with fewer words than ``width`` is one
+    shingle of all its words.
     """
     n = len(starts) - 1
     blank = _BLANK[data]
@@ -97,11 +112,7 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int, powers: Power
     closes[:-1] &= blank[1:]
     last = starts[1:][starts[:-1] < starts[1:]] - 1
     closes[last] = ~blank[last]
-    end = np.flatnonzero(closes) + 1
-    powers.reach(len(data) + 1)
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers.up[: len(data)], out=run[1:])
-    words = mix((run[end] - run[begin]) * powers.down[begin] + (end - begin).astype(np.uint64))
+    words = word_hashes(data, begin, np.flatnonzero(closes) + 1)
 
     edges = np.searchsorted(begin, starts)  # of words, by text
     grams = np.zeros(max(0, len(words) - width + 1), np.uint64)
@@ -119,7 +130,7 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int, powers: Power
     return out
 
 
-def text_sets(column: pa.Array, width: int, powers: Powers) -> Iterator[np.ndarray]:
+def text_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Shingle sets of a column of texts, null as empty, in runs of bounded size."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
@@ -129,7 +140,7 @@ def text_sets(column: pa.Array, width: int, powers: Powers) -> Iterator[np.ndarr
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH, "right")) - 1)
-        yield from shingle_sets(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], width, powers)
+        yield from shingle_sets(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], width)
         at = to
 
 
@@ -168,10 +179,10 @@ def jaccard_components(
     limit = _U(int(share * (1 << 32)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, seen = Powers(), set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             sizes, ones, twos, tokens, rest = [], [], [], [], []
-            for s in text_sets(batch.column(1), width, powers):
+            for s in text_sets(batch.column(1), width):
                 one, two = _fingerprint(s) if len(s) else (0, 0)
                 sizes.append(len(s)), ones.append(one), twos.append(two)
                 if not len(s) or (one, two) in seen:  # equal sets speak once in a task
@@ -189,10 +200,11 @@ def jaccard_components(
                 ["id", "digest", "n", "one", "two", "tokens", "rest"],
             )
 
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
+    source = _source(docs, text, key)
     kind = source.schema["id"].dataType.simpleString()
     read_schema = f"id {kind}, digest long, n long, one long, two long, tokens array<long>, rest array<long>"
-    read_rows = stage(source.mapInArrow(read, read_schema).withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
+    read_rows = source.mapInArrow(read, read_schema).withColumns({"row": F.monotonically_increasing_id(), "m": F.size("tokens"), "r": F.coalesce(F.size("rest"), F.lit(0))})
+    read_rows = stage(read_rows, "jaccard-rows")
     rows = stage(read_rows.select("row", "id", "digest", "n", "one", "two", F.col("tokens").isNotNull().alias("speaks")), "jaccard-names")
 
     # A set is named by its size and fingerprint; its node is the first row that spoke for it.
@@ -220,6 +232,10 @@ def jaccard_components(
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
+def _source(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
+
+
 def _lists(values: list) -> pa.Array:
     """A list array of numpy arrays and nulls without a Python object for each number."""
     ends = np.cumsum([0, *(0 if v is None else len(v) for v in values)], dtype=np.int32)
@@ -231,10 +247,11 @@ def _lists(values: list) -> pa.Array:
 def _links(docs: DataFrame, read_rows: DataFrame, rows: DataFrame, sets: DataFrame, width: int, num: int, den: int, text: str, key: str) -> DataFrame:
     """Verified links (a, b) that join the same nodes as all links."""
     # First sieve, on the part of the tokens that comes first: who has a shared token in its prefix at all.
-    spoken = read_rows.where("tokens is not null").select("row", "n", F.size("tokens").alias("m"), F.col("rest").isNotNull().alias("beyond"), "tokens", "rest")
+    spoken = read_rows.where("tokens is not null").select("row", "n", "m", F.col("rest").isNotNull().alias("beyond"), "tokens", "rest")
     postings = spoken.select("row", F.lit(1).alias("first"), F.explode("tokens").alias("token")).union(spoken.select("row", F.lit(0), F.explode("rest")))
+    limit = _limit(read_rows.where("m > 0 or r > 0"), F.greatest("m", F.lit(0)) + F.greatest("r", F.lit(0)))
     often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often >= 2")
-    shared = postings.join(often.select("token"), "token", "left_semi").groupBy("row").agg(F.sum("first").alias("shared"), F.sum(1 - F.col("first")).alias("shared2"))
+    shared = _by_token(postings, often, limit).groupBy("row").agg(F.sum("first").alias("shared"), F.sum(1 - F.col("first")).alias("shared2"))
     prefix = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1
     within = prefix > F.col("m") - F.col("shared")
     after = (F.col("shared") > 0) | (prefix - F.col("m") > F.col("n") - F.col("m") - F.col("shared2"))
@@ -242,10 +259,11 @@ def _links(docs: DataFrame, read_rows: DataFrame, rows: DataFrame, sets: DataFra
     open_ = open_.join(sets.select(F.col("node").alias("row")), "row", "left_semi")
     held = _whole_sets(docs, rows, open_, width, text, key)
 
-    # Second sieve, on whole sets and among those that passed: tokens of one of them come first in every order.
+    # Second sieve, on whole sets and among those that passed.
     postings = held.select("node", F.explode("tokens").alias("token")).withColumn("token", F.col("token").bitwiseAND(F.lit(NAME)))
+    limit = _limit(held, F.size("tokens"))
     often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often >= 2")
-    lists = postings.join(often, "token").groupBy("node").agg(F.collect_list(F.struct("often", "token")).alias("list"))
+    lists = _by_token(postings, often, limit).groupBy("node").agg(F.collect_list(F.struct("often", "token")).alias("list"))
     nodes = lists.join(held.select("node", F.size("tokens").cast("long").alias("n"), "bits"), "node").withColumn("s", F.size("list").cast("long"))
     nodes = nodes.withColumn("q", (prefix - (F.col("n") - F.col("s"))).cast("int")).where("q > 0")
 
@@ -263,9 +281,10 @@ def _links(docs: DataFrame, read_rows: DataFrame, rows: DataFrame, sets: DataFra
     apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(BITS // 64)), F.lit(0))
     close = close & (apart * (den + num) <= (F.col("n") + F.col("n2")) * (den - num))
     posted = nodes.select("node", "n", "s", "bits", F.explode("p0").alias("token"))
-    heads = posted.groupBy("token").agg(F.max(F.struct("s", "n", "node", "bits")).alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    heads = heads.select("token", F.col("head.node").alias("a"), F.col("head.n").alias("n2"), F.col("head.s").alias("s2"), F.col("head.bits").alias("bits2"))
-    stars = posted.join(heads, "token").where((F.col("node") != F.col("a")) & close).select("a", F.col("node").alias("b")).distinct()
+    limit = _limit(nodes, F.size("p0"))
+    heads = posted.groupBy("token").agg(F.max(F.struct("s", "n", "node", "bits")).alias("head"), F.count(F.lit(1)).alias("often")).where("often > 1")
+    heads = heads.select("token", "often", F.col("head.node").alias("a"), F.col("head.n").alias("n2"), F.col("head.s").alias("s2"), F.col("head.bits").alias("bits2"))
+    stars = _by_token(posted, heads, limit).where((F.col("node") != F.col("a")) & close).select("a", F.col("node").alias("b")).distinct()
     stars = stage(stars, "jaccard-pairs")
     found = stage(_verified(_filtered(stars, nodes), held, num, den), "jaccard-links")
 
@@ -273,18 +292,34 @@ def _links(docs: DataFrame, read_rows: DataFrame, rows: DataFrame, sets: DataFra
     labels = components(found)
     marked = stage(posted.join(labels, "node", "left").select("token", "node", "n", "s", "bits", F.coalesce("label", "node").alias("part")), "jaccard-marked")
     parts = marked.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many"))
-    mixed = parts.groupBy("token").agg(F.max(F.struct("many", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("top.part").alias("large"))
-    left = marked.join(mixed, "token").where("part <> large").drop("large")
-    other = marked.select("token", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("bits").alias("bits2"), F.col("part").alias("part2"))
-    pairs = left.join(other, "token").where((F.col("part") != F.col("part2")) & close)
+    mixed = parts.groupBy("token").agg(F.max(F.struct("many", "part")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("many").alias("often"))
+    mixed = mixed.where("parts > 1").select("token", "often", F.col("top.part").alias("large"))
+    several = stage(_by_token(marked, mixed, limit).withColumn("salts", (F.floor(F.col("often") / limit) + 1).cast("int")), "jaccard-several")
+    left = several.where("part <> large").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    left = left.select("token", "salt", "node", "n", "s", "bits", "part")
+    other = several.select("token", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("bits").alias("bits2"), F.col("part").alias("part2"))
+    pairs = left.join(other, ["token", "salt"]).where((F.col("part") != F.col("part2")) & close)
     pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stage(pairs.join(known, ["a", "b"], "left_anti"), "jaccard-pairs")
     late = stage(_verified(_filtered(pairs, nodes), held, num, den), "jaccard-links")
-    discard(read_rows, held, nodes, stars, marked, pairs)
+    discard(read_rows, held, nodes, stars, marked, several, pairs)
     return found.union(late)
 
 
+def _limit(table: DataFrame, postings: Column) -> int:
+    """Postings above which a token is hot; less than HOT tokens can be."""
+    return max(2, (table.agg(F.sum(postings)).first()[0] or 0) // HOT)
+
+
+def _by_token(rows: DataFrame, table: DataFrame, limit: int) -> DataFrame:
+    """``rows`` with the columns of ``table``, one row a token with its frequency ``often``; no hot token meets in one task."""
+    hot = table.where(F.col("often") > limit)
+    few = rows.join(F.broadcast(hot), "token")
+    rest = rows.join(F.broadcast(hot.select("token")), "token", "left_anti")
+    return few.unionByName(rest.join(table.where(F.col("often") <= limit), "token"))
+
+
 def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs that share a prefix token under each of the other orders too."""
     a = nodes.select(F.col("node").alias("a"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
@@ -295,17 +330,17 @@ def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _whole_sets(docs: DataFrame, rows: DataFrame, open_: DataFrame, width: int, text: str, key: str) -> DataFrame:
     """``node, tokens, bits``: the whole sets of the given rows, read from the texts again."""
-    wanted = stage(rows.join(open_, "row").select("row", "id", "one", "two", "n"), "jaccard-open")
-    source = _likely(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), wanted)
-    asked = source.join(wanted, source["id"].eqNullSafe(wanted["id"])).select("text", "row", "n", "one", "two")
+    wanted = stage(rows.join(open_, "row").select("row", F.col("id").alias("of"), F.col("digest").alias("with"), "one", "two", "n"), "jaccard-open")
+    source = _likely(_source(docs, text, key), wanted.select(F.col("of").alias("id"), F.col("with").alias("digest")))
+    # Key and digest of the text together, as one key may have any number of rows.
+    asked = source.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("with"))).select("text", "row", "n", "one", "two")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in batches:
             names = zip(*(batch.column(k).to_pylist() for k in range(1, 5)))
             nodes, values, bits = [], [], []
-            for s, (row, n, one, two) in zip(text_sets(batch.column(0), width, powers), names):
-                # Rows that repeat a key may have other texts; the fingerprint picks the right one.
+            for s, (row, n, one, two) in zip(text_sets(batch.column(0), width), names):
+                # Two texts of a key may have one digest; the fingerprint picks the right one.
                 if len(s) == n and _fingerprint(s) == (one, two):
                     nodes.append(row), values.append(s.view(np.int64)), bits.append(_parities(s))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(values), pa.array(bits, pa.list_(pa.int64()))], ["node", "tokens", "bits"])
@@ -317,16 +352,16 @@ def _whole_sets(docs: DataFrame, rows: DataFrame, open_: DataFrame, width: int,
 
 
 def _likely(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``source`` whose ``id`` may be in ``wanted``, so that texts nobody asks for aren't shuffled.
+    """Rows of ``source`` whose key and digest may be in ``wanted``, so that texts nobody asks for aren't shuffled.
 
     The filter is a bitmap of hashed identifiers in MAP_BITS / 32768 rows of 4 KB, whatever the input.
     """
-    slot = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
+    slot = F.pmod(F.xxhash64("id", "digest"), F.lit(MAP_BITS))
     bucket, bit = F.floor(slot / 32768).cast("int"), slot % 32768
     maps = stage(wanted.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("map")), "jaccard-map")
     byte = F.conv(F.hex(F.substring("map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     near = source.withColumn("bucket", bucket).join(F.broadcast(maps), "bucket")
-    return near.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select("id", "text")
+    return near.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select("id", "text", "digest")
 
 
 def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:

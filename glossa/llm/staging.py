@@ -76,7 +76,7 @@ def scope() -> Iterator[list[DataFrame]]:
     try:
         yield held
     finally:
-        _scopes.remove(held)
+        _scopes.pop()
         discard(*held)
 
 

@@ -68,10 +68,54 @@ def test_hashes_follow_the_words():
     texts = ["One two  three", "one two three", "one\ntwo\tthree four", "é É", "", "x"]
     data = "".join(texts).encode()
     starts = np.cumsum([0] + [len(t.encode()) for t in texts])
-    a, b, c, d, e, f = jj.shingle_sets(np.frombuffer(data, np.uint8), starts, 3, jj.Powers())
+    a, b, c, d, e, f = jj.shingle_sets(np.frombuffer(data, np.uint8), starts, 3)
     assert (a == b).all() and len(c) == 2 and a[0] in c and len(d) == 1 and len(e) == 0 and len(f) == 1
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_of_any_length_differ():
+    swap = str.maketrans("ab", "ba")
+    words = [w for k in (8, 64, 255, 256, 257, 1024, 4096) for w in (thue_morse(k), thue_morse(k).translate(swap))]
+    words += ["x" * k for k in range(1, 300)] + [f"{'y' * k}z" for k in range(300)] + ["a\0", "a", "a\0\0"]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    hashes = jj.word_hashes(data, ends - [len(w) for w in words], ends)
+    assert len(set(hashes.tolist())) == len(set(words))
+    upper = np.frombuffer(" ".join(words).upper().encode(), np.uint8)
+    assert (jj.word_hashes(upper, ends - [len(w) for w in words], ends) == hashes).all()
+
+
+def test_colliding_polynomials_stay_apart(documents):
+    texts = [f"one two {w} three four five" for k in (1024, 2048) for w in (thue_morse(k), thue_morse(k).translate(str.maketrans("ab", "ba")))]
+    got = jj.jaccard_components(documents([(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in got)
+
+
+def test_one_key_in_many_rows(documents):
+    rows = [(None if i % 2 else 7, f"w{i} " + " ".join(f"v{(i // 4) * 100 + k}" for k in range(60)), "s") for i in range(400)]
+    got = jj.jaccard_components(documents(rows)).collect()
+    assert len(got) == 400 and sum(r["kept"] for r in got) == 1  # groups of four hold the key 7 each, so one component id
+    assert {r["component_id"] for r in got} == {7}
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 15])
+def test_hot_tokens(documents, monkeypatch, hot):
+    monkeypatch.setattr(jj, "HOT", hot)
+    rows = [(i, "every text begins with this line " + (f"a{i % 5} " * (i % 7)), "s") for i in range(300)]
+    sets = {i: shingles(t, 3) for i, t, _ in rows}
+    union = Union(sets)
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+                union.join(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in jj.jaccard_components(documents(rows), 3, 90, 100).collect()}
+    assert got == {i: union.find(i) for i in sets}
+
+
 def test_connected_components(spark):
     rnd = random.Random(10)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(60)]
