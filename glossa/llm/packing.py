@@ -1,21 +1,24 @@
 """Best-fit packing of documents into bins, with conflicts.
 
-Documents are dealt by a hash into groups of bounded size; each group is packed on
-its own, largest items first.  Open bins are kept in order of what is left in them
-and carry two bitmaps: which sources fill which of their slots, and which clusters
-of duplicates are present.  The search starts at the tightest bin that the item
-fits and goes on to the next until one is compatible; only then is a bin opened.
+Documents are cut into pieces that a bin can hold and dealt by a hash into groups of
+bounded size; each group is packed on its own, largest items first.  Open bins are kept
+in order of what is left in them and carry two bitmaps: which sources fill which of
+their slots, and which clusters of duplicates are present.  The search starts at the
+tightest bin that the item fits and goes on to the next until one is compatible; only
+then is a bin opened.  Pieces carry their text into their bins.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .mixing import word_count
+from .mixing import WORD, word_count
 from .staging import stage
 
 #: Words that a bin holds.
@@ -37,39 +40,69 @@ def pack_documents(
     text: str = "text",
     key: str = "doc_id",
     source: str = "source",
-    cluster: Column | None = None,
+    cluster: Column | DataFrame | None = None,
     slots: int = SOURCE_SLOTS,
     group: int = GROUP,
 ) -> DataFrame:
-    """One row per piece of a document: ``doc_id, piece, piece_start, size, bin, position, bin_offset, bin_fill``.
+    """One row per piece of a document: ``doc_id, piece, piece_start, size, bin, position, bin_offset, bin_fill, text``.
 
     Sizes are words.  A document longer than ``capacity`` is cut into pieces of
-    ``capacity`` words and a rest; every word is in one piece.  A bin holds at most
-    ``capacity`` words, at most ``slots`` pieces of one source and no two of one
-    cluster (by default, of texts equal but for case and white space).  Null sources
-    and null clusters conflict with nothing.  Empty and null texts are pieces of 0
-    words; rows that repeat count each; an empty table gives an empty result; other
-    columns are ignored.  ``bin_offset`` is where in its bin a piece starts.
+    ``capacity`` words and a rest, each with the blanks after its words, so that its
+    pieces in order are its text.  A bin holds at most ``capacity`` words, at most
+    ``slots`` pieces of one source and no two of one cluster.  ``cluster`` is a column of
+    ``docs``, or a table of a key and a cluster such as a similarity join's components
+    (of a key's clusters the least counts), by default texts equal but for case and white
+    space.  Null sources and null clusters conflict with nothing.  Empty and null texts
+    are pieces of 0 words; rows that repeat count each; an empty table gives an empty
+    result; other columns are ignored.  ``bin_offset`` is the word of its bin at which a
+    piece starts.  Equal input gives equal bins whatever its partitions.
     """
-    items = docs.select(
+    joined = isinstance(cluster, DataFrame)
+    own = docs.select(
         F.col(key).alias("id"),
         F.col(source).cast("string").alias("source"),
-        (duplicate_cluster(F.col(text)) if cluster is None else cluster.cast("long")).alias("cluster"),
-        word_count(F.col(text)).alias("words"),
+        (F.lit(None) if joined else duplicate_cluster(F.col(text)) if cluster is None else cluster).cast("long").alias("cluster"),
+        F.col(text).alias("text"),
         F.xxhash64(text).alias("digest"),
     )
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("words") / F.lit(capacity))).cast("int")
-    items = items.select("*", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
-    start = F.col("piece").cast("long") * capacity
-    items = items.withColumns({"start": start, "size": F.least(F.lit(capacity), F.col("words") - start).cast("int")}).drop("words")
-    items = stage(items.withColumn("row", F.monotonically_increasing_id()), "pack-items")
-    groups = max(1, -(-items.count() // group))
-    # Equal rows go to different groups, so that a large cluster doesn't meet in one.
-    items = items.withColumn("grp", F.pmod(F.xxhash64(F.lit(71), "id", "piece", "digest", "row"), F.lit(groups)).cast("int"))
-    kind = items.schema["id"].dataType.simpleString()
+    if joined:
+        of, mark = (F.col(f"`{c}`") for c in cluster.columns[:2])
+        table = cluster.groupBy(of.alias("of")).agg(F.min(mark).cast("long").alias("cluster"))
+        own = own.drop("cluster").join(table, F.col("id") == F.col("of"), "left").drop("of")
+    # Rows alike in key and text are told apart by a number, so that they don't all meet in one group.
+    repeated = own.groupBy(F.col("id").alias("of"), F.col("digest").alias("with")).agg(F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    repeated = stage(repeated, "pack-repeated")
+    alike = F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("with"))
+    number = F.row_number().over(Window.partitionBy("id", "digest").orderBy("source"))
+    items = own.join(repeated, alike, "left_anti").withColumn("again", F.lit(0)).unionByName(own.join(repeated, alike, "left_semi").withColumn("again", number))
+    # About as many pieces as documents and their bytes make at six bytes a word.
+    about = docs.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / F.lit(6 * capacity))))).first()[0] or 0
+    groups = max(1, -(-int(about) // group))
+    kind = own.schema["id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(WORD)
+        for batch in batches:
+            take, pieces, starts, sizes, texts = [], [], [], [], []
+            for k, (words, t) in enumerate(zip(batch.column(5).to_pylist(), batch.column(6))):
+                if words <= capacity:
+                    take.append(k), pieces.append(0), starts.append(0), sizes.append(words), texts.append(t.as_py())
+                    continue
+                t = t.as_py()
+                edges = [0, *[m.start() for m in word.finditer(t)][capacity::capacity], len(t)]
+                for n, (a, b) in enumerate(zip(edges, edges[1:])):
+                    take.append(k), pieces.append(n), starts.append(n * capacity), sizes.append(min(capacity, words - n * capacity)), texts.append(t[a:b])
+            rows = pa.array(take, pa.int32())
+            columns = [batch.column(c).take(rows) for c in range(5)]
+            columns += [pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "source", "cluster", "digest", "again", "piece", "start", "size", "text"])
+
+    items = items.select("id", "source", "cluster", "digest", "again", word_count(F.col("text")).alias("words"), "text")
+    pieces = items.mapInArrow(cut, f"id {kind}, source string, cluster long, digest long, again int, piece int, start long, size int, text string")
+    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(71), "id", "piece", "digest", "again"), F.lit(groups)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("size", "descending"), ("id", "ascending"), ("digest", "ascending"), ("piece", "ascending"), ("row", "ascending")])
+        table = table.sort_by([("size", "descending"), *((c, "ascending") for c in ("id", "digest", "piece", "again"))])
         sizes, sources, clusters = (table[c].to_pylist() for c in ("size", "source", "cluster"))
         placed, offsets, fills = best_fit(sizes, sources, clusters, capacity, slots)
         first = table["grp"][0].as_py() << 32 if len(table) else 0
@@ -79,11 +112,11 @@ def pack_documents(
             positions.append(seen.get(b, 0))
             seen[b] = positions[-1] + 1
         columns = [table["id"], table["piece"], table["start"], table["size"], pa.array([first + b for b in placed], pa.int64())]
-        columns += [pa.array(positions, pa.int32()), pa.array(offsets, pa.int32()), pa.array([fills[b] for b in placed], pa.int32())]
-        return pa.table(columns, ["doc_id", "piece", "piece_start", "size", "bin", "position", "bin_offset", "bin_fill"])
+        columns += [pa.array(positions, pa.int32()), pa.array(offsets, pa.int32()), pa.array([fills[b] for b in placed], pa.int32()), table["text"]]
+        return pa.table(columns, ["doc_id", "piece", "piece_start", "size", "bin", "position", "bin_offset", "bin_fill", "text"])
 
-    schema = f"doc_id {kind}, piece int, piece_start long, size int, bin long, position int, bin_offset int, bin_fill int"
-    return items.groupBy("grp").applyInArrow(pack, schema)
+    schema = f"doc_id {kind}, piece int, piece_start long, size int, bin long, position int, bin_offset int, bin_fill int, text string"
+    return pieces.groupBy("grp").applyInArrow(pack, schema)
 
 
 def best_fit(
@@ -126,14 +159,8 @@ def best_fit(
     return placed, offsets, fills
 
 
-def packed_texts(docs: DataFrame, packing: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``bin, doc_ids, text`` of each bin: its pieces in order, their words joined by spaces, pieces by blank lines.
-
-    ``packing`` is what :func:`pack_documents` gives for ``docs``; keys must be unique and not null.
-    """
-    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    held = docs.select(F.col(key).alias("doc_id"), words.alias("words"))
-    piece = F.array_join(F.slice("words", (F.col("piece_start") + 1).cast("int"), "size"), " ")
-    rows = packing.join(held, "doc_id").select("bin", F.struct("position", "doc_id", piece.alias("text")).alias("piece"))
-    bins = rows.groupBy("bin").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))  # a bin is bounded by its capacity
-    return bins.select("bin", F.col("pieces.doc_id").alias("doc_ids"), F.array_join("pieces.text", "\n\n").alias("text"))
+def packed_texts(packing: DataFrame, between: str = "\n\n") -> DataFrame:
+    """``bin, doc_ids, text`` of each bin that :func:`pack_documents` gives: its pieces in order, null as empty, with ``between`` between them."""
+    piece = F.struct("position", "doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("piece")
+    bins = packing.select("bin", piece).groupBy("bin").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))  # a bin is bounded by its capacity
+    return bins.select("bin", F.col("pieces.doc_id").alias("doc_ids"), F.array_join("pieces.text", between).alias("text"))
