@@ -15,7 +15,7 @@ from .secrets import scan_secrets
 from .sharding import shard_documents
 from .token_counts import count_tokens
 from .toxicity import toxicity
-from .url_filters import SPAM_TOKENS, Rule, judge_urls
+from .url_filters import Rule, judge_urls
 
 #: The rule table of op2.
 URL_RULES = [
@@ -86,10 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-_SPAM = "|".join(SPAM_TOKENS)
-
 ORACLE_SQL: dict[str, str] = {
-    "op2_url_filters": rf"""
+    "op2_url_filters": r"""
         WITH rules(rule, host, path, verdict) AS (VALUES
             ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
             ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
@@ -97,14 +95,20 @@ ORACLE_SQL: dict[str, str] = {
         parts AS (
             SELECT page_id, row_number() OVER () AS r,
                 translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path
+                regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path,
+                regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)(\?[^#]*)?', 3) AS query
             FROM pages),
         best AS (
             SELECT p.r, arg_max(u.rule, length(u.rule)) AS rule, arg_max(u.verdict, length(u.rule)) AS verdict
             FROM parts p JOIN rules u ON (p.host = u.host OR ends_with(p.host, '.' || u.host)) AND starts_with(p.path, u.path)
             GROUP BY p.r)
         SELECT page_id, host, path, rule,
-            coalesce(best.verdict, CASE WHEN regexp_matches(host, '(^|[^a-z0-9])({_SPAM})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+            coalesce(best.verdict, CASE
+                WHEN regexp_matches(host, '(?i)(^|[^a-z0-9])(bets|betting|casino|cheap|loans|lottery|pills|poker|porn|slots|viagra|warez|xxx)([^a-z0-9]|$)') THEN 'block'
+                WHEN regexp_matches(host, '(?is)adserver.*\.') THEN 'block'
+                WHEN regexp_matches(path || query, '(?is)^/((wp-login|xmlrpc)\.php([^a-z0-9]|$)|cgi-bin/|.*/(cart|checkout)([^a-z0-9]|$)|.*\.exe$|.*[^a-z0-9]sessionid([^a-z0-9]|$)|.*/print/.*\?)')
+                    THEN 'block'
+                ELSE 'allow' END) AS verdict
         FROM parts LEFT JOIN best USING (r)""",
     "op3_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS (

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 from math import ceil, comb, floor, log2
@@ -7,7 +8,7 @@ import pytest
 import xxhash
 from glossa.llm.mixing import hypergeometric, mix, splitting_tree
 from glossa.llm.packing import best_fit, pack_documents, packed_texts
-from glossa.llm.url_filters import Rule, judge_urls
+from glossa.llm.url_filters import DEFAULT_PATTERNS, Pattern, Rule, judge_urls
 from pyspark.sql import functions as F
 
 
@@ -202,25 +203,77 @@ def test_packing(documents, odd, none):
         assert sorted(r["position"] for r in b) == list(range(len(b)))
         assert sum(r["doc_id"] >= 900 for r in b) <= 1
         assert max(Counter(source[r["doc_id"]] for r in b).values()) <= 4
-    assert len(pack_documents(odd).where("piece = 0").collect()) == 9 and pack_documents(none).count() == 0
-    some = documents(rows[:50])
-    texts = packed_texts(some, pack_documents(some, capacity=128)).collect()
-    assert sorted(w for r in texts for w in r["text"].split()) == sorted(w for _, t, _ in rows[:50] for w in t.split())
+    text = {i: t for i, t, _ in rows}
+    whole = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["piece"]):
+        whole[r["doc_id"]].append(r["text"])
+    assert {i: "".join(parts) for i, parts in whole.items()} == text
+    assert all(len(r["text"].split()) == r["size"] for r in got)
+    bins_of = {r["bin"]: r for r in packed_texts(pack_documents(documents(rows), capacity=128, group=200)).collect()}
+    assert all(bins_of[b]["doc_ids"] == [r["doc_id"] for r in sorted(rs, key=lambda r: r["position"])] for b, rs in bins.items())
+    assert all(bins_of[b]["text"] == "\n\n".join(r["text"] for r in sorted(rs, key=lambda r: r["position"])) for b, rs in bins.items())
+
+
+def test_packing_of_odd_rows(odd, none):
+    got = pack_documents(odd).collect()
+    assert sum(r["piece"] == 0 for r in got) == 9 and pack_documents(none).count() == 0
+    assert sorted(str(r["text"]) for r in got if r["size"] == 0) == ["", " \n\t ", "None"]
+
+
+def test_packing_of_repeated_rows_is_the_same_on_other_partitions(documents):
+    rnd = random.Random(15)
+    rows = [(rnd.choice([None, 1, 2, i]), rnd.choice(["a b", "c", " ".join("x" * rnd.randint(1, 50))]), rnd.choice(["s", None])) for i in range(600)] + [(5, "hot", "s")] * 300
+    runs = [Counter(map(tuple, pack_documents(documents(rows).repartition(n), capacity=40, group=50).collect())) for n in (1, 7)]
+    assert runs[0] == runs[1]
+    groups = Counter(r[4] >> 32 for r in runs[0].elements() if r[0] == 5)
+    assert len(groups) > 5 and max(groups.values()) < 150  # a row that repeats doesn't meet in one group
+
+
+def test_packing_with_clusters_of_a_join(spark, documents):
+    docs = documents([(i, f"text {i}", str(i)) for i in range(60)])
+    clusters = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (None, 0)], "doc_id long, component_id long")
+    member = {i: i % 2 for i in range(40)} | {3: 0}
+    bins = defaultdict(list)
+    for r in pack_documents(docs, cluster=clusters).collect():
+        bins[r["bin"]].append(member.get(r["doc_id"]))
+    assert all(max(Counter(c for c in b if c is not None).values(), default=0) <= 1 for b in bins.values())
+    assert len(bins) == 21 and sum(map(len, bins.values())) == 60
 
 
 RULES = [Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"), Rule("www.example.com", "/en/", "allow"), Rule("net", "/es/", "block")]
+PATTERNS = (*DEFAULT_PATTERNS, Pattern("news.org/*/live|", "allow"), Pattern("news.org/*", "block"), Pattern("track*.io", "block"), Pattern("/a^b/", "block"))
 URLS = [
     ("http://a.example.com/en/1", "example.com/en/", "block"), ("HTTP://WWW.Example.COM/en/", "www.example.com/en/", "allow"), ("http://badexample.com/en/", "com/", "allow"),
     ("http://example.com/EN/", "com/", "allow"), ("http://example.com", None, "allow"), ("http://x.net/es/?q=/en/", "net/es/", "block"), ("http://x.net/es", None, "allow"),
     ("http://free-bets.example.org/", None, "block"), ("http://alphabets.org/", None, "allow"), ("x.com/en/", None, "allow"), ("", None, "allow"), (None, None, "allow"), ("a://b://c.com/", None, "allow"),
-    ("http://h?x://example.com/en/", None, "allow"), ("http://com/", "com/", "allow"),
+    ("http://h?x://example.com/en/", None, "allow"), ("http://com/", "com/", "allow"), ("http://CASINO.org", None, "block"), ("http://a.org/casino/", None, "allow"),
+    ("http://a.org/shop/Cart?x=1", None, "block"), ("http://a.org/shop/cartoon", None, "allow"), ("http://a.org/x.EXE", None, "block"), ("http://a.org/x.exe/", None, "allow"),
+    ("http://a.org/x?sessionid=1", None, "block"), ("http://a.org/x?mysessionid=1", None, "allow"), ("http://eu.news.org/a/live", None, "allow"), ("http://news.org/a/live/", None, "block"),
+    ("http://badnews.org/a", None, "allow"), ("http://x.tracker9.io/", None, "block"), ("http://a.org/A-b/1", None, "block"), ("http://a.org/ab/", None, "allow"), ("http://a.org/x/print/1?p", None, "block"),
+    ("http://myadserver7.org", None, "block"), ("http://a.org?/cgi-bin/", None, "allow"), ("http://a.org/cgi-bin/x#y", None, "block"), ("http://casino\u212a.org/", None, "block"),
 ]
 
 
 @pytest.mark.parametrize("literal", [500, 0])
 def test_urls(spark, literal):
     pages = spark.createDataFrame([(i, u[0], "h", "p") for i, u in enumerate(URLS)] * 2, "page_id long, url string, host string, rule string")
-    got = judge_urls(pages, RULES, literal_rules=literal).collect()
+    got = judge_urls(pages, RULES, patterns=PATTERNS, literal_rules=literal).collect()
     assert len(got) == 2 * len(URLS)
     assert {(r["page_id"], r["rule"], r["verdict"]) for r in got} == {(i, rule, v) for i, (_, rule, v) in enumerate(URLS)}
     assert judge_urls(pages.where("false"), RULES, literal_rules=literal).count() == 0
+    assert judge_urls(pages, [], patterns=(), literal_rules=literal).where("verdict <> 'allow'").count() == 0
+
+
+def test_rules_are_filed_under_tokens_that_their_urls_have():
+    rnd = random.Random(18)
+    letters = ["a", "b", "1", ".", "/", "?", "-", "*", "^", "|"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 7)))
+        rule = Pattern(text if "|" not in text[:-1] else text.replace("|", "") + "|", "block")
+        fits = re.compile(rule.pattern.replace(r"\z", r"\Z"))
+        for _ in range(20):
+            host, path = "".join(rnd.choice("aAb1.-") for _ in range(rnd.randint(0, 5))), "".join(rnd.choice("aAb1./-") for _ in range(rnd.randint(0, 5)))
+            query = rnd.choice(["", "?" + "".join(rnd.choice("ab1?-") for _ in range(3))])
+            path = "/" + path if path else ""
+            if fits.search(host + path + query):
+                assert set(rule.tokens) <= set(re.split("[^a-z0-9]+", f"{host} {path} {query}".lower())), (rule, host, path, query)
