@@ -1,12 +1,12 @@
 """Secret scans with structural confirmation.
 
 Base patterns give spans by themselves.  The method adds spans whose content it
-can confirm: base64 or hexadecimal candidates are decoded, private keys must parse
-with nested lengths that fill each other exactly, signed tokens must have a
-decodable header that names an algorithm, and other encoded text must hold a base
-pattern or something confirmed itself, at any depth.  Candidates have at least the
-length that the shortest base pattern of 12 bytes has when encoded; a run broken by
-line ends is as many candidates.
+can confirm: base64 or hexadecimal candidates are decoded, private keys must have the
+fields of one of the known encodings with nested lengths that fill each other exactly,
+signed tokens must have a decodable header that names an algorithm, and other encoded
+text must hold a base pattern or something confirmed itself, at any depth.  Candidates
+have at least the length that the shortest base pattern of 12 bytes has when encoded; a
+run broken by line ends is as many candidates, except within the armour of a key.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +29,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "jwt", "key", "encoded")
 
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+#: The shortest header that names an algorithm, {"alg":"x"}, is 15 characters in base64.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{15,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
+_END = re.compile(r"-----END [A-Z0-9 ]*-----")
+_HEADER = re.compile(r"[\x20\t]*([A-Za-z0-9-]+):[\x20\t]*(.*)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _LONG_HEX = re.compile(r"[0-9A-Fa-f]{24,}")
 
@@ -67,32 +71,139 @@ def _header(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, start, start + size) if start + size <= end else None
 
 
+def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of elements that fill a stretch exactly; None if they don't."""
+    out = []
+    while at < end:
+        element = _header(data, at, end)
+        if element is None:
+            return None
+        out.append(element)
+        at = element[2]
+    return out
+
+
+# Tags of the encodings of keys.
+_INTEGER, _BITS, _OCTETS, _OBJECT, _SEQUENCE, _FIRST, _SECOND = 0x02, 0x03, 0x04, 0x06, 0x30, 0xA0, 0xA1
+
+
+def _nests(data: bytes, at: int, end: int) -> bool:
+    """Whether all nested lengths fill each other."""
+    left = [(at, end)]
+    while left:
+        inner = _elements(data, *left.pop())
+        if inner is None:
+            return False
+        left += [(a, b) for tag, a, b in inner if tag & 0x20]  # made of further elements
+    return True
+
+
 def is_private_key(data: bytes) -> bool:
-    """Whether bytes are a private key: a sequence of a small version number and more, all nested lengths filled exactly."""
+    """Whether bytes are a private key of one of the known encodings, all nested lengths filled exactly.
+
+    These are: version, algorithm identifier and octets (PKCS #8); the same encrypted,
+    without version; version and nine integers or more (RSA) or five (DSA); version 1,
+    octets and tagged parameters (EC); and OpenSSH's own.
+    """
     if data.startswith(b"openssh-key-v1\0"):
-        at = len(b"openssh-key-v1\0")
-        for _ in range(3):  # cipher, key derivation, its options
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at + 4 <= len(data)
+        return _is_openssh_key(data)
     top = _header(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
+    if top is None or top[0] != _SEQUENCE or top[2] != len(data) or not _nests(data, top[1], top[2]):
         return False
-    first = _header(data, top[1], top[2])
-    if first is None or first[0] != 0x02 or first[2] - first[1] != 1 or data[first[1]] > 3 or first[2] == top[2]:
+    fields = _elements(data, top[1], top[2]) or []
+    tags = [f[0] for f in fields]
+    named = lambda f: data[f[1] : f[1] + 1] == bytes([_OBJECT]) and (_header(data, f[1], f[2]) or (0, 0, 0))[2] > f[1] + 2
+    if tags == [_SEQUENCE, _OCTETS]:
+        return named(fields[0]) and fields[1][2] - fields[1][1] >= 16
+    if len(tags) < 3 or tags[0] != _INTEGER or fields[0][2] - fields[0][1] != 1:
         return False
-    left = [(top[1], top[2])]
-    while left:
-        at, end = left.pop()
-        while at < end:
-            element = _header(data, at, end)
-            if element is None:
+    version = data[fields[0][1]]
+    if tags[1:3] == [_SEQUENCE, _OCTETS]:
+        return version <= 1 and named(fields[1]) and fields[2][2] > fields[2][1] and set(tags[3:]) <= {_FIRST, _SECOND, 0x81}
+    if tags[1] == _OCTETS:
+        return version == 1 and fields[1][2] - fields[1][1] >= 16 and set(tags[2:]) <= {_FIRST, _SECOND}
+    whole = [f[2] - f[1] for f in fields[1:]]
+    if len(tags) == 6 and set(tags) == {_INTEGER}:
+        return version == 0 and min(whole) >= 1 and whole[0] >= 32
+    rsa = len(tags) >= 9 and set(tags[:9]) == {_INTEGER} and tags[9:] in ([], [_SEQUENCE])
+    return rsa and version <= 1 and min(whole) >= 1 and whole[0] >= 32
+
+
+def _is_openssh_key(data: bytes) -> bool:
+    """Cipher, key derivation and its options, a number of keys, as many public keys, and the private part, which ends the data."""
+    at, fields = len(b"openssh-key-v1\0"), []
+    many = 0
+    while len(fields) < 4 + many:
+        if at + 4 > len(data):
+            return False
+        n = int.from_bytes(data[at : at + 4], "big")
+        if len(fields) == 3 and not many:
+            many, at = n, at + 4
+            if not 1 <= many <= 64:
                 return False
-            if element[0] & 0x20:  # made of further elements
-                left.append((element[1], element[2]))
-            at = element[2]
-    return True
+            continue
+        at += 4 + n
+        if at > len(data):
+            return False
+        fields.append(n)
+    return at == len(data) and fields[-1] > 0
+
+
+def _is_pgp_key(data: bytes) -> bool:
+    """Whether bytes begin with a secret-key packet of a known version and are packets whose lengths fill them."""
+    at = 0
+    while at < len(data):
+        tag, size = data[at], 0
+        if not tag & 0x80 or at + 2 > len(data):
+            return False
+        kind = tag & 0x3F if tag & 0x40 else tag >> 2 & 0x0F
+        first = data[at + 1]
+        if tag & 0x40:  # lengths of 1, 2 and 5 bytes
+            head = 2 if first < 192 else 3 if first < 224 else 6 if first == 255 else 0
+            size = first if head == 2 else (first - 192 << 8) + 192 + int.from_bytes(data[at + 2 : at + 3], "big") if head == 3 else int.from_bytes(data[at + 2 : at + 6], "big")
+        else:
+            n = (1, 2, 4, 0)[tag & 3]
+            head, size = (1 + n, int.from_bytes(data[at + 1 : at + 1 + n], "big")) if n else (1, len(data) - at - 1)
+        start = at + head
+        if not head or start + size > len(data):
+            return False
+        if at == 0 and (kind != 5 or not size or data[start] not in (3, 4, 5, 6)):
+            return False
+        at = start + size
+    return at > 0
+
+
+def _crc24(data: bytes) -> int:
+    """The check sum of OpenPGP armour."""
+    crc = 0xB704CE
+    for byte in data:
+        crc ^= byte << 16
+        for _ in range(8):
+            crc = crc << 1 ^ (0x1864CFB if crc & 0x800000 else 0)
+    return crc & 0xFFFFFF
+
+
+def _is_armoured_key(name: str, body: str) -> bool:
+    """Whether what an armour of this name holds is a key: header lines, base64 and, in OpenPGP, a check sum."""
+    lines = re.split(r"\\r\\n|\\n|\\r|\r\n|\n|\r", body)
+    headers, rest = {}, []
+    for line in lines:
+        m = _HEADER.fullmatch(line) if not rest else None
+        if m:
+            headers[m.group(1)] = m.group(2)
+        elif line.strip():
+            rest.append(line.strip())
+    check = rest.pop()[1:] if rest and re.fullmatch(r"=[A-Za-z0-9+/]{4}", rest[-1]) else None
+    data = decode_base64("".join("".join(rest).split()))
+    if not data:
+        return False
+    if name.endswith("BLOCK"):
+        return _is_pgp_key(data) and (check is None or decode_base64(check) == _crc24(data).to_bytes(3, "big"))
+    if headers.get("Proc-Type", "").replace(" ", "").startswith("4,ENCRYPTED"):
+        cipher, _, start = headers.get("DEK-Info", "").partition(",")
+        # Whole blocks of the named cipher, whose size its start value has.
+        return bool(cipher) and re.fullmatch(r"(?:[0-9A-Fa-f]{2}){8,16}", start.strip()) is not None and len(data) % (len(start.strip()) // 2) == 0
+    return is_private_key(data)
 
 
 def is_signed_token(text: str) -> bool:
@@ -114,36 +225,52 @@ def _holds_secret(data: bytes) -> bool:
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what the method confirms beyond the base patterns."""
+    """(start, end, kind) of what the method confirms beyond the base patterns, none within another."""
     out = []
-    if "eyJ" in text:
-        out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m.group())]
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            end = text.find("-----END", m.end())
-            close = text.find("-----", end + 8) if end >= 0 else -1
-            body = re.sub(r"\\n|\\r|\s", "", text[m.end() : end]) if close >= 0 else ""
-            if body and is_private_key(decode_base64(body) or b""):
-                out.append((m.start(), close + 5, "key"))
-    taken = [(a, b) for a, b, _ in out]
+        ends = [m.span() for m in _END.finditer(text)]
+        at = [a for a, _ in ends]
+        for m in _ARMOUR.finditer(text):
+            k = bisect_left(at, m.end())
+            if k < len(ends) and _is_armoured_key(m.group(1), text[m.end() : ends[k][0]]):
+                out.append((m.start(), ends[k][1], "key"))
+    if "." in text:
+        tokens = ((m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m.group()))
+        out = _beside(out, tokens)
     for pattern in (_LONG_HEX, _BASE64):
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in taken):
-                continue
-            run = m.group()
-            if pattern is _LONG_HEX:
-                data = bytes.fromhex(run) if len(run) % 2 == 0 else None
-            else:
-                data = decode_base64(run)
-            if data is None:
-                continue
-            kind = "key" if is_private_key(data) else "encoded" if _holds_secret(data) else None
-            if kind:
-                out.append((m.start(), m.end(), kind))
-                taken.append((m.start(), m.end()))
+        out = _beside(out, _decoded(text, pattern, out))
     return out
 
 
+def _decoded(text: str, pattern: re.Pattern, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """Candidates of an encoding, beside what is taken, whose content is a key or holds a secret."""
+    k = 0
+    for m in pattern.finditer(text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k < len(taken) and taken[k][0] < m.end():
+            continue
+        run = m.group()
+        if pattern is _LONG_HEX:
+            data = bytes.fromhex(run) if len(run) % 2 == 0 else None
+        else:
+            data = decode_base64(run)
+        kind = None if data is None else "key" if is_private_key(data) else "encoded" if _holds_secret(data) else None
+        if kind:
+            yield m.start(), m.end(), kind
+
+
+def _beside(taken: list[tuple[int, int, str]], more: Iterator[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Both in order, without those of the second, in order themselves, that meet one of the first."""
+    out, k = list(taken), 0
+    for span in more:
+        while k < len(taken) and taken[k][1] <= span[0]:
+            k += 1
+        if k == len(taken) or taken[k][0] >= span[1]:
+            out.append(span)
+    return sorted(out)
+
+
 def _written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
