@@ -13,7 +13,9 @@ A step from a non-space to a space puts every splitter state into the same state
 so a chunk's state map is short: the text before its first such step (to be read
 from whatever state comes in), the count of what lies between, and the text after
 its last one (which determines the outgoing state).  Such maps compose
-associatively; long texts are cut into chunks whose maps go through a prefix scan.
+associatively.  Long texts are cut into chunks, each a row of its own that any task can
+map; the maps of a text then go through a scan.  A run of text without such a step, one
+word however long, is read as a whole.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,10 @@ from pyspark.sql import functions as F
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The contractions that the pre-tokenizer takes whole.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-#: Characters of a chunk.
-CHUNK = 1 << 15
+#: Characters of a chunk within a task, and of one that is a row.
+CHUNK, ROW_CHUNK = 1 << 15, 1 << 20
+#: Bytes from which a text is cut into rows.
+LONG = 1 << 22
 #: Words whose counts a worker remembers.
 MEMO = 1_200_000
 #: States of the merger that a worker keeps.
@@ -132,12 +137,14 @@ class Merger:
         return out, change
 
     def count(self, data: bytes) -> int:
-        if len(self.keys) > self.most:  # bounded memory: what is still in use is compiled anew
-            self._clear()
         at, total, known = 0, 0, self.steps.get
         for byte in data:
             step = known(at + byte)
             if step is None:
+                if len(self.keys) > self.most:  # bounded memory: what is still in use is compiled anew, from the state reached
+                    key = self.keys[at >> 8]
+                    self._clear()
+                    at, known = self._state(key), self.steps.get
                 step = self._step(at, byte)
             at = step[0]
             total += step[1]
@@ -279,40 +286,89 @@ class Counter:
             return (a[0], a[1], right) if isinstance(right, str) else (a[0], a[1] + self._run(right[0]) + right[1], right[2])
         return a[0], a[1] + self._run(a[2] + b[0]) + b[1], b[2]
 
-    def _segment(self, text: str) -> int:
-        if len(text) <= self.chunk:
-            return self._run(text)
-        maps = [self.state_map(text[k : k + self.chunk]) for k in range(0, len(text), self.chunk)]
+    def scan(self, maps: list[tuple[str, int, str] | str]) -> int:
+        """Tokens of the text whose chunks have these maps."""
         while len(maps) > 1:  # the up-sweep of the scan; its last element is the map of the whole
             maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        whole = maps[0]
+        whole = maps[0] if maps else ""
         return self._run(whole) if isinstance(whole, str) else self._run(whole[0]) + whole[1] + self._run(whole[2])
 
+    def _segment(self, text: str) -> int:
+        if len(text) <= self.chunk:
+            return self._run(text)
+        return self.scan([self.state_map(text[k : k + self.chunk]) for k in range(0, len(text), self.chunk)])
+
+    def segments(self, text: str) -> list[str]:
+        """The text between special strings, each of which is a token."""
+        return self.special.split(text) if self.special is not None else [text]
+
     def count(self, text: str) -> int:
-        if self.special is None or not self.special.search(text):
-            return self._segment(text)
-        parts = self.special.split(text)
+        parts = self.segments(text)
         return len(parts) - 1 + sum(map(self._segment, parts))
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", limit: int = 512) -> DataFrame:
+def count_tokens(
+    docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", limit: int = 512, long: int = LONG, chunk: int = ROW_CHUNK
+) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_tokens, over_limit``.
 
     Counts are those of the library for the tokenizer file ``vocabulary``, read on
     the driver: no tokens are added, special strings inside texts count as one token
     each.  Null and empty texts have no bytes and no tokens; texts of any length are
-    counted whole; repeated rows are counted each; an empty table gives an empty
+    counted whole, those of ``long`` bytes and more in rows of ``chunk`` characters;
+    repeated rows are counted each; an empty table gives an empty
     result; other columns are ignored.
     """
     merges, special = load_vocabulary(vocabulary)
-    shipped = docs.sparkSession.sparkContext.broadcast((merges, special))  # as large as the vocabulary
+    shipped = docs.sparkSession.sparkContext.broadcast({"vocabulary": (merges, special)})  # as large as the vocabulary
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def kept() -> Counter:
+        """One counter for all chunks and texts of a worker."""
+        held = shipped.value
+        if "counter" not in held:
+            held["counter"] = Counter(*held["vocabulary"])
+        return held["counter"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(*shipped.value)
+        counter = Counter(*shipped.value["vocabulary"])
         for batch in batches:
             counts = [counter.count(t) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
-    return rows.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, part, row = Counter([], special), TaskContext.get().partitionId(), 0
+        names = ["doc_id", "n_bytes", "part", "row", "segment", "place", "chunk"]
+        for batch in batches:
+            for k in range(len(batch)):
+                row += 1
+                for n, segment in enumerate(counter.segments(batch.column(1)[k].as_py())):
+                    for at in range(0, max(1, len(segment)), chunk):
+                        values = (part, row, n, at), (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                        own = [pa.array([v], t) for v, t in zip(*values)]
+                        yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], batch.column(2)[k : k + 1], *own, pa.array([segment[at : at + chunk]], pa.string())], names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = kept()
+        for batch in batches:
+            maps = [counter.state_map(t) for t in batch.column(6).to_pylist()]
+            maps = [(m, None, None) if isinstance(m, str) else m for m in maps]
+            columns = [pa.array([m[j] for m in maps], t) for j, t in enumerate((pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], *columns], [*batch.schema.names[:6], "head", "n", "tail"])
+
+    def compose(table: pa.Table) -> pa.Table:
+        counter = kept()
+        table = table.sort_by([("segment", "ascending"), ("place", "ascending")])
+        maps: dict[int, list] = {}
+        for segment, head, n, tail in zip(*(table[c].to_pylist() for c in ("segment", "head", "n", "tail"))):
+            maps.setdefault(segment, []).append(head if n is None else (head, n, tail))
+        total = len(maps) - 1 + sum(map(counter.scan, maps.values()))
+        return pa.table([table["doc_id"].slice(0, 1), table["n_bytes"].slice(0, 1), pa.array([total], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+    schema = f"doc_id {kind}, n_bytes long, n_tokens long"
+    out = rows.where(F.col("n_bytes") < long).mapInArrow(run, schema)
+    place = f"doc_id {kind}, n_bytes long, part int, row long, segment long, place long"
+    chunks = rows.where(F.col("n_bytes") >= long).mapInArrow(cut, f"{place}, chunk string")
+    maps = chunks.repartition("part", "row", "segment", "place").mapInArrow(read, f"{place}, head string, n long, tail string")
+    return out.unionByName(maps.groupBy("part", "row").applyInArrow(compose, schema)).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -42,6 +42,27 @@ def test_token_query(spark, odd, none, library):
     assert len(got) == 9 and count_tokens(none, VOCABULARY).count() == 0
 
 
+def test_states_are_bounded_within_a_word(library):
+    from glossa.llm.token_counts import Merger
+
+    rnd = random.Random(16)
+    merger = Merger(load_vocabulary(VOCABULARY)[0], most=500)
+    run = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(20_000))
+    assert merger.count(run.encode()) == len(library.encode(run, add_special_tokens=False).ids)
+    assert len(merger.keys) <= 502 and len(merger.steps) <= 502 * 256
+
+
+def test_long_texts_are_counted_in_rows(documents, library):
+    rnd = random.Random(17)
+    parts = ["'", "the", " ", "  ", "\n", "\t", "é", "12", "!", "中", "<|endoftext|>", "ing", "'ll", " word", "x" * 40]
+    rows = [(i % 5 or None, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 400))), "s") for i in range(60)] + [(9, "<|endoftext|>", "s"), (9, None, "s")]
+    rows += rows[:5]
+    want = sorted((str(i), len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows)
+    for long in (1, 300):
+        got = count_tokens(documents(rows), VOCABULARY, long=long, chunk=37).collect()
+        assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in got) == want
+
+
 def brute_base(t):
     out = []
     word = r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
@@ -63,6 +84,60 @@ def der(tag, body):
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
 
 
+def ssh(*fields):
+    return b"".join(len(f).to_bytes(4, "big") + f for f in fields)
+
+
+def armoured(name, data, headers=(), check=""):
+    b64 = base64.b64encode(data).decode()
+    lines = [f"-----BEGIN {name}-----", *headers, *([""] if headers or check else []), *(b64[k : k + 64] for k in range(0, len(b64), 64)), *([check] if check else []), f"-----END {name}-----"]
+    return "\n".join(lines)
+
+
+RSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([1 + k]) * n) for k, n in enumerate((64, 3, 64, 32, 32, 32, 32, 32))))
+EC = der(0x30, der(2, b"\1") + der(4, bytes(range(32))) + der(0xA0, der(6, b"\x2a\x86\x48\xce")) + der(0xA1, der(3, bytes(66))))
+SEALED = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7") + der(0x30, der(6, b"\x2a\x86"))) + der(4, bytes(64)))
+OPENSSH = b"openssh-key-v1\0" + ssh(b"none", b"none", b"") + (1).to_bytes(4, "big") + ssh(b"public", b"private part")
+PGP = bytes([0x95, 0, 40, 4]) + bytes(39) + bytes([0xB4, 5]) + b"a user"[:5]
+
+
+def test_encodings_of_keys():
+    for name, data in (("RSA PRIVATE KEY", RSA), ("EC PRIVATE KEY", EC), ("ENCRYPTED PRIVATE KEY", SEALED), ("OPENSSH PRIVATE KEY", OPENSSH), ("PRIVATE KEY", KEY)):
+        pem = armoured(name, data)
+        assert se.is_private_key(data) and not se.is_private_key(data[:-1]) and not se.is_private_key(data + b"\0"), name
+        for text in (pem, pem.replace("\n", "\\n"), pem.replace("\n", "\r\n")):
+            assert se.confirmed_spans(f"x {text} y") == [(2, 2 + len(text), "key")], name
+    sealed = armoured("RSA PRIVATE KEY", bytes(96), ("Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC," + "0F" * 16))
+    assert se.confirmed_spans(sealed) == [(0, len(sealed), "key")]
+    assert se.confirmed_spans(armoured("RSA PRIVATE KEY", bytes(97), ("Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC," + "0F" * 16))) == []
+    check = "=" + base64.b64encode(se._crc24(PGP).to_bytes(3, "big")).decode()
+    pgp = armoured("PGP PRIVATE KEY BLOCK", PGP, ("Version: 1",), check)
+    assert se.confirmed_spans(pgp) == [(0, len(pgp), "key")]
+    assert se.confirmed_spans(pgp.replace(check, "=AAAA")) == []
+    assert se._crc24(b"123456789") == 0x21CF02
+
+
+def test_what_only_nests_is_no_key():
+    plain = der(0x30, der(2, b"\0") + der(4, b"just a text that is long enough"))
+    numbers = der(0x30, der(2, b"\0") + der(2, b"\5") + der(2, b"\7"))
+    certificate = der(0x30, der(0x30, der(2, b"\1")) + der(0x30, der(6, b"\x2a\x86")) + der(3, bytes(32)))
+    assert not any(map(se.is_private_key, (plain, numbers, certificate, b"", b"\x30", b"\x30\x80")))
+
+
+def test_headers_with_blanks():
+    for header in ('{ "alg": "HS256" }', '{"typ":"JWT","alg":"none"}', ' \n{"alg":"x"}', '{"alg":"x"}'):
+        part = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+        token = f"{part(header)}.{part('{ }')}.c2ln"
+        assert se.confirmed_spans(f"a {token} b") == [(2, 2 + len(token), "jwt")], header
+
+
+def test_many_markers_take_linear_time():
+    text = "-----BEGIN PRIVATE KEY-----\n" * 20_000 + base64.b64encode(b"token=abcdef").decode() + " "
+    assert [s[2] for s in se.confirmed_spans(text)] == ["encoded"]
+    many = " ".join(base64.b64encode(b"token=abcdef").decode() for _ in range(20_000))
+    assert len(se.confirmed_spans(many)) == 20_000
+
+
 KEY = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48")) + der(4, bytes(range(1, 200))))
 
 
