@@ -3,6 +3,8 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
+import xxhash
 from glossa.llm.exact_dedup import exact_dedup
 from glossa.llm.sharding import shard_documents, write_shards
 from pyspark.sql import functions as F
@@ -66,10 +68,70 @@ def test_group_above_a_fair_share_is_divided(documents):
     assert len(size) == 8 and max(size.values()) < 1.2 * 250
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of bytes and of integers given as (value, bytes)."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else (v[0] % (1 << 8 * v[1])).to_bytes(v[1], "little"), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_shards(rows, shards, ranges, parts=64):
+    """Shard of each row: quantiles of the drawn keys by a linear scan, pieces of ranges dealt largest first."""
+    data = [(i, len(t.encode()) + 1, spark_hash(t.encode())) for i, t in rows]
+    total = sum(n for _, n, _ in data)
+    fair = total / shards
+    drawn = sorted((h, max(1.0, n * (32.0 * ranges / total))) for i, n, h in data if spark_hash((29, 4), (i, 8), (h, 8)) % (1 << 30) / (1 << 30) < n * (32.0 * ranges / total))
+    step, bounds, run = sum(w for _, w in drawn) / ranges, [], 0.0
+    for h, w in drawn:
+        run += w
+        if run >= step * (len(bounds) + 1) and len(bounds) < ranges - 1 and (not bounds or h > bounds[-1]):
+            bounds.append(h)
+    by_range, by_key = Counter(), Counter()
+    where = [next((k for k, b in enumerate(bounds) if b >= h), len(bounds)) for _, _, h in data]
+    for r, (_, n, h) in zip(where, data):
+        by_range[r] += n
+        by_key[h] += n
+    heavy = sorted(h for h, n in by_key.items() if n > fair)
+    units, load = Counter(), [0] * shards
+    unit = []
+    for r, (i, n, h) in zip(where, data):
+        own = spark_hash((17, 4), (i, 8)) % parts
+        unit.append((ranges + heavy.index(h), own) if h in heavy else (r, spark_hash((19, 4), (h, 8)) % parts) if by_range[r] > fair else (r, -1))
+        units[unit[-1]] += n
+    shard = {}
+    for u, n in sorted(units.items(), key=lambda x: (-x[1], x[0])):
+        shard[u] = min(range(shards), key=lambda s: (load[s], s))
+        load[shard[u]] += n
+    return {i: shard[u] for (i, _, _), u in zip(data, unit)}
+
+
+@pytest.mark.parametrize("hot", [0, 900, 4000])
+def test_shards_equal_brute_force(documents, hot):
+    rnd = random.Random(21)
+    rows = [(i, f"{i // 3} " + "y" * (i // 3 % 90), "s") for i in range(1500)] + [(9000 + i, "hot text of many rows", "s") for i in range(hot)]
+    rnd.shuffle(rows)
+    got = shard_documents(documents(rows), 8, ranges=16).collect()
+    assert {r["doc_id"]: r["shard"] for r in got} == brute_shards([r[:2] for r in rows], 8, 16)
+    of = {}
+    for r in got:
+        if r["doc_id"] < 9000:  # groups of three beside the hot text stay whole
+            assert of.setdefault(r["doc_id"] // 3, r["shard"]) == r["shard"]
+
+
+def test_groups_below_a_fair_share_stay_whole(documents):
+    got = shard_documents(documents([(i, f"group {i % 5:02d}", "s") for i in range(1000)]), 4).collect()
+    assert all(len({r["shard"] for r in got if r["doc_id"] % 5 == k}) == 1 for k in range(5))
+    size = Counter(r["shard"] for r in got)
+    assert max(size.values()) == 400 and len(size) == 4  # a fair share and a group
+
+
 def test_shards_of_odd_rows(odd, none, tmp_path):
     got = shard_documents(odd, 3).collect()
     assert len(got) == 9 and sum(r["size"] == 1 for r in got) == 2
-    assert shard_documents(none).count() == 0
-    plain = odd.where("doc_id in (1, 6, 7)")
-    write_shards(plain, str(tmp_path / "out"), 2)
-    assert odd.sparkSession.read.parquet(str(tmp_path / "out")).count() == 3
+    assert shard_documents(none).count() == 0 and shard_documents(none, carry=True).columns == none.columns[:-1] + ["shard", "_shard", "slot"]
+    write_shards(odd, str(tmp_path / "out"), 3)
+    back = odd.sparkSession.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*odd.columns, "_shard", "slot"}
+    assert Counter(map(tuple, back.select(odd.columns).collect())) == Counter(map(tuple, odd.collect()))
+    assert sorted((r["_shard"], r["slot"]) for r in back.collect()) == sorted((r["shard"], r["slot"]) for r in got)
