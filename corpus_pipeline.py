@@ -1,4 +1,4 @@
-"""A corpus from raw documents to packed bins: five stages, each written and read again."""
+"""A corpus from raw documents to packed texts: five stages, each written and read again."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from glossa.llm.exact_dedup import exact_dedup
 from glossa.llm.jaccard_join import jaccard_components
 from glossa.llm.mixing import mix
 from glossa.llm.packing import pack_documents
-from glossa.llm.staging import stage
+from glossa.llm.staging import discard, scope, stage
 from glossa.llm.toxicity import drop_toxic
 
 
@@ -30,12 +30,12 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in the order of its shards."""
+    """Documents as often as the leaves of the mix's tree draw their blocks, in the order of its shards."""
     return mix(docs, carry=True).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in bins; copies of a document are never in one bin."""
+    """Pieces of documents and their texts in bins; copies of a document are never in one bin."""
     return pack_documents(docs)
 
 
@@ -52,8 +52,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what a stage staged ends with it, its output when the next one is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with scope() as staged:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+            staged.remove(docs)
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
