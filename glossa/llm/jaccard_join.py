@@ -18,7 +18,8 @@ token but not yet a component is compared in full.  Large groups of near copies
 cost a comparison each, and no link between components is lost.
 
 Tokens so frequent that there can only be HOT of them meet their postings by broadcast,
-the others by a shuffle in which each has a small share; pairs of a token are salted.
+the others by a shuffle in which each has a small share; pairs of a token are salted by
+SALTED of its rows.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ NAME = (1 << 48) - 1
 BITS = 512
 #: Tokens that can be hot, at most: those with more than 1 / HOT of all postings.
 HOT = 1 << 15
+#: Rows of a token that its pairs are salted by.
+SALTED = 4096
 #: Bytes from which a word is hashed by itself.
 LONG_WORD = 256
 
@@ -294,7 +297,7 @@ def _links(docs: DataFrame, read_rows: DataFrame, rows: DataFrame, sets: DataFra
     parts = marked.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many"))
     mixed = parts.groupBy("token").agg(F.max(F.struct("many", "part")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("many").alias("often"))
     mixed = mixed.where("parts > 1").select("token", "often", F.col("top.part").alias("large"))
-    several = stage(_by_token(marked, mixed, limit).withColumn("salts", (F.floor(F.col("often") / limit) + 1).cast("int")), "jaccard-several")
+    several = stage(_by_token(marked, mixed, limit).withColumn("salts", (F.floor(F.col("often") / SALTED) + 1).cast("int")), "jaccard-several")
     left = several.where("part <> large").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     left = left.select("token", "salt", "node", "n", "s", "bits", "part")
     other = several.select("token", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("bits").alias("bits2"), F.col("part").alias("part2"))

@@ -6,9 +6,7 @@ A staged table is an ordinary Parquet table in the folder named by
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,10 +14,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Seconds between collections that let Spark delete the files of shuffles nobody refers to.
-COLLECT_EVERY = 5.0
+#: The setting that lets Spark delete a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_collected = 0.0
 _scopes: list[list[DataFrame]] = []
 
 
@@ -40,16 +37,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     The table stays until it is discarded, its scope ends, or the driver does.
     """
-    global _collected
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # what was shuffled for this table is of no use once it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     folder, place = _folder(spark, path)
     folder.deleteOnExit(place)
-    if time.monotonic() - _collected > COLLECT_EVERY:
-        gc.collect()
-        spark._jvm.System.gc()
-        _collected = time.monotonic()
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     if _scopes:
