@@ -104,6 +104,7 @@ def test_one_key_in_many_rows(documents):
 @pytest.mark.parametrize("hot", [1, 1 << 15])
 def test_hot_tokens(documents, monkeypatch, hot):
     monkeypatch.setattr(jj, "HOT", hot)
+    monkeypatch.setattr(jj, "SALTED", 7 if hot == 1 else 4096)
     rows = [(i, "every text begins with this line " + (f"a{i % 5} " * (i % 7)), "s") for i in range(300)]
     sets = {i: shingles(t, 3) for i, t, _ in rows}
     union = Union(sets)
@@ -150,6 +151,33 @@ def test_vectors_equal_brute_force(spark, margin):
     assert near_duplicate_vectors(df.where("false")).count() == 0
 
 
+def test_many_cells_are_fitted_in_two_steps(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "FITTED", 8)
+    rng = np.random.default_rng(13)
+    x = embedding_dedup._unit(rng.normal(size=(4000, 8)))
+    two, one = embedding_dedup.fit_centroids(x, 64), embedding_dedup.fit_centroids(x[:4000], 8)
+    assert 48 <= len(two) <= 80 and np.allclose(np.linalg.norm(two, axis=1), 1)
+    assert (x @ two.T).max(1).mean() > (x @ one.T).max(1).mean()
+
+
+@pytest.mark.parametrize("fitted", [1024, 5])
+def test_vectors_of_unequal_multiplicity(spark, monkeypatch, fitted):
+    monkeypatch.setattr(embedding_dedup, "CELL", 20)
+    monkeypatch.setattr(embedding_dedup, "FITTED", fitted)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(14)
+    base = rng.normal(size=(300, 3))
+    rows = [(i, base[i % 300 if i % 3 else 0]) for i in range(700)]
+    unit = embedding_dedup._unit(np.array([v for _, v in rows]))
+    near = (unit @ unit.T >= 0.95) & ~np.eye(len(rows), dtype=bool)
+    union = Union(range(len(rows)))
+    for a, b in zip(*np.nonzero(near)):
+        union.join(int(a), int(b))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicate_vectors(df).collect()}
+    assert got == {i: (int(near[i].sum()), union.find(i)) for i in range(len(rows))}
+
+
 @pytest.mark.parametrize("margin", [None, 0.3])
 def test_vectors_of_low_intrinsic_dimension(spark, monkeypatch, margin):
     monkeypatch.setattr(embedding_dedup, "CELL", 100)
