@@ -26,8 +26,6 @@ from .staging import fresh, stage
 
 #: Labelled rows of each class that fit the classifier, at most about.
 TRAINING_ROWS = {1: 6000, 0: 12000}
-#: Word features that the classifier keeps.
-FEATURES = 2048
 #: Log ratio of shares from which a feature speaks for toxicity.
 LEAST_RATIO = 2.0
 #: Hash space of features.
@@ -207,7 +205,7 @@ def word_features(word: str) -> set[int]:
 
 @dataclass
 class Model:
-    """What scoring needs; its size is bounded by the symbols and by FEATURES."""
+    """What scoring needs; its size is bounded by the symbols and by the words of the rows that fit it."""
 
     counts: np.ndarray
     weights: dict[int, float]
@@ -281,11 +279,12 @@ def character_counts(docs: DataFrame, text: str) -> np.ndarray:
 def train(docs: DataFrame, labelled: DataFrame, counts: np.ndarray, text: str = "text", key: str = "doc_id") -> Model:
     """Fit the classifier on ``labelled`` (key, toxic); rows with null labels are left out.
 
+    A key that is labelled more than once is toxic if any of its rows says so.
     Of each class about TRAINING_ROWS rows are drawn by a hash of the key, so that
     what is fitted has a bound whatever the corpus; without both classes every score
     is the share of toxic labels.
     """
-    labelled = labelled.select(F.col(key).alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
+    labelled = labelled.select(F.col(key).alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     many = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
     if len(many) < 2:
         rate = (many.get(1, 0) + 0.01) / (sum(many.values()) + 1)
@@ -311,9 +310,9 @@ def train(docs: DataFrame, labelled: DataFrame, counts: np.ndarray, text: str =
     seen = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n1, n0 = float(seen.get(1, 0)) or 1.0, float(seen.get(0, 0)) or 1.0
     stats = sample.select("y", F.explode("feats").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
-    # Features that toxic rows have several times as often as others, weighed by how often that is.
+    # Features that toxic rows have several times as often as others; there are no more than the sample's words give.
     ratio = F.log(((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("n") - F.col("a") + 0.5) / (n0 + 1)))
-    chosen = stats.where((F.col("n") >= 3) & (F.col("a") >= 2) & (ratio > LEAST_RATIO)).orderBy((ratio * F.sqrt("a")).desc(), "f").limit(FEATURES).select("f").collect()
+    chosen = stats.where((F.col("n") >= 3) & (F.col("a") >= 2) & (ratio > LEAST_RATIO)).select("f").collect()
     index = {r["f"]: k for k, r in enumerate(chosen)}
     ids = np.array(sorted(index), np.int32)
 
