@@ -33,15 +33,12 @@ def is_stop_word(word: Column) -> Column:
 
 
 def tokens(text: Column, lowercase: bool = True, remove_stop_words: bool = False) -> Column:
-    """Array of a text's tokens in order; null gives null."""
-    if lowercase:
-        found = raw_words(text)
-    else:
-        found = F.regexp_extract_all(text, F.lit(f"[A-Z{TOKEN_CHARS}]+"), F.lit(0))
-    found = F.transform(found, lambda t: F.btrim(t, F.lit("'")))
-    if remove_stop_words:
-        return F.filter(found, lambda t: (t != "") & ~is_stop_word(t))
-    return F.filter(found, lambda t: t != "")
+    """Array of a text's tokens in order, runs of token characters without the apostrophes at their edges; null gives null."""
+    inner = TOKEN_CHARS.removesuffix("'") if lowercase else "A-Z" + TOKEN_CHARS.removesuffix("'")
+    found = F.regexp_extract_all(F.lower(text) if lowercase else text, F.lit(f"[{inner}](?:[{inner}']*[{inner}])?"), F.lit(0))
+    if not remove_stop_words:
+        return found
+    return F.filter(found, lambda t: ~(t.isin(STOP_WORDS) if lowercase else is_stop_word(t)))
 
 
 def word_count(text: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +13,8 @@ from .matching import ValidationError
 # Most cells of a full edit matrix, and of any.
 FULL_MATRIX, MOST_CELLS = 4_000_000, 100_000_000
 METHODS = ("cosine", "jaccard", "dice", "overlap")
+#: Terms that may be too frequent for one task to join, at most.
+HOT_TERMS = 1 << 15
 
 
 # Edit distance
@@ -80,11 +80,29 @@ def terms(df: DataFrame, text: str = "text", key: str = "doc_id", remove_stop_wo
     return df.select(key, F.posexplode(tokens(F.col(text), remove_stop_words=remove_stop_words)).alias("pos", "term"))
 
 
+def _run_starts(ordered: str) -> Column:
+    """Indexes at which a run of equal elements begins in a column of sorted arrays."""
+    starts = F.transform(ordered, lambda t, i: F.when((i == 0) | (t != F.get(ordered, i - 1)), i))
+    return F.filter(starts, lambda i: i.isNotNull())
+
+
+def _runs(ordered: str, starts: str) -> Column:
+    """Array of ``term, cnt``: the runs of a column of sorted arrays."""
+    ends = lambda at, k: F.coalesce(F.get(starts, k + 1), F.size(ordered)) - at
+    return F.transform(starts, lambda at, k: F.struct(F.get(ordered, at).alias("term"), ends(at, k).cast("long").alias("cnt")))
+
+
 def term_frequencies(df: DataFrame, text: str = "text", key: str = "doc_id", remove_stop_words: bool = True) -> DataFrame:
-    """``key, term, cnt, len``: how often a document has a term and how many tokens it has."""
-    found = tokens(F.col(text), remove_stop_words=remove_stop_words)
-    rows = df.select(key, found.alias("__w")).select(key, F.size("__w").alias("len"), F.explode("__w").alias("term"))
-    return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("cnt"), F.first("len").alias("len"))
+    """``key, term, cnt, len``: how often a document has a term and how many tokens it has; a row is a document, nothing is shuffled."""
+    # Each step is a column of its own, so none is computed twice.
+    rows = df.select(key, F.sort_array(tokens(F.col(text), remove_stop_words=remove_stop_words)).alias("__w")).withColumn("__s", _run_starts("__w"))
+    return rows.select(key, F.size("__w").alias("len"), F.explode(_runs("__w", "__s")).alias("__t")).select(key, "__t.term", "__t.cnt", "len")
+
+
+def document_frequencies(df: DataFrame, text: str = "text", remove_stop_words: bool = True) -> DataFrame:
+    """``term, df``: one aggregate of each document's distinct terms."""
+    rows = df.select(F.explode(F.array_distinct(tokens(F.col(text), remove_stop_words=remove_stop_words))).alias("term"))
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def _documents(df: DataFrame, text: str) -> DataFrame:
@@ -92,30 +110,42 @@ def _documents(df: DataFrame, text: str) -> DataFrame:
     return df.where(F.trim(text) != "").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _idf(df: DataFrame, text: str, often: DataFrame) -> DataFrame:
+    """A table with ``df`` and its smoothed inverse; the number of documents is one row."""
+    return often.join(F.broadcast(_documents(df, text))).withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).drop("n")
+
+
 def idf(df: DataFrame, text: str = "text", key: str = "doc_id", remove_stop_words: bool = True) -> DataFrame:
     """``term, df, idf`` with ``idf = ln((1 + N) / (1 + df)) + 1``."""
-    often = term_frequencies(df, text, key, remove_stop_words).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return often.join(F.broadcast(_documents(df, text))).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return _idf(df, text, document_frequencies(df, text, remove_stop_words))
 
 
 def tfidf_weights(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, term, cnt, len, tf, df, idf, weight`` in long form."""
+    """``key, term, cnt, len, tf, df, idf, weight`` in long form.
+
+    Terms that hold more than 1 / HOT_TERMS of all postings, of which there are fewer
+    than HOT_TERMS, meet their postings by broadcast; the others, of which none is
+    large, by a shuffle.
+    """
     counts = term_frequencies(df, text, key)
-    model = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(_documents(df, text)))
-    model = model.select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    often = document_frequencies(df, text)
+    bar = often.agg(F.floor(F.coalesce(F.sum("df"), F.lit(0)) / F.lit(HOT_TERMS)).alias("__bar"))
+    model = _idf(df, text, often).join(F.broadcast(bar)).withColumn("__hot", F.col("df") > F.col("__bar")).drop("__bar")
+    hot, rare = model.where("__hot").drop("__hot"), model.where("not __hot").drop("__hot")
+    few = counts.join(F.broadcast(hot), "term")
+    joined = few.unionByName(counts.join(F.broadcast(hot.select("term")), "term", "left_anti").join(rare, "term"))
     tf = F.col("cnt") / F.col("len")
-    return counts.join(model, "term").select(key, "term", "cnt", "len", tf.alias("tf"), "df", "idf", (tf * F.col("idf")).alias("weight"))
+    return joined.select(key, "term", "cnt", "len", tf.alias("tf"), "df", "idf", (tf * F.col("idf")).alias("weight"))
 
 
 def tfidf_global(df: DataFrame, text: str = "text", key: str = "doc_id", limit: int | None = 30) -> DataFrame:
     """``rank, term, score, df``: terms by their largest weight in any document, ties by term.
 
-    One aggregate by document and term and one by term: a term's largest weight is its
-    largest frequency times its idf.
+    One aggregate by term: a term's largest weight is its largest frequency times its idf.
     """
     counts = term_frequencies(df, text, key)
-    best = counts.groupBy("term").agg(F.max(F.col("cnt") / F.col("len")).alias("tf"), F.count(F.lit(1)).alias("df")).join(F.broadcast(_documents(df, text)))
-    best = best.select("term", "df", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    best = _idf(df, text, counts.groupBy("term").agg(F.max(F.col("cnt") / F.col("len")).alias("tf"), F.count(F.lit(1)).alias("df")))
+    best = best.select("term", "df", (F.col("tf") * F.col("idf")).alias("w"))
     if limit is None:
         return best.select("term", round4(F.col("w")).alias("score"), "df")
     top = best.orderBy(F.desc("w"), "term").limit(limit)
@@ -143,16 +173,21 @@ def inverted_index(df: DataFrame, text: str = "text", key: str = "doc_id", most_
 
 def index_stats(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row: ``documents, terms, postings``."""
-    per_term = term_frequencies(df, text, key).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    sums = per_term.agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
+    sums = document_frequencies(df, text).agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
     return _documents(df, text).join(sums).select(F.col("n").alias("documents"), "terms", "postings")
 
 
 def top_terms(df: DataFrame, text: str = "text", key: str = "doc_id", limit: int = 20) -> DataFrame:
-    """``rank, term, df, totalTf`` by document frequency, ties by first appearance."""
-    seen = terms(df, text, key)
-    per_term = seen.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
-    per_term = per_term.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("totalTf"), F.min(F.struct(key, "pos")).alias("first"))
+    """``rank, term, df, totalTf`` by document frequency, ties by first appearance.
+
+    One aggregate finds the frequency that the last of the first ``limit`` has; only terms
+    that reach it, which the first places and their ties are, are looked up again.
+    """
+    often = document_frequencies(df, text)
+    bar = often.orderBy(F.desc("df")).limit(limit).agg(F.min("df").alias("bar"))
+    reach = often.join(F.broadcast(bar), F.col("df") >= F.col("bar")).drop("bar")
+    seen = terms(df, text, key).join(reach, "term")
+    per_term = seen.groupBy("term").agg(F.first("df").alias("df"), F.count(F.lit(1)).alias("totalTf"), F.min(F.struct(key, "pos")).alias("first"))
     order = [F.desc("df"), F.col("first")]
     top = per_term.orderBy(*order).limit(limit)
     return top.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("rank"), "term", "df", "totalTf")
@@ -208,25 +243,6 @@ def query_postings(df: DataFrame, query: str, text: str = "text", key: str = "do
 # Similarity
 
 
-def _weigh(a: Column, b: Column) -> Column:
-    """Squared lengths of two term vectors and the products of shared terms, largest first.
-
-    Counting a row's terms in expressions costs its length times its vocabulary; an Arrow UDF is linear.
-    """
-
-    def one(x: list | None, y: list | None) -> dict:
-        p, q = Counter([] if x is None else x), Counter([] if y is None else y)
-        shared = sorted(((p[t] * q[t], t) for t in p.keys() & q.keys()), key=lambda c: (-c[0], c[1]))
-        found = [{"product": n, "term": t} for n, t in shared]
-        return {"na": sum(n * n for n in p.values()), "nb": sum(n * n for n in q.values()), "contributions": found}
-
-    @F.pandas_udf("na long, nb long, contributions array<struct<product:long,term:string>>")
-    def weigh(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(x, y) for x, y in zip(xs, ys)], columns=["na", "nb", "contributions"])
-
-    return weigh(a, b)
-
-
 def similarity(df: DataFrame, text_a: str = "text", text_b: str = "textB", method: str = "cosine") -> DataFrame:
     """``df`` with ``score`` by ``method``, all four measures, shared and one-sided terms, contributions and token counts.
 
@@ -234,24 +250,32 @@ def similarity(df: DataFrame, text_a: str = "text", text_b: str = "textB", metho
     """
     if method not in METHODS:
         raise ValidationError(f"unknown method {method!r}; one of {', '.join(METHODS)}")
-    # Split before counting, so that tokens are made once a row.
+    # Tokens, their runs and the runs of both sides together; each is a column of its own, so none is computed twice.
     rows = df.withColumns({"__a": tokens(F.col(text_a), remove_stop_words=True), "__b": tokens(F.col(text_b), remove_stop_words=True)})
-    rows = rows.withColumns({"__da": F.array_distinct("__a"), "__db": F.array_distinct("__b")})
+    rows = rows.withColumns({"__da": F.array_distinct("__a"), "__db": F.array_distinct("__b"), "__oa": F.sort_array("__a"), "__ob": F.sort_array("__b")})
+    rows = rows.withColumns({"__sa": _run_starts("__oa"), "__sb": _run_starts("__ob")})
+    rows = rows.withColumns({"__ra": _runs("__oa", "__sa"), "__rb": _runs("__ob", "__sb")})
+    marked = lambda runs, side: F.transform(runs, lambda r: F.struct(r["term"].alias("term"), F.lit(side).alias("side"), r["cnt"].alias("cnt")))
+    squares = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + r["cnt"] * r["cnt"])
+    rows = rows.withColumns({"__m": F.sort_array(F.concat(marked("__ra", 0), marked("__rb", 1))), "__na": squares("__ra"), "__nb": squares("__rb")})
+    # A shared term's two runs are neighbours.
+    before = lambda i: F.get("__m", i - 1)
+    meet = F.transform("__m", lambda r, i: F.when((i > 0) & (before(i)["term"] == r["term"]), F.struct((-before(i)["cnt"] * r["cnt"]).alias("less"), r["term"].alias("term"))))
+    products = F.transform(F.sort_array(F.filter(meet, lambda x: x.isNotNull())), lambda x: F.struct((-x["less"]).alias("product"), x["term"].alias("term")))
     rows = rows.withColumns(
         {
             "sharedTerms": F.array_intersect("__da", "__db"),
             "onlyInA": F.array_except("__da", "__db"),
             "onlyInB": F.array_except("__db", "__da"),
-            "__w": _weigh(F.col("__a"), F.col("__b")),
+            "contributions": products,
         }
     )
-    rows = rows.withColumn("contributions", F.col("__w.contributions"))
     dot = F.aggregate("contributions", F.lit(0).cast("long"), lambda s, x: s + x["product"])
     both, a, b = F.size("sharedTerms"), F.size("__da"), F.size("__db")
     ratio = lambda up, down: F.when(down > 0, up / down).otherwise(F.lit(0.0))
     rows = rows.withColumns(
         {
-            "cosine": ratio(dot, F.sqrt((F.col("__w.na") * F.col("__w.nb")).cast("double"))),
+            "cosine": ratio(dot, F.sqrt((F.col("__na") * F.col("__nb")).cast("double"))),
             "jaccard": ratio(both, a + b - both),
             "dice": ratio(2 * both, a + b),
             "overlap": ratio(both, F.least(a, b)),
@@ -259,22 +283,7 @@ def similarity(df: DataFrame, text_a: str = "text", text_b: str = "textB", metho
             "tokensB": F.size("__b"),
         }
     )
-    return rows.withColumn("score", round4(F.col(method))).drop("__a", "__b", "__da", "__db", "__w")
-
-
-def similar_pairs(df: DataFrame, least_shared: int = 1, text: str = "text", key: str = "doc_id", most_documents: int | None = None) -> DataFrame:
-    """``a, b, shared, jaccard`` of documents that share terms, by a join on terms.
-
-    ``most_documents`` leaves out terms in more documents than that; without it the
-    join is exact and costs the square of the most common term's documents.
-    """
-    found = term_frequencies(df, text, key).select(F.col(key).alias("id"), "term")
-    sizes = found.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
-    used = found
-    if most_documents is not None:
-        rare = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= most_documents)
-        used = found.join(rare, "term", "left_semi")
-    pairs = used.select(F.col("id").alias("a"), "term").join(used.select(F.col("id").alias("b"), "term"), "term").where("a < b")
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least_shared)
-    pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("sb")), "b")
-    return pairs.select("a", "b", "shared", (F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared"))).alias("jaccard"))
+    rows = rows.withColumn("score", round4(F.col(method)))
+    # One row of an array: filters on the results stay above it, else the optimizer would put all steps into the filter once more.
+    found = [c for c in rows.columns if not c.startswith("__") and c not in df.columns]
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(F.struct(*found))))

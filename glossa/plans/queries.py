@@ -339,7 +339,7 @@ def idf(spark, t):
 
 @query(f"WITH {_TERMS} SELECT count(DISTINCT term) AS vocabulary, count(*) AS tokens FROM terms")
 def vocabulary(spark, t):
-    return an.term_frequencies(t("documents")).agg(F.countDistinct("term").alias("vocabulary"), F.sum("cnt").alias("tokens"))
+    return an.term_frequencies(t("documents")).groupBy("term").agg(F.sum("cnt").alias("n")).agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("n").alias("tokens"))
 
 
 @query(f"WITH {_TERMS} SELECT term, doc_id, count(*) AS tf, array_to_string((list(pos ORDER BY pos))[1:50], ',') AS positions FROM terms GROUP BY term, doc_id")
@@ -423,14 +423,6 @@ def contributions(spark, t):
     return an.similarity(_neighbours(t)).select("doc_id", F.explode("contributions").alias("c")).select("doc_id", "c.term", "c.product")
 
 
-@query(
-    f"""WITH b AS (SELECT item_id AS id, list_distinct({_tok('text', True)}) AS w FROM benchmark), t AS (SELECT id, len(w) AS n, unnest(w) AS term FROM b)
-    SELECT x.id AS a, y.id AS b, count(*) AS shared, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS jaccard FROM t x JOIN t y ON x.term = y.term AND x.id < y.id GROUP BY x.id, y.id HAVING count(*) >= 2"""
-)
-def similar_pairs(spark, t):
-    return an.similar_pairs(t("benchmark"), 2, key="item_id")
-
-
 # Statistics
 
 
