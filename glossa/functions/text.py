@@ -69,6 +69,16 @@ def round4(value: Column) -> Column:
     return F.floor(value * 10000 + 0.5) / 10000
 
 
+def shortened(text: Column, most: int, mark: str = "…") -> Column:
+    """The first ``most`` characters, with a mark where more follow."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
+
+
+def span(start: Column, length: Column) -> Column:
+    """Array of ``length`` indexes from ``start`` on; none or less: empty."""
+    return F.when(length > 0, F.sequence(start, start + length - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def quoted(pattern: str) -> str:
     """A Java regular expression that matches ``pattern`` literally."""
     return r"\Q" + pattern.replace(r"\E", r"\E\\E\Q") + r"\E"

@@ -77,6 +77,11 @@ def lps(pattern: str) -> list[int]:
     return _lps(pattern)[0]
 
 
+def lps_work(pattern: str) -> int:
+    """Comparisons that making the table takes."""
+    return _lps(pattern)[1]
+
+
 def _lps(pattern: str) -> tuple[list[int], int]:
     table, work, k = [0] * len(pattern), 0, 0
     i = 1
@@ -103,6 +108,11 @@ def good_suffix(pattern: str) -> list[int]:
     return _good_suffix(pattern)[0]
 
 
+def good_suffix_work(pattern: str) -> int:
+    """Comparisons that making the shifts takes."""
+    return _good_suffix(pattern)[1]
+
+
 def _good_suffix(pattern: str) -> tuple[list[int], int]:
     m, work = len(pattern), 0
     shift, edge = [0] * (m + 1), [m + 1] * (m + 1)

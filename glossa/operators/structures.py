@@ -76,9 +76,10 @@ def suffix_array(df: DataFrame, text: str = "text", key: str = "doc_id", short:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two strings, by halving."""
+    """Length of the common prefix of two strings, by halving; strings have less than 2 ** 31 characters."""
     n = F.least(F.length(a), F.length(b))
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(14))])
+    # Powers of two up to the length, largest first.
+    steps = F.transform(F.sequence(F.ceil(F.log2((n + 1).cast("double"))).cast("int"), F.lit(0)), lambda k: F.call_function("shiftleft", F.lit(1), k))
     return F.aggregate(steps, F.lit(0), lambda got, s: F.when((got + s <= n) & (F.substring(a, F.lit(1), got + s) == F.substring(b, F.lit(1), got + s)), got + s).otherwise(got))
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
+import os
 import platform
+import re
 from collections.abc import Callable
 from dataclasses import asdict
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.preprocess import preprocess
@@ -15,15 +18,68 @@ from ..functions.text import normalize_answer, split_documents
 from ..operators import matching as ma
 from ..operators.matching import ValidationError
 from ..sources.store import Store
-from ..sources.workloads import generate
+from ..sources.workloads import TYPES, Workload, generate
 from . import benchmark
-from .registry import Input, compact, execute
+from .registry import META, Input, compact, execute
 
 MODES = ("run", "compare", "scaling", "stress")
 
 
 def environment(spark: SparkSession) -> dict:
-    return {"spark": spark.version, "python": platform.python_version(), "platform": platform.platform(), "parallelism": spark.sparkContext.defaultParallelism}
+    """Versions, machine and memory that a run had."""
+    conf = spark.sparkContext.getConf()
+    pages = os.sysconf("SC_PHYS_PAGES") * os.sysconf("SC_PAGE_SIZE")
+    return {
+        "spark": spark.version, "python": platform.python_version(), "platform": platform.platform(), "cpu": platform.processor() or platform.machine(), "cpus": os.cpu_count(),
+        "memoryGB": round(pages / 1e9), "parallelism": spark.sparkContext.defaultParallelism, "driverMemory": conf.get("spark.driver.memory", "1g"), "executorMemory": conf.get("spark.executor.memory", "1g"),
+    }
+
+
+def benchmark_source(spark: SparkSession, store: Store | None, source: dict) -> tuple[Input | None, Workload | None]:
+    """(input, workload) that a benchmark's source names: ``kind`` workload, dataset or, by default, inline."""
+    kind = source.get("kind", "inline")
+    if kind == "workload":
+        spec = source.get("workload") or {}
+        if spec.get("type") not in TYPES:
+            raise ValidationError(f"unknown workload type {spec.get('type')!r}")
+        return None, generate(**spec)
+    if kind == "dataset":
+        return resolve_input(spark, store, {"dataset_id": source["dataset_id"], "dataset_version": source.get("version"), "input": source.get("input"), "preprocessing": source.get("preprocessing")}), None
+    return sanitized(source.get("input")), None
+
+
+def sanitized(raw: dict | None) -> Input:
+    """An input of the known fields alone, each of its type; lists hold texts, ``top_k`` is from 1 to 100."""
+    raw = raw if isinstance(raw, dict) else {}
+    texts = {k: raw[k] for k in ("text", "pattern", "query", "text_b", "method") if isinstance(raw.get(k), str)}
+    lists = {k: string_list(raw[k]) for k in ("patterns", "documents") if raw.get(k) is not None}
+    top = raw.get("top_k")
+    number = {"top_k": clamp_int(top, 1, 100, 10)} if isinstance(top, (int, float)) and not isinstance(top, bool) else {}
+    return Input(**texts, **lists, **number)
+
+
+def string_list(value: object) -> list[str]:
+    if not isinstance(value, (list, tuple)):
+        raise ValidationError("a list of texts is needed")
+    return [str(x) for x in value]
+
+
+def clamp_int(value: object, low: int, high: int, default: int) -> int:
+    """A number or the number that a text begins with, brought into its bounds; the default where there is none."""
+    if isinstance(value, str):
+        m = re.match(r"\s*[+-]?\d+", value)
+        value = int(m.group()) if m else None
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or value != value or abs(value) == float("inf"):
+        return default
+    return max(low, min(high, math.floor(value)))
+
+
+def parse_id(value: object) -> int:
+    """A positive whole number."""
+    number = clamp_int(value, -(1 << 53), 1 << 53, 0) if not isinstance(value, str) or value.strip().isdecimal() else 0
+    if number <= 0 or (isinstance(value, float) and value != number):
+        raise ValidationError(f"{value!r} is no identifier")
+    return number
 
 
 def check_config(config: dict) -> dict:
@@ -62,7 +118,11 @@ def run_config(spark: SparkSession, store: Store | None, config: dict) -> tuple[
     if mode == "scaling":
         points, fits = benchmark.scaling(spark, names, config.get("sizes", [1000, 10_000, 100_000]), config.get("workload", {}).get("type", "random"), config.get("repetitions"))
         exponent = {r["algorithmId"]: r["exponent"] for r in fits.collect()}
-        rows = [{"algorithmId": r["algorithmId"], "label": f"n={r['size']}", "inputSize": r["n"], "runtimeMs": r["t"], "exponent": exponent.get(r["algorithmId"])} for r in points.collect()]
+        series = benchmark.scaling_series(points).orderBy("algorithmId", "size").collect()
+        rows = [
+            {"algorithmId": r["algorithmId"], "label": f"n={r['size']}", "inputSize": r["n"], "runtimeMs": r["t"], "theoretical": r["theoretical"], "comparisons": r["comparisons"], "exponent": exponent.get(r["algorithmId"])}
+            for r in series
+        ]
         return rows, rows
     if mode == "stress":
         found = benchmark.stress(spark, names, config.get("workloads", ["random", "repetitive", "worst-case"]), config.get("size", 50_000), config.get("repetitions"))
@@ -118,6 +178,20 @@ def duplicate(spark: SparkSession, store: Store, experiment: int) -> tuple[int,
     return create_and_run(spark, store, f"{row['name']} (copy)", json.loads(row["config"]), row["description"] or "", parent=experiment)
 
 
+def report(store: Store, experiment: int) -> DataFrame:
+    """One row: an experiment with its configuration, environment, algorithms' growth bounds and all of its runs, as structs."""
+    row, runs = store.experiment(experiment)
+    spark = store.spark
+    meta = [(a, *META[a][:4]) if a in META else (a, None, None, None, None) for a in row["algorithms"]]
+    algorithms = spark.createDataFrame(meta, "id string, name string, category string, worst string, space string").agg(F.collect_list(F.struct("*")).alias("algorithms"))
+    given = spark.createDataFrame([(row["config"], row["environment"])], "configuration string, environment string")
+    own = F.struct(*[F.lit(row[k]).cast(kind).alias(k) for k, kind in (("id", "int"), ("name", "string"), ("description", "string"), ("mode", "string"), ("created_at", "timestamp"), ("parent_id", "int"))])
+    source = F.struct(F.lit(row["dataset_id"]).cast("int").alias("id"), F.lit(row["dataset_version"]).cast("int").alias("version"))
+    listed = runs.agg(F.sort_array(F.collect_list(F.struct("id", "created_at", "summary", "results")), False).alias("runs"))
+    # All sides are one row.
+    return given.join(algorithms).join(listed).select(F.current_timestamp().alias("exportedAt"), own.alias("experiment"), F.when(F.lit(row["dataset_id"] is not None), source).alias("dataset"), "configuration", "environment", "algorithms", "runs")
+
+
 # Exercises. Their identifiers, inputs and, where nothing is computed, answers.
 def _found(text: str, pattern: str) -> Callable[[SparkSession], str]:
     return lambda spark: ",".join(map(str, execute(spark, "kmp", Input(text=text, pattern=pattern)).output["matches"]))

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import preprocess as pp
 from ..functions import text as tx
 from ..operators import analytics as an
+from ..operators import counters as co
 from ..operators import matching as ma
 from ..operators import multi_pattern as mp
 from ..operators import statistics as stt
 from ..operators import structures as st
 from ..sources import files, workloads
-from . import recommender, registry
+from . import benchmark, dashboard, recommender, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,12 +109,28 @@ def rabin_karp_hits(spark, t):
     return t("benchmark").select("item_id", ma.rabin_karp_counters(F.col("text"), "the").alias("c")).select("item_id", "c.hashHits", "c.spuriousHits")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE r AS (
+        SELECT item_id, text, length(text) AS n, 1 AS i, 0 AS j, {ma.lps_work('ten')}::BIGINT AS comparisons, {ma.lps_work('ten')}::BIGINT AS operations FROM benchmark
+        UNION ALL
+        SELECT item_id, text, n, CASE WHEN NOT eq AND j > 0 THEN i ELSE i + 1 END, CASE WHEN eq AND j < 2 THEN j + 1 WHEN eq OR j > 0 THEN {ma.lps('ten')}[CASE WHEN eq THEN 3 ELSE j END] ELSE 0 END,
+            comparisons + 1, operations + CASE WHEN (eq AND j = 2) OR (NOT eq AND j > 0) THEN 1 ELSE 0 END
+        FROM (SELECT *, substr(text, i, 1) = substr('ten', j + 1, 1) AS eq FROM r WHERE i <= n AND n >= 3))
+    SELECT item_id, max(comparisons) AS comparisons, max(operations) AS operations FROM r GROUP BY item_id"""
+)
 def kmp_counters(spark, t):
     return t("benchmark").select("item_id", ma.kmp_counters(F.col("text"), "ten").alias("c")).select("item_id", "c.*")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE r AS (
+        SELECT item_id, text, length(text) AS n, 0 AS s, {ma.good_suffix_work('ation')}::BIGINT AS comparisons, 0::BIGINT AS operations FROM benchmark
+        UNION ALL
+        SELECT item_id, text, n, s + CASE WHEN k = 5 THEN {ma.good_suffix('ation')}[1] ELSE greatest({ma.good_suffix('ation')}[6 - k], 5 - k - instr('ation', substr(text, s + 5 - k, 1))) END,
+            comparisons + least(k + 1, 5), operations + 1
+        FROM (SELECT *, len(list_filter([1, 2, 3, 4, 5], lambda x: right(substr(text, s + 1, 5), x) = right('ation', x)))::INT AS k FROM r WHERE s <= n - 5))
+    SELECT item_id, max(comparisons) AS comparisons, max(operations) AS operations FROM r GROUP BY item_id"""
+)
 def boyer_moore_counters(spark, t):
     return t("benchmark").select("item_id", ma.boyer_moore_counters(F.col("text"), "ation").alias("c")).select("item_id", "c.*")
 
@@ -158,6 +175,22 @@ def automaton_states(spark, t):
     return mp.automaton_states(spark, PATTERNS)
 
 
+@query(
+    _many_sql(
+        f"""SELECT item_id, (length(text) + coalesce(h, 0))::BIGINT AS comparisons, (length(text) + {co.Machine(PATTERNS).work})::BIGINT AS operations FROM benchmark LEFT JOIN (
+            WITH pre AS (SELECT DISTINCT substr(pattern, 1, k::INT) AS x FROM (SELECT pattern, unnest(range(1, length(pattern) + 1)) AS k FROM p)),
+            places AS (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark),
+            held AS (SELECT item_id, i, length(text) AS n, length(x) AS l FROM places JOIN pre ON i >= length(x) AND substr(text, (i - length(x) + 1)::INT, length(x)) = x),
+            top AS (SELECT item_id, i, max(l) AS l FROM held GROUP BY ALL)
+            SELECT held.item_id, count(*) AS h FROM held LEFT JOIN top ON top.item_id = held.item_id AND top.i = held.i + 1
+            WHERE held.i < held.n AND held.l > greatest(coalesce(top.l, 0) - 1, 0) GROUP BY held.item_id) USING (item_id)"""
+    )
+)
+def automaton_counters(spark, t):
+    """A failure link is followed for each prefix that ends before a character and is longer than what goes on with it."""
+    return co.automaton_counters(t("benchmark"), PATTERNS, key="item_id")
+
+
 # Structures
 
 _PARTS = "words AS (SELECT unnest(string_split(p_name, ' ')) AS word FROM part)"
@@ -191,6 +224,14 @@ def trie_completions(spark, t):
     return st.trie_completions(_part_words(t), "Part")
 
 
+@query(
+    f"""WITH {_PARTS}, w AS (SELECT word FROM words WHERE word <> ''), f AS (SELECT coalesce(max(k), 0) AS f FROM (SELECT unnest(range(1, 7)) AS k) WHERE EXISTS (SELECT 1 FROM w WHERE starts_with(word, substr('Partly', 1, k::INT))))
+    SELECT (sum(length(word)) + least(6, any_value(f) + 1))::BIGINT AS comparisons, sum(length(word))::BIGINT AS operations FROM w, f"""
+)
+def trie_counters(spark, t):
+    return co.trie_counters(_part_words(t), "Partly")
+
+
 _SUFFIXES = """s AS (SELECT item_id, text, pos, substr(text, (pos + 1)::INT) AS s FROM (SELECT item_id, text, unnest(range(length(text))) AS pos FROM benchmark)),
     r AS (SELECT item_id, text, pos, s, row_number() OVER w - 1 AS rank, lag(s) OVER w AS p FROM s WINDOW w AS (PARTITION BY item_id ORDER BY s)),
     l AS (SELECT item_id, text, pos, rank, CASE WHEN p IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(p), length(s)) + 1), lambda k: substr(p, 1, k) = substr(s, 1, k))) END AS lcp FROM r)"""
@@ -217,6 +258,15 @@ def longest_repeat(spark, t):
     return st.repeats(st.suffix_array(b, key="item_id"), b, key="item_id")
 
 
+@query(
+    f"""WITH {_SUFFIXES}, m AS (SELECT item_id, length(text) AS n, rank, pos, lcp, lag(pos) OVER (PARTITION BY item_id ORDER BY rank) AS other, lag(lcp) OVER (PARTITION BY item_id ORDER BY pos) AS before FROM l)
+    SELECT item_id, sum(lcp - greatest(coalesce(before, 0) - 1, 0) + CASE WHEN greatest(pos, other) + lcp < n THEN 1 ELSE 0 END)::BIGINT AS comparisons, count(*) AS operations FROM m WHERE rank > 0 GROUP BY item_id"""
+)
+def lcp_counters(spark, t):
+    b = t("benchmark")
+    return co.lcp_counters(st.suffix_array(b, key="item_id"), b, key="item_id")
+
+
 # Edit distance
 
 
@@ -378,6 +428,23 @@ def top_terms(spark, t):
     return an.top_terms(t("documents"))
 
 
+@query(f"WITH {_TERMS} SELECT 0::BIGINT AS comparisons, (sum(cnt) + count(*))::BIGINT AS operations, (count(*) * 48 + count(DISTINCT term) * 64)::BIGINT AS \"memoryBytes\" FROM cnt")
+def tfidf_counters(spark, t):
+    return co.tfidf_counters(t("documents"))
+
+
+@query(
+    f"""WITH {_TERMS}, q AS (SELECT term, count(*) AS df, row_number() OVER (ORDER BY count(*), {_PLACE}) AS r FROM cnt WHERE term IN ({_IN}) GROUP BY term),
+    has AS (SELECT doc_id, r, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS rn FROM cnt JOIN q USING (term)),
+    a AS (SELECT r AS k, doc_id FROM has WHERE r = rn), b AS (SELECT r - 1 AS k, doc_id FROM has WHERE r > 1),
+    e AS (SELECT k, least(x, y) AS e FROM (SELECT k, max(doc_id) AS x FROM a GROUP BY k) JOIN (SELECT k, max(doc_id) AS y FROM b GROUP BY k) USING (k)),
+    m AS (SELECT count(*) AS steps FROM (SELECT k, doc_id FROM a UNION SELECT k, doc_id FROM b) JOIN e USING (k) WHERE doc_id <= e)
+    SELECT ({len(_WORDS)} + any_value(steps))::BIGINT AS comparisons, (sum(cnt) + (SELECT sum(df) FROM q))::BIGINT AS operations FROM cnt, m"""
+)
+def index_counters(spark, t):
+    return co.index_counters(t("documents"), SEARCH)
+
+
 # Similarity: each document with the next
 
 _SIM = f"""d AS (SELECT doc_id, {_tok('text', True)} AS w FROM documents),
@@ -423,6 +490,11 @@ def contributions(spark, t):
     return an.similarity(_neighbours(t)).select("doc_id", F.explode("contributions").alias("c")).select("doc_id", "c.term", "c.product")
 
 
+@query(f"WITH {_SIM} SELECT doc_id, len(da)::BIGINT AS comparisons, (len(a) + len(b))::BIGINT AS operations FROM q")
+def similarity_counters(spark, t):
+    return co.similarity_counters(_neighbours(t))
+
+
 # Statistics
 
 
@@ -528,9 +600,11 @@ def next_version(spark, t):
     return t("orders").groupBy(F.col("o_custkey").alias("dataset_id")).agg((F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).alias("next"))
 
 
-@query("SELECT o_custkey AS version_of, o_orderkey AS version, o_orderstatus AS note FROM orders WHERE o_custkey = 7 ORDER BY o_orderkey DESC")
+@query("SELECT o_custkey AS version_of, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC)::INT AS place, o_orderkey AS version, o_orderstatus AS note FROM orders")
 def dataset_versions(spark, t):
-    return t("orders").where("o_custkey = 7").select(F.col("o_custkey").alias("version_of"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("note")).orderBy(F.desc("version"))
+    """The versions of every dataset, the latest first."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey")))
+    return t("orders").select(F.col("o_custkey").alias("version_of"), place.alias("place"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("note"))
 
 
 @query("SELECT c_custkey AS id, coalesce(n, 0) AS runs, last FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY 1) ON c_custkey = o_custkey")
@@ -565,10 +639,75 @@ def activity_feed(spark, t):
     return orders.unionByName(events).orderBy(F.desc("at"), "kind", F.desc("id")).limit(12)
 
 
-@query("SELECT l_returnflag AS algorithm, count(*) AS runs, round(sum(l_quantity) / sum(l_extendedprice) * 1000, 6) AS throughput, round(avg(l_extendedprice), 6) AS median_ms FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1")
+@query('SELECT l_returnflag AS "algorithmId", count(*) AS runs, round(sum(l_quantity) / sum(l_extendedprice) * 1000, 6) AS "avgThroughput", round(avg(l_extendedprice), 4) AS "avgMedianMs" FROM lineitem GROUP BY 1')
 def algorithm_throughput(spark, t):
-    rows = t("lineitem").where("l_linenumber <= 3").groupBy(F.col("l_returnflag").alias("algorithm"))
-    return rows.agg(F.count(F.lit(1)).alias("runs"), F.round(F.sum("l_quantity") / F.sum("l_extendedprice") * 1000, 6).alias("throughput"), F.round(F.avg("l_extendedprice"), 6).alias("median_ms"))
+    """Every order is a benchmark whose JSON summary has an entry for each of its lines."""
+    entry = F.struct(F.col("l_returnflag").alias("algorithmId"), F.lit("ok").alias("status"), F.col("l_quantity").cast("double").alias("inputSize"), F.col("l_extendedprice").cast("double").alias("medianMs"))
+    benchmarks = t("lineitem").groupBy("l_orderkey").agg(F.to_json(F.collect_list(entry)).alias("summary")).withColumn("kind", F.lit("compare"))
+    out = dashboard.throughput(benchmarks)
+    return out.select("algorithmId", "runs", F.round("avgThroughput", 6).alias("avgThroughput"), F.round("avgMedianMs", 4).alias("avgMedianMs"))
+
+
+def _experiments(t):
+    c = t("customer")
+    return c.select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("mode"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("c_custkey").cast("int")).alias("created_at"),
+        F.when(F.col("c_nationkey") > 3, F.col("c_nationkey")).alias("dataset_id"), (F.col("c_custkey") % 3).alias("dataset_version"),
+    )
+
+
+_EXPERIMENTS = "e AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS mode, DATE '2020-01-01' + c_custkey::INT AS created_at, CASE WHEN c_nationkey > 3 THEN c_nationkey END AS dataset_id, c_custkey % 3 AS dataset_version FROM customer)"
+
+
+@query("SELECT 12 AS algorithms, 4 AS categories, (SELECT count(*) FROM nation) AS datasets, (SELECT count(*) FROM customer) AS experiments, (SELECT count(*) FROM orders) AS benchmarks, 12 AS visualizable")
+def totals(spark, t):
+    return dashboard.totals(t("nation"), t("customer"), t("orders"))
+
+
+@query(
+    f"""WITH {_EXPERIMENTS}, r AS (SELECT o_orderkey AS run_id, o_custkey AS experiment_id, name, mode, o_orderdate AS created_at FROM orders JOIN e ON o_custkey = id ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500),
+    k AS (SELECT id AS experiment_id, dataset_id, dataset_version FROM e ORDER BY created_at DESC, id DESC LIMIT 200)
+    SELECT run_id, experiment_id, name, mode, dataset_id, dataset_version, created_at FROM r LEFT JOIN k USING (experiment_id)"""
+)
+def research_feed(spark, t):
+    runs = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("experiment_id"), F.col("o_orderdate").alias("created_at"))
+    return dashboard.research_feed(runs, _experiments(t))
+
+
+def _entries(t):
+    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(
+        F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("experiment_id"), F.col("o_orderdate").alias("created_at"), F.concat(F.lit("a"), F.col("l_linenumber").cast("string")).alias("algorithmId"),
+        F.lit(None).cast("string").alias("label"), F.col("l_extendedprice").alias("runtimeMs"), F.col("l_quantity").alias("comparisons"),
+    )
+
+
+@query(
+    f"""WITH {_EXPERIMENTS} SELECT coalesce(n_name, '#' || dataset_id || ' (deleted)') AS dataset, dataset_version AS version, name AS experiment, 'a' || l_linenumber AS "algorithmId", l_extendedprice AS "runtimeMs", l_quantity AS comparisons, o_orderdate AS created_at
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN e ON o_custkey = id LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON n_nationkey = dataset_id WHERE dataset_id IS NOT NULL"""
+)
+def runs_by_dataset(spark, t):
+    datasets = t("nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return dashboard.runs_by_dataset(_entries(t), _experiments(t), datasets)
+
+
+@query('SELECT l_orderkey AS run_id, max(CASE WHEN l_linenumber = 1 THEN l_extendedprice END) AS a1, max(CASE WHEN l_linenumber = 2 THEN l_extendedprice END) AS a2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1')
+def run_matrix(spark, t):
+    return dashboard.run_matrix(_entries(t), ["a1", "a2"], "max")
+
+
+@query(
+    """WITH p AS (SELECT l_returnflag AS g, l_orderkey AS k, l_linenumber AS l, l_quantity AS n, l_linenumber AS m, l_extendedprice AS t, ['nm', 'n/m', 'n+m', 'nlogn', 'nlog2n', 'mn', 'L'][l_linenumber % 7 + 1] AS model FROM lineitem),
+    f AS (SELECT *, CASE WHEN model IN ('nm', 'mn') THEN n * greatest(m, 1) WHEN model = 'n/m' THEN n / greatest(m, 1) WHEN model = 'n+m' THEN n + m WHEN model = 'nlogn' THEN n * log2(greatest(n, 2)) WHEN model = 'nlog2n' THEN n * log2(greatest(n, 2)) * log2(greatest(n, 2)) ELSE n END AS f FROM p),
+    c AS (SELECT g, sum(f * t) / sum(f * f) AS c FROM f GROUP BY g)
+    SELECT k, l, t, round(c * f, 3) AS theoretical FROM f JOIN c USING (g)"""
+)
+def scaling_series(spark, t):
+    model = F.get(F.array(*[F.lit(x) for x in ("nm", "n/m", "n+m", "nlogn", "nlog2n", "mn", "L")]), F.col("l_linenumber") % 7)
+    points = t("lineitem").select(
+        F.col("l_returnflag").alias("g"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("l"), F.col("l_quantity").alias("n"), F.col("l_linenumber").alias("m"), F.col("l_extendedprice").alias("t"), model.alias("model")
+    )
+    return benchmark.scaling_series(points, "g").select("k", "l", "t", F.round("theoretical", 3).alias("theoretical"))
 
 
 @query(
@@ -591,6 +730,35 @@ def report_flattening(spark, t):
     return rows.select(F.col("c_custkey").alias("experiment_id"), F.col("c_name").alias("experiment"), F.col("c_mktsegment").alias("mode"), F.col("o_orderkey").alias("run_id"), F.col("l_linenumber").alias("entry"), F.col("l_extendedprice").alias("runtime"))
 
 
+# Helpers of display and exercises
+
+
+@query(r"""SELECT p_partkey, array_to_string(list_filter(string_split_regex(regexp_replace(lower(trim('[' || p_name || '; ' || p_brand || ' )  ')), '[\[\]{}()]', '', 'g'), '[\s,;]+'), lambda x: x <> ''), ',') AS answer FROM part""")
+def answer_normalisation(spark, t):
+    given = F.concat(F.lit("["), F.col("p_name"), F.lit("; "), F.col("p_brand"), F.lit(" )  "))
+    return t("part").select("p_partkey", tx.normalize_answer(given).alias("answer"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '…' ELSE text END AS shown, CASE WHEN doc_id % 5 > 0 THEN list_sum(range(doc_id, doc_id + doc_id % 5))::BIGINT ELSE 0 END AS summed, floor(length(text) / 7 * 10000 + 0.5) / 10000 AS rounded FROM documents")
+def display_helpers(spark, t):
+    numbers = tx.span(F.col("doc_id").cast("int"), (F.col("doc_id") % 5).cast("int"))
+    summed = F.aggregate(numbers, F.lit(0).cast("long"), lambda s, x: s + x)
+    return t("documents").select("doc_id", tx.shortened(F.col("text"), 40).alias("shown"), summed.alias("summed"), tx.round4(F.length("text") / 7).alias("rounded"))
+
+
+def _preview_sql() -> str:
+    after = _P["removePunctuation"].replace("{0}", _P["lowercase"].replace("{0}", "text"))
+    side = lambda name, c: f"length({c})::INT AS {name}_chars, CASE WHEN {c} = '' THEN 0 ELSE len(string_split({c}, chr(10))) END::INT AS {name}_lines, len(regexp_extract_all({c}, '\\S+'))::INT AS {name}_words, len(list_distinct({_raw(c)}))::INT AS {name}_vocabulary, md5(substr({c}, 1, 3000)) AS {name}_preview"
+    return f"SELECT doc_id, {side('before', 'text')}, {side('after', 'made')}, length(text) > 3000 AS truncated FROM (SELECT doc_id, text, {after} AS made FROM documents)"
+
+
+@query(_preview_sql())
+def preprocess_preview(spark, t):
+    out = files.preprocess_preview(t("documents"), {"lowercase": True, "removePunctuation": True}, key="doc_id")
+    side = lambda n: [F.md5(F.col(f"{n}.preview").cast("binary")).alias(f"{n}_preview"), *[F.col(f"{n}.{c}").alias(f"{n}_{c}") for c in ("chars", "lines", "words", "vocabulary")]]
+    return out.select("doc_id", *side("before"), *side("after"), "truncated")
+
+
 # Workloads
 
 _DRAW = """a AS (SELECT i, ((42 + (i + 1) * 1831565813::HUGEINT) % 4294967296)::HUGEINT AS a FROM range(50000) r(i)),
@@ -657,9 +825,36 @@ def recommendation_scores(spark, t):
         (F.floor(c / 12) % 2 == 1).alias("needIndexing"),
         (F.floor(c / 24) % 2 == 1).alias("streaming"),
     )
-    return recommender.recommend(profiles).drop("name")
+    return recommender.recommend(profiles).select("profile_id", "rank", "algorithmId", "applicable", "score")
 
 
-@query()
+@query(
+    """SELECT c_custkey AS profile_id, ['multi-pattern', 'fuzzy-match'][c_custkey % 2 + 1] AS task,
+        CASE WHEN c_acctbal >= 0 THEN least(c_acctbal, 1e10) ELSE 100000.0 END::DOUBLE AS "textSize", 8::DOUBLE AS "patternSize", greatest(1, c_custkey % 3)::DOUBLE AS "patternCount", 1::DOUBLE AS "documentCount",
+        CASE WHEN c_custkey % 3 < 2 THEN ['low', 'high'][c_custkey % 3 + 1] ELSE 'low' END AS repetition, 'large' AS alphabet, CASE WHEN c_custkey % 4 = 0 THEN 'frequent' ELSE 'once' END AS "queryFrequency",
+        c_custkey % 4 = 1 AS "needIndexing", c_custkey % 2 = 1 AS streaming FROM customer"""
+)
+def profile_parsing(spark, t):
+    """Profiles given as text: numbers below 0 and what isn't a number, unknown choices, flags in words."""
+    c = F.col("c_custkey")
+    pick = lambda values, by: F.get(F.array(*[F.lit(v) for v in values]), (c % by).cast("int"))
+    raw = t("customer").select(
+        c.alias("profile_id"), pick(["multi-pattern", "fuzzy-match"], 2).alias("task"), F.col("c_acctbal").cast("string").alias("textSize"), F.col("c_name").alias("patternSize"), (c % 3).cast("string").alias("patternCount"),
+        F.lit(None).cast("string").alias("documentCount"), pick(["low", "high", "extreme"], 3).alias("repetition"), F.lit("huge").alias("alphabet"), pick(["frequent", "never", None, ""], 4).alias("queryFrequency"),
+        pick(["false", "true", "0", ""], 4).alias("needIndexing"), pick(["no", "1"], 2).alias("streaming"),
+    )
+    return recommender.parse_profiles(raw)
+
+
+@query(
+    """SELECT * FROM (VALUES
+        ('naive', 'Naive String Matching', 'string-matching', 'O(n·m)', 'O(1)', 'nm', 2000000), ('kmp', 'Knuth–Morris–Pratt (KMP)', 'string-matching', 'O(n + m)', 'O(m)', 'n+m', 5000000),
+        ('rabin-karp', 'Rabin–Karp', 'string-matching', 'O(n·m)', 'O(1)', 'n+m', 5000000), ('boyer-moore', 'Boyer–Moore', 'string-matching', 'O(n·m)', 'O(m + σ)', 'n/m', 5000000),
+        ('aho-corasick', 'Aho–Corasick', 'multi-pattern', 'O(n + m + z)', 'O(m · σ)', 'n+z', 5000000), ('trie', 'Trie (Prefix Tree)', 'text-structures', 'O(L)', 'O(total characters · σ)', 'L', 3000000),
+        ('suffix-array', 'Suffix Array', 'text-structures', 'O(n log² n)', 'O(n)', 'nlog2n', 100000), ('kasai', 'Kasai LCP Array', 'text-structures', 'O(n)', 'O(n)', 'nlog2n', 100000),
+        ('edit-distance', 'Edit Distance (Levenshtein)', 'text-analytics', 'O(n·m)', 'O(n·m)', 'mn', 5000), ('tfidf', 'TF-IDF', 'text-analytics', 'O(T + D·V)', 'O(D·V)', 'n', 3000000),
+        ('inverted-index', 'Inverted Index', 'text-analytics', 'O(T)', 'O(T)', 'n', 3000000), ('similarity', 'Text Similarity', 'text-analytics', 'O(n + m)', 'O(V)', 'n', 3000000)
+    ) m(id, name, category, worst, space, model, "maxBenchmarkSize")"""
+)
 def algorithm_metadata(spark, t):
     return registry.metadata(spark)

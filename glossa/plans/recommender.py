@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.matching import ValidationError
 from .registry import META
 
-# The fields of a profile with their defaults, and the tasks.
+# The fields of a profile with their defaults, the values of its choices, and the tasks.
 PROFILE = {
     "task": ("string", "single-pattern"),
     "textSize": ("double", 100_000.0),
@@ -20,19 +21,49 @@ PROFILE = {
     "needIndexing": ("boolean", False),
     "streaming": ("boolean", False),
 }
+CHOICES = {"repetition": ("low", "medium", "high"), "alphabet": ("small", "large"), "queryFrequency": ("once", "occasional", "frequent")}
 TASKS = (
     "single-pattern", "multi-pattern", "prefix-lookup", "substring-queries", "repeat-analysis",
-    "fuzzy-match", "document-search", "document-similarity", "keyword-ranking",
+    "fuzzy-match", "keyword-ranking", "document-search", "document-similarity",
 )
+MOST_NUMBER = 1e10
 #: Order in which equal scores are listed.
 ORDER = ("naive", "kmp", "boyer-moore", "rabin-karp", "aho-corasick", "trie", "suffix-array", "kasai", "edit-distance", "tfidf", "inverted-index", "similarity")
 
 
+def parse_profiles(raw: DataFrame) -> DataFrame:
+    """A table of profiles as text, null where a field isn't given, with every field in its type and bounds.
+
+    Numbers that aren't or are negative take their default, others end at MOST_NUMBER, and
+    there is one pattern at least; choices other than the known ones take their default; a
+    flag is set unless its text is empty, ``false``, ``no`` or ``0``.  An unknown task is an
+    error of the query.  Other columns stay.
+    """
+    out = {}
+    for name, (kind, default) in PROFILE.items():
+        c = F.col(name)
+        if name == "task":
+            out[name] = F.when(c.isin(*TASKS), c).otherwise(F.raise_error(F.concat(F.lit(f"unknown task; use one of {', '.join(TASKS)}: "), F.coalesce(c, F.lit("none")))).cast("string"))
+        elif kind == "double":
+            number = c.try_cast("double")
+            fine = number.isNotNull() & ~F.isnan(number) & (number >= 0) & (number < float("inf"))
+            value = F.when(fine, F.least(number, F.lit(MOST_NUMBER))).otherwise(F.lit(default))
+            out[name] = F.greatest(F.lit(1.0), value) if name == "patternCount" else value
+        elif kind == "boolean":
+            out[name] = ~F.lower(F.coalesce(c, F.lit(""))).isin("", "false", "no", "0")
+        else:
+            out[name] = F.when(c.isin(*CHOICES[name]), c).otherwise(F.lit(default))
+    return raw.withColumns(out)
+
+
 def profiles(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """A table of profiles with defaults filled in and a ``profile_id``."""
-    kinds = {"string": str, "double": float, "boolean": bool}
-    data = [(i, *(kinds[kind](r.get(k, default)) for k, (kind, default) in PROFILE.items())) for i, r in enumerate(rows)]
-    return spark.createDataFrame(data, "profile_id int, " + ", ".join(f"{k} {kind}" for k, (kind, _) in PROFILE.items()))
+    """A table of profiles with defaults filled in and a ``profile_id``; an unknown task is refused at once."""
+    for r in rows:
+        if r.get("task", PROFILE["task"][1]) not in TASKS:
+            raise ValidationError(f"unknown task {r.get('task')!r}; use one of {', '.join(TASKS)}")
+    text = lambda v: None if v is None else str(v)
+    data = [(i, *(text(r.get(k, PROFILE["task"][1] if k == "task" else None)) for k in PROFILE)) for i, r in enumerate(rows)]
+    return parse_profiles(spark.createDataFrame(data, "profile_id int, " + ", ".join(f"{k} string" for k in PROFILE)))
 
 
 def _points(when: Column, value: int) -> Column:
@@ -68,16 +99,91 @@ def scores() -> dict[str, tuple[Column, Column]]:
     }
 
 
+def grounds() -> dict[str, tuple[list[tuple[Column, Column]], list[tuple[Column, Column]]]]:
+    """(reasons, cautions) of each algorithm, each a condition over the columns of a profile and what is said where it holds."""
+    c = F.col
+    task = lambda *names: c("task").isin(*names)
+    single = task("single-pattern")
+    multi = task("multi-pattern") | (single & (c("patternCount") > 1))
+    frequent, high = c("queryFrequency") == "frequent", c("repetition") == "high"
+    small = c("alphabet") == "small"
+    static = single & frequent & c("needIndexing")
+    many_indexed = c("needIndexing") & (c("documentCount") > 1)
+    number = lambda name: F.format_number(c(name), 0)
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    short, little = single & (c("patternSize") <= 3), single & (c("textSize") < 10_000)
+    always = F.lit(True)
+    return {
+        "naive": (
+            [(short, say("A pattern of ", number("patternSize"), " characters leaves little to save by tables.")), (little, say("On a small text the simplest scan is fast enough.")), (single & ~short & ~little, say("A baseline that is easy to check."))],
+            [(high, say("Repetitive text makes almost every shift compare most of the pattern.")), (~single, say("It searches for a single pattern only."))],
+        ),
+        "kmp": (
+            [(single, say("Linear in text and pattern whatever they are.")), (single & (c("repetition") != "low"), say("Partial matches of repetitive text are used again through the failure table.")), (single & small, say("A small alphabet costs it nothing.")), (c("streaming"), say("It never goes back in the text."))],
+            [(multi, say("It needs ", number("patternCount"), " passes for as many patterns."))],
+        ),
+        "boyer-moore": (
+            [(single & ~small, say("With a large alphabet mismatches skip whole pattern lengths.")), (single & (c("patternSize") >= 8), say("A pattern of ", number("patternSize"), " characters allows long skips."))],
+            [(small, say("A small alphabet allows short skips only.")), (high, say("Repetitive text may take it to the product of both lengths.")), (c("streaming"), say("It reads backwards within a window, which a stream must buffer."))],
+        ),
+        "rabin-karp": (
+            [(single, say("A rolling hash takes linear time on average.")), (multi, say("Hashes of several patterns of one length can be looked up together.")), (task("document-similarity"), say("Rolling hashes are what fingerprints of documents are made of."))],
+            [(always, say("Many equal hashes take it to the product of both lengths.")), (high, say("In repetitive text most windows may need a second look."))],
+        ),
+        "aho-corasick": (
+            [(multi, say("One pass finds all ", number("patternCount"), " patterns.")), (multi & (c("patternCount") >= 10), say("It gains with every further pattern.")), (multi & c("streaming"), say("It reads a stream from left to right."))],
+            [(single & (c("patternCount") == 1), say("For one pattern it is a failure table with more overhead."))],
+        ),
+        "trie": (
+            [(task("prefix-lookup"), say("A look-up costs the length of the prefix, not the size of the dictionary.")), (~task("prefix-lookup") & multi & frequent, say("Frequent look-ups pay for building it."))],
+            [(always, say("It takes memory for every node."))],
+        ),
+        "suffix-array": (
+            [(task("substring-queries") | static, say("The text is sorted once, and ", c("queryFrequency"), " queries search it in logarithmic steps.")), (single & frequent & ~c("needIndexing"), say("If the text may be indexed, frequent queries favour it."))],
+            [(always, say("A changed text must be sorted again."))],
+        ),
+        "kasai": ([(task("repeat-analysis", "substring-queries"), say("Common prefixes of neighbouring suffixes give repeats and distinct substrings in linear time."))], []),
+        "edit-distance": ([(task("fuzzy-match"), say("The least number of edits is an exact score that can be shown."))], [(c("textSize") > 5000, say("Its cost is the product of both lengths."))]),
+        "tfidf": (
+            [(task("keyword-ranking"), say("It weighs the terms that set apart each of ", number("documentCount"), " documents.")), (task("document-search"), say("Its weights rank what an index finds."))],
+            [(c("documentCount") < 2, say("With one document all terms weigh alike."))],
+        ),
+        "inverted-index": (
+            [(task("document-search") | c("needIndexing"), say("A query reads its terms' lists instead of ", number("documentCount"), " documents.")), (task("document-search") | c("needIndexing"), F.when(frequent, "Frequent queries pay for building it.").otherwise("It is built once."))],
+            [],
+        ),
+        "similarity": ([(task("document-similarity"), say("Measures of shared terms take linear time and can be shown."))], [(always, say("It compares words, not meanings."))]),
+    }
+
+
 def recommend(df: DataFrame, key: str = "profile_id") -> DataFrame:
-    """``key, rank, algorithmId, name, applicable, score``: twelve rows a profile, applicable ones first, then by score."""
-    rules = scores()
+    """``key, rank, algorithmId, name, applicable, score, reasons, cautions, complexity``: twelve rows a profile, applicable ones first, then by score."""
+    rules, said = scores(), grounds()
+    texts = lambda pairs: F.array_compact(F.array(*[F.when(when, text) for when, text in pairs])) if pairs else F.array().cast("array<string>")
     entries = [
-        F.struct(F.lit(i).alias("place"), F.lit(a).alias("algorithmId"), F.lit(META[a][0]).alias("name"), rules[a][0].alias("applicable"), F.greatest(F.lit(0), F.least(F.lit(100), rules[a][1])).alias("score"))
+        F.struct(
+            F.lit(i).alias("place"),
+            F.lit(a).alias("algorithmId"),
+            F.lit(META[a][0]).alias("name"),
+            rules[a][0].alias("applicable"),
+            F.greatest(F.lit(0), F.least(F.lit(100), rules[a][1])).alias("score"),
+            texts(said[a][0]).alias("reasons"),
+            texts(said[a][1]).alias("cautions"),
+            F.lit(f"{META[a][2]} worst, {META[a][3]} space").alias("complexity"),
+        )
         for i, a in enumerate(ORDER)
     ]
     rows = df.select(key, F.inline(F.array(*entries)))
     order = Window.partitionBy(key).orderBy(F.desc("applicable"), F.desc("score"), "place")
-    return rows.select(key, F.row_number().over(order).alias("rank"), "algorithmId", "name", "applicable", "score")
+    return rows.select(key, F.row_number().over(order).alias("rank"), "algorithmId", "name", "applicable", "score", "reasons", "cautions", "complexity")
+
+
+def explanation(df: DataFrame, key: str = "profile_id") -> DataFrame:
+    """``key, explanation``: the first three applicable algorithms in a sentence."""
+    first = recommend(df, key).where("applicable and rank <= 3").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("r"))
+    names = F.array_join("r.name", ", ")
+    said = F.when(F.col("r").isNull(), "No algorithm here is made for this combination.").otherwise(F.concat(F.lit("For "), F.col("task"), F.lit(": "), names, F.lit(". Scores follow from the rules listed; measure to be sure.")))
+    return df.select(key, "task").join(first, key, "left").select(key, said.alias("explanation"))
 
 
 def suggested_workload() -> Column:
@@ -91,6 +197,8 @@ def suggested_workload() -> Column:
 
 
 def verification(df: DataFrame, key: str = "profile_id") -> DataFrame:
-    """``key, algorithms, workload``: the first five applicable algorithms and a workload to compare them on."""
+    """``key, algorithms, workload, size, patternLength, patternCount``: the first five applicable algorithms and a workload to compare them on."""
     first = recommend(df, key).where("applicable and rank <= 5").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "algorithmId"))).alias("r"))
-    return df.select(key, suggested_workload().alias("workload")).join(first, key, "left").select(key, F.coalesce(F.col("r.algorithmId"), F.array().cast("array<string>")).alias("algorithms"), "workload")
+    bounded = lambda name, low, high: F.least(F.greatest(F.col(name), F.lit(float(low))), F.lit(float(high))).alias(name)
+    rows = df.select(key, suggested_workload().alias("workload"), bounded("textSize", 1000, 1_000_000).alias("size"), bounded("patternSize", 1, 200).alias("patternLength"), bounded("patternCount", 1, 200))
+    return rows.join(first, key, "left").select(key, F.coalesce(F.col("r.algorithmId"), F.array().cast("array<string>")).alias("algorithms"), "workload", "size", "patternLength", "patternCount")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics as an
+from ..operators import counters as co
 from ..operators import matching as ma
 from ..operators import multi_pattern as mp
 from ..operators import structures as st
@@ -35,7 +37,7 @@ META = {
     "edit-distance": ("Edit Distance (Levenshtein)", "text-analytics", "O(n·m)", "O(n·m)", "mn", 5_000),
     "tfidf": ("TF-IDF", "text-analytics", "O(T + D·V)", "O(D·V)", "n", 3_000_000),
     "inverted-index": ("Inverted Index", "text-analytics", "O(T)", "O(T)", "n", 3_000_000),
-    "similarity": ("Text Similarity", "text-analytics", "O(n + m)", "O(V)", "n+m", 3_000_000),
+    "similarity": ("Text Similarity", "text-analytics", "O(n + m)", "O(V)", "n", 3_000_000),
 }
 #: Characters of one text and of all documents, documents, and characters of a query.
 MOST_TEXT, MOST_DOCUMENTS, MOST_QUERY = 5_000_000, 20_000, 1000
@@ -63,6 +65,10 @@ class Result:
     output: dict[str, Any]
     summary: str
     metrics: dict[str, float]
+    preview: str = ""
+    complexity: dict[str, str] = field(default_factory=dict)
+    steps: list[dict] = field(default_factory=list)
+    truncated: bool = False
 
 
 def metadata(spark: SparkSession) -> DataFrame:
@@ -136,7 +142,8 @@ def _aho_corasick(spark: SparkSession, given: Input) -> tuple[dict, str, dict]:
     counts = [(r["pattern"], r["matches"]) for r in mp.pattern_counts(df, patterns).orderBy("pattern_id").collect()]
     states, total = mp.automaton_states(spark, patterns).first()["states"], sum(n for _, n in counts)
     out = {"totalMatches": total, "matches": [tuple(r) for r in rows.limit(1000).collect()], "perPattern": counts, "states": states}
-    return out, f"{total} matches of {len(patterns)} patterns.", {"memoryBytes": 80 * states}
+    work = co.automaton_counters(df, patterns).first()
+    return out, f"{total} matches of {len(patterns)} patterns.", {"comparisons": work["comparisons"], "operations": work["operations"], "memoryBytes": 80 * states}
 
 
 def _trie(spark: SparkSession, given: Input) -> tuple[dict, str, dict]:
@@ -146,8 +153,8 @@ def _trie(spark: SparkSession, given: Input) -> tuple[dict, str, dict]:
     df = spark.createDataFrame([(w,) for w in words], "word string")
     out = st.trie_summary(df, query).first().asDict()
     out["completions"] = [r["word"] for r in st.trie_completions(df, query).orderBy("rank").collect()]
-    size = sum(map(len, words))
-    return out, f"{out['nodeCount']} nodes, {len(out['completions'])} completions.", {"operations": size, "memoryBytes": 64 * out["nodeCount"]}
+    work = co.trie_counters(df, query).first()
+    return out, f"{out['nodeCount']} nodes, {len(out['completions'])} completions.", {"comparisons": work["comparisons"], "operations": work["operations"], "memoryBytes": 64 * out["nodeCount"]}
 
 
 def _suffixes(spark: SparkSession, given: Input, with_lcp: bool) -> tuple[dict, str, dict]:
@@ -162,7 +169,9 @@ def _suffixes(spark: SparkSession, given: Input, with_lcp: bool) -> tuple[dict,
     found = st.repeats(st.suffix_array(df), df).first().asDict()
     found.pop("doc_id")
     out |= found
-    return out, f"Longest repeat: {out['longestRepeatLength']} characters.", {"operations": len(text) - 1, "memoryBytes": 32 * len(text)}
+    work = co.lcp_counters(st.suffix_array(df), df).first()
+    counted = {"comparisons": work["comparisons"], "operations": work["operations"]} if work else {"comparisons": 0, "operations": 0}
+    return out, f"Longest repeat: {out['longestRepeatLength']} characters.", {**counted, "memoryBytes": 32 * len(text)}
 
 
 def _edit_distance(spark: SparkSession, given: Input) -> tuple[dict, str, dict]:
@@ -197,7 +206,8 @@ def _tfidf(spark: SparkSession, given: Input) -> tuple[dict, str, dict]:
     for r in an.tfidf_top_terms(df, given.top_k).where("doc_id < 50").orderBy("doc_id", "rank").collect():
         tops.setdefault(r["doc_id"], []).append((r["term"], r["weight"]))
     out = {"documents": df.count(), "vocabularySize": size["v"], "totalTokens": size["t"] or 0, "globalRanking": ranking, "topTermsPerDocument": tops}
-    return out, f"{size['v']} terms.", {}
+    work = co.tfidf_counters(df).first().asDict()
+    return out, f"{size['v']} terms.", work
 
 
 def _index(spark: SparkSession, given: Input) -> tuple[dict, str, dict]:
@@ -207,7 +217,8 @@ def _index(spark: SparkSession, given: Input) -> tuple[dict, str, dict]:
     out["andResults"] = [r["doc_id"] for r in an.and_query(df, query).orderBy("doc_id").limit(200).collect()]
     out["orResults"] = [(r["doc_id"], r["matched"], r["score"], r["terms"]) for r in an.or_query(df, query).orderBy("rank").collect()]
     out["topTerms"] = [(r["term"], r["df"], r["totalTf"]) for r in an.top_terms(df).orderBy("rank").collect()]
-    return out, f"{out['terms']} terms, {out['postings']} postings.", {"memoryBytes": 64 * out["terms"] + 40 * out["postings"]}
+    work = co.index_counters(df, query).first().asDict()
+    return out, f"{out['terms']} terms, {out['postings']} postings.", {**work, "memoryBytes": 64 * out["terms"] + 40 * out["postings"]}
 
 
 def _similarity(spark: SparkSession, given: Input) -> tuple[dict, str, dict]:
@@ -216,7 +227,9 @@ def _similarity(spark: SparkSession, given: Input) -> tuple[dict, str, dict]:
     out = {"method": given.method, "score": row["score"], "allMethods": {m: row[m] for m in an.METHODS}, "tokensA": row["tokensA"], "tokensB": row["tokensB"]}
     out |= {k: row[k][:200] for k in ("sharedTerms", "onlyInA", "onlyInB")}
     out["contributions"] = [(c["term"], c["product"]) for c in row["contributions"][:30]]
-    return out, f"{given.method} similarity {row['score']}.", {"operations": row["tokensA"] + row["tokensB"]}
+    work = co.similarity_counters(df.withColumn("doc_id", F.lit(0))).first()
+    distinct = sum(len(row[k]) for k in ("sharedTerms", "sharedTerms", "onlyInA", "onlyInB"))
+    return out, f"{given.method} similarity {row['score']}.", {"comparisons": work["comparisons"], "operations": work["operations"], "memoryBytes": 48 * distinct}
 
 
 RUN: dict[str, Callable[[SparkSession, Input], tuple[dict, str, dict]]] = {
@@ -245,21 +258,36 @@ def input_size(algorithm: str, given: Input) -> tuple[int, int, int]:
     return len(given.text or ""), len(given.pattern or "") if algorithm not in ("suffix-array", "kasai") else 0, 1
 
 
-def execute(spark: SparkSession, algorithm: str, given: Input) -> Result:
-    """Check the input, run the algorithm on Spark, and measure."""
+def preview(given: Input, shown: int = 160) -> str:
+    """The beginning of what an algorithm reads."""
+    return (given.text if given.text is not None else " | ".join(given.documents) if given.documents else ", ".join(given.patterns or []))[:shown]
+
+
+def _held() -> int:
+    """Bytes of objects that this process has allocated and not freed."""
+    return sys.getallocatedblocks() * 64
+
+
+def execute(spark: SparkSession, algorithm: str, given: Input, record: bool = False, most_steps: int = 2500) -> Result:
+    """Check the input, run the algorithm on Spark, and measure; with ``record`` the steps of a small input come with it."""
     if algorithm not in RUN:
         raise ValidationError(f"unknown algorithm {algorithm!r}")
-    began = time.perf_counter()
+    steps, truncated = [], False
+    if record:
+        from .traces import trace  # traces read this module's table
+
+        steps, truncated = trace(algorithm, given, most_steps)
+    before, began = _held(), time.perf_counter()
     output, summary, work = RUN[algorithm](spark, given)
     ms = (time.perf_counter() - began) * 1000
     n, m, k = input_size(algorithm, given)
-    metrics = {"runtimeMs": ms, "throughputCharsPerSec": n / ms * 1000 if ms else 0.0, "inputSize": n, "patternSize": m, "itemCount": k, **work}
-    return Result(algorithm, output, summary, metrics)
+    metrics = {"runtimeMs": ms, "throughputCharsPerSec": n / ms * 1000 if ms else 0.0, "heapDeltaBytes": max(0, _held() - before), "inputSize": n, "patternSize": m, "itemCount": k, **work}
+    return Result(algorithm, output, summary, metrics, preview(given), {"worst": META[algorithm][2], "space": META[algorithm][3]}, steps, truncated)
 
 
 def compact(result: Result, shown: int = 200) -> Result:
-    """A result with its list of matches cut for listings."""
+    """A result without steps and with its list of matches cut, for listings."""
     out = dict(result.output)
     if "matches" in out:
         out["matches"] = out["matches"][:shown]
-    return Result(result.algorithm, out, result.summary, result.metrics)
+    return Result(result.algorithm, out, result.summary, result.metrics, result.preview, result.complexity)

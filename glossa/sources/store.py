@@ -56,6 +56,30 @@ class Store:
         self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{table}")
         return row
 
+    def compact(self, name: str) -> None:
+        """Write a table's rows into few files again, without removed rows' children; a listing then reads little.
+
+        Runs of removed experiments and versions of removed datasets go, as do rows that
+        later ones replace.  Nothing else may write meanwhile.
+        """
+        rows = self.latest(name).withColumn("removed", F.lit(False)) if "seq int" in TABLES[name] else self.table(name)
+        parent = {"dataset_versions": ("datasets", "dataset_id"), "experiment_runs": ("experiments", "experiment_id")}.get(name)
+        if parent:
+            alive = self.latest(parent[0]).select(F.col("id").alias(parent[1]))
+            rows = rows.join(alive, parent[1], "left_semi")
+        fields = [f.split()[0] for f in TABLES[name].split(", ")]
+        spare = f"{self.root}/_{name}-compacted"
+        rows.select(*fields).write.mode("overwrite").parquet(spare)
+        if name in ("datasets", "experiments") and rows.count() < self._top(name):
+            # A removed row may have had the largest identifier, which is not given out again.
+            self.spark.createDataFrame([{"id": self._top(name), "seq": 1 << 30, "removed": True}], TABLES[name]).write.mode("append").parquet(spare)
+        self.spark.read.schema(TABLES[name]).parquet(spare).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}")
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(spare)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def _top(self, name: str) -> int:
+        return self.table(name).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
     def next_id(self, name: str) -> int:
         return self.table(name).agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
 
@@ -93,12 +117,14 @@ class Store:
         return row.asDict()
 
     def versions(self, dataset: int) -> DataFrame:
-        """Versions of a dataset without contents, latest first."""
+        """Versions of a dataset without contents, latest first; a removed dataset has none."""
+        self.dataset(dataset)
         return self.table("dataset_versions").where(F.col("dataset_id") == dataset).select("version", "stats", "preprocessing", "note", "created_at").orderBy(F.desc("version"))
 
     def content(self, dataset: int, version: int | None = None) -> DataFrame:
-        """``text``: the content of a version, by default the current one."""
+        """``text``: the content of a version, by default the current one; that of a removed dataset is gone."""
         version = version or self.dataset(dataset)["current_version"]
+        self.dataset(dataset)
         return self.table("dataset_versions").where((F.col("dataset_id") == dataset) & (F.col("version") == version)).select(F.col("content").alias("text"))
 
     def add_version(self, dataset: int, content: str, config: dict | None = None, note: str = "") -> int:
@@ -120,7 +146,7 @@ class Store:
         return self.append("datasets", **{**row, **changes, "seq": row["seq"] + 1, "updated_at": self._now()})
 
     def remove(self, name: str, key: int) -> None:
-        """Mark a dataset or experiment as removed; its versions or runs go out of all listings with it."""
+        """Mark a dataset or experiment as removed; its versions or runs go out of all listings with it, and with :meth:`compact` for good."""
         row = self.latest(name).where(F.col("id") == key).first()
         if row is None:
             raise KeyError(f"no such row in {name}: {key}")
@@ -134,6 +160,26 @@ class Store:
         runs = self.table("experiment_runs").groupBy(F.col("experiment_id").alias("id")).agg(F.count(F.lit(1)).alias("runs"), F.max("created_at").alias("lastRun"))
         return page.join(runs, "id", "left").withColumn("runs", F.coalesce("runs", F.lit(0))).orderBy(F.desc("created_at"), F.desc("id"))
 
+    def rename_experiment(self, experiment: int, name: str, description: str | None = None) -> dict:
+        row = self.latest("experiments").where(F.col("id") == experiment).first()
+        if row is None:
+            raise KeyError(f"no experiment {experiment}")
+        if not name.strip():
+            raise ValidationError("an experiment needs a name")
+        changed = {"name": name.strip()} | ({} if description is None else {"description": description})
+        return self.append("experiments", **{**row.asDict(), **changed, "seq": row["seq"] + 1})
+
+    def experiment(self, experiment: int) -> tuple[dict, DataFrame]:
+        """(the experiment, its runs from the latest on)."""
+        row = self.latest("experiments").where(F.col("id") == experiment).first()
+        if row is None:
+            raise KeyError(f"no experiment {experiment}")
+        return row.asDict(), self.table("experiment_runs").where(F.col("experiment_id") == experiment).orderBy(F.desc("created_at"), F.desc("id"))
+
+    def benchmarks(self, limit: int = 50) -> DataFrame:
+        """The latest benchmarks."""
+        return self.table("benchmark_runs").orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
     def recent_runs(self, limit: int = 50) -> DataFrame:
         e = self.latest("experiments").select(F.col("id").alias("experiment_id"), "name", "mode")
         return self.table("experiment_runs").drop("results").join(e, "experiment_id").orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
@@ -154,10 +200,3 @@ class Store:
         for f in feeds[1:]:
             out = out.union(f)
         return out.orderBy(F.desc("at")).limit(limit)
-
-    def algorithm_throughput(self) -> DataFrame:
-        """``algorithmId, runs, avgThroughput, avgMedianMs`` over all comparisons that ended well."""
-        entry = "array<struct<algorithmId:string,status:string,inputSize:double,medianMs:double>>"
-        rows = self.table("benchmark_runs").where("kind = 'compare'").select(F.explode(F.from_json("summary", entry)).alias("e")).select("e.*").where("status = 'ok' and medianMs > 0")
-        sums = rows.groupBy("algorithmId").agg(F.count(F.lit(1)).alias("runs"), F.sum("inputSize").alias("n"), F.sum("medianMs").alias("ms"))
-        return sums.select("algorithmId", "runs", (F.col("n") / F.col("ms") * 1000).alias("avgThroughput"), (F.col("ms") / F.col("runs")).alias("avgMedianMs"))
