@@ -27,6 +27,8 @@ CAPACITY = 2048
 SOURCE_SLOTS = 4
 #: Items of a group, about; a group is packed by one task.
 GROUP = 4096
+#: Rows alike in key and text that may meet in a group; where there are more they are numbered and dealt to all groups.
+ALIKE = 16
 
 
 def duplicate_cluster(text: Column) -> Column:
@@ -69,8 +71,8 @@ def pack_documents(
         of, mark = (F.col(f"`{c}`") for c in cluster.columns[:2])
         table = cluster.groupBy(of.alias("of")).agg(F.min(mark).cast("long").alias("cluster"))
         own = own.drop("cluster").join(table, F.col("id") == F.col("of"), "left").drop("of")
-    # Rows alike in key and text are told apart by a number, so that they don't all meet in one group.
-    repeated = own.groupBy(F.col("id").alias("of"), F.col("digest").alias("with")).agg(F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    # Very many rows alike in key and text are told apart by a number, so that they don't all meet in one group.
+    repeated = own.groupBy(F.col("id").alias("of"), F.col("digest").alias("with")).agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > ALIKE).drop("many")
     repeated = stage(repeated, "pack-repeated")
     alike = F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("with"))
     number = F.row_number().over(Window.partitionBy("id", "digest").orderBy("source"))
@@ -102,7 +104,7 @@ def pack_documents(
     pieces = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(71), "id", "piece", "digest", "again"), F.lit(groups)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("size", "descending"), *((c, "ascending") for c in ("id", "digest", "piece", "again"))])
+        table = table.sort_by([("size", "descending"), *((c, "ascending") for c in ("id", "digest", "piece", "again", "source"))])
         sizes, sources, clusters = (table[c].to_pylist() for c in ("size", "source", "cluster"))
         placed, offsets, fills = best_fit(sizes, sources, clusters, capacity, slots)
         first = table["grp"][0].as_py() << 32 if len(table) else 0
