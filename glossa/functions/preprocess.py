@@ -20,13 +20,19 @@ def remove_punctuation(text: Column) -> Column:
 
 
 def remove_stop_words(text: Column) -> Column:
-    """Drops stop words and leaves the white space around them; a token is judged by its letters a-z and apostrophes."""
+    """Drops stop words and leaves the white space around them; a token is judged by its letters a-z and apostrophes.
 
-    def clean(line: Column) -> Column:
-        parts = F.regexp_extract_all(line, F.lit(r"\s+|\S+"), F.lit(0))
-        return F.array_join(F.filter(parts, lambda p: ~F.regexp_replace(F.lower(p), "[^a-z']", "").isin(STOP_WORDS)), "")
+    Only tokens with other characters besides letters are searched for what to leave out;
+    white space never is a stop word.
+    """
+    parts = F.regexp_extract_all(text, F.lit(r"\s+|\S+"), F.lit(0))
+
+    def stays(part: Column) -> Column:
+        low = F.lower(part)
+        mixed = F.rlike(low, F.lit(r"[^a-z'\s]"))
+        return F.when(mixed, ~F.regexp_replace(low, "[^a-z']", "").isin(STOP_WORDS)).otherwise(~low.isin(STOP_WORDS))
 
-    return F.array_join(F.transform(lines(text), clean), "\n")
+    return F.array_join(F.filter(parts, stays), "")
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -38,9 +44,10 @@ def remove_empty_lines(text: Column) -> Column:
 
 
 def remove_duplicate_lines(text: Column) -> Column:
-    """Keeps the first of equal lines; blank lines stay."""
-    every = lines(text)
-    return F.array_join(F.filter(every, lambda x, i: (trim(x) == "") | (F.array_position(every, x) == i + 1)), "\n")
+    """Keeps the first of equal lines; blank lines stay, as each is told apart by its place while the others are made distinct."""
+    named = F.transform(lines(text), lambda x, i: F.when(trim(x) == "", F.concat(i.cast("string"), F.lit("|"), x)).otherwise(F.concat(F.lit("="), x)))
+    plain = F.transform(F.array_distinct(named), lambda x: F.when(F.startswith(x, F.lit("=")), F.substr(x, F.lit(2))).otherwise(F.regexp_replace(x, r"^\d+\|", "")))
+    return F.array_join(plain, "\n")
 
 
 def tokenize_lines(text: Column) -> Column:

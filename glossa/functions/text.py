@@ -96,10 +96,14 @@ def normalize_answer(text: Column) -> Column:
 
 
 def strip_marks(text: Column) -> Column:
-    """Compatibility forms without combining marks U+0300 to U+036F; Spark has no built-in normaliser."""
+    """Compatibility forms without combining marks U+0300 to U+036F; Spark has no built-in normaliser.
+
+    Plain ASCII has nothing to change, so such texts never leave the JVM.
+    """
 
     @F.pandas_udf(StringType())
     def strip(texts: pd.Series) -> pd.Series:
         return texts.str.normalize("NFKD").str.replace("[\u0300-\u036f]", "", regex=True).str.normalize("NFKC")
 
-    return strip(text)
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, text).otherwise(strip(F.when(plain, F.lit(None).cast("string")).otherwise(text)))
