@@ -6,7 +6,7 @@ from math import ceil, comb, floor, log2
 
 import pytest
 import xxhash
-from glossa.llm.mixing import hypergeometric, mix, splitting_tree
+from glossa.llm.mixing import WORD, hypergeometric, mix, splitting_tree
 from glossa.llm.packing import best_fit, pack_documents, packed_texts
 from glossa.llm.url_filters import DEFAULT_PATTERNS, Pattern, Rule, judge_urls
 from pyspark.sql import functions as F
@@ -49,20 +49,24 @@ def brute_split(total, marked, taken, chance):
     return min(taken, marked)
 
 
+def n_words(t):
+    return len(re.findall(WORD, t))
+
+
 def brute_mix(rows, block_words, levels=4):
     """(copies, leaves) of each document from the quotas of blocks, drawn with exact fractions."""
     sizes = defaultdict(int)
     weights = Counter()
     for _, t, s in rows:
-        sizes[s] += len(t.split())
-        weights[s] += len(t.split()) + 1
+        sizes[s] += n_words(t)
+        weights[s] += n_words(t) + 1
     want = targets(sizes)
     order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
     blocks, draws = defaultdict(list), {}
     for i, t, s in rows:
         h = spark_hash((41, 4), (i, 8), (spark_hash(t), 8))
         bits = max(8, ceil(log2(weights[s] / block_words)))
-        blocks[order.index(s) + 1, h >> 64 - bits].append((signed(h), len(t.split()), i))
+        blocks[order.index(s) + 1, h >> 64 - bits].append((signed(h), n_words(t), i))
     cut = {}
     for k, s in enumerate(order, 1):
         whole = floor(want[s] / sizes[s])

@@ -1,9 +1,13 @@
 import os
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
 from glossa.llm import queries
+from glossa.llm.toxicity import toxicity
+from pyspark.sql import functions as F
+from test_links import Union, shingles
+from test_mixing_packing_urls import brute_mix, n_words
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,15 +27,93 @@ def test_stages_keep_columns(spark):
     assert counts[1] < counts[0] and counts[2] < counts[1] and counts[3] <= counts[2]
 
 
-def test_run_packs_whole_texts(spark):
-    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+def brute_run(docs, rejected):
+    """(doc_id, text) as often as the pipeline packs it."""
+    kept = [(i, t, s) for i, t, s in docs if i not in rejected]
+    last = {}
+    for i, t, _ in kept:
+        last[t] = max(i, last.get(t, i))
+    kept = [d for d in kept if last[d[1]] == d[0]]
+    sets = {i: shingles(t, 5) for i, t, _ in kept}
+    of = defaultdict(set)
+    for i, shingle_set in sets.items():
+        for x in shingle_set:
+            of[x].add(i)
+    union = Union(sets)
+    for i, mine in sets.items():
+        for j, both in Counter(j for x in mine for j in of[x] if j < i).items():
+            if 100 * both >= 80 * (len(mine) + len(sets[j]) - both):
+                union.join(i, j)
+    kept = [d for d in kept if union.find(d[0]) == d[0]]
+    copies = brute_mix(kept, 1 << 20)
+    return Counter({(i, t): len(copies[i]) for i, t, _ in kept if copies[i]})
+
+
+def test_run_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rejected = {r["doc_id"] for r in toxicity(docs, labels).where("predicted = 1").collect()}
+    want = brute_run([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()], rejected)
     rows = corpus_pipeline.run(spark, SF).collect()
-    words, bins = defaultdict(int), defaultdict(list)
+    pieces, bins = defaultdict(lambda: defaultdict(list)), defaultdict(list)
     for r in rows:
-        words[r["doc_id"]] += r["size"]
+        pieces[r["doc_id"]][r["piece"]].append(r["text"])
         bins[r["bin"]].append(r)
-    assert all(n in (len(text[i].split()), 2 * len(text[i].split())) for i, n in words.items())
-    assert all(sum(r["size"] for r in b) <= 2048 and len({r["doc_id"] for r in b}) == len(b) for b in bins.values())
+    got = Counter({(i, "".join(p[k][0] for k in sorted(p))): len(p[0]) for i, p in pieces.items()})
+    assert got == want
+    assert all(len({*x}) == 1 and len(x) == len(p[0]) for p in pieces.values() for x in p.values())
+    assert all(sum(r["size"] for r in b) == b[0]["bin_fill"] <= 2048 and len({r["text"] for r in b}) == len(b) for b in bins.values())
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, shard int, position int, bin long, digest long, row string, id long, score double, size long"
+
+
+def odd_corpus(spark, folder, rows):
+    docs = spark.createDataFrame([(i, t, None, s, None, 1, 2, 3, 4, "r", 5, 0.5, 6) for i, t, s in rows], ODD)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, None, int(bool(t) and "idiot" in t)) for i, t, _ in rows] + [(7, 1, None), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    long = " ".join(f"w{k}" for k in range(9000))
+    rows = [(i, f"a plain text about the river number {i} and the hill", "s") for i in range(60)] + [(100 + i, f"you idiot number {i} are an idiot", "s") for i in range(60)]
+    rows += [(1, "a plain text about the river number 1 and the hill", "s")] * 3 + [(None, "no key", "s"), (None, "no key", None), (None, None, None), (200, None, "t"), (201, "", "t"), (202, " \n ", None), (203, long, None), (None, long, "t")]
+    docs = odd_corpus(spark, tmp_path, rows)
+    names, counts = docs.columns, [docs.count()]
+    for k, (_, step) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = step(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / f"out{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"out{k}"))
+        assert docs.columns == names
+        counts.append(docs.count())
+    assert counts[1] <= counts[0] - 50 and counts[2] < counts[1]
+    assert docs.where("shard <> 1 or position <> 2 or bin <> 3 or digest <> 4 or size <> 6").count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    texts = Counter(r["text"] for r in docs.collect() if r["text"] is not None)
+    words = sum(n * n_words(t) for t, n in texts.items())
+    assert sum(r["size"] for r in packed) == words and any(r["doc_id"] == 203 and r["piece"] == 4 for r in packed) == (long in {t for t in texts})
+    assert sum(r["size"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == words
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    odd_corpus(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_staged_tables_end_with_their_scope(spark):
+    from glossa.llm import staging
+
+    def there(df):
+        folder, place = staging._folder(spark, df._staged_at)
+        return folder.exists(place)
+
+    with staging.scope() as held:
+        a, b = (staging.stage(spark.range(3).withColumn("x", F.lit(k)), "scope-test") for k in range(2))
+        held.remove(b)
+        assert there(a) and there(b)
+    assert not there(a) and there(b) and b.count() == 3
+    staging.discard(b)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

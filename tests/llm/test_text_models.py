@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -190,6 +191,43 @@ def test_decoding(decoder, span, want):
     assert decoder.decode(span) == want
 
 
+def brute_decode(decoder, span, spaced, pairs):
+    """(least cost, all originals that have it) over every path through the lattice."""
+    lists, before = [], ""
+    for k, c in enumerate(span):
+        beside = spaced and (span[k - 1 : k].isalnum() or span[k + 1 : k + 2].isalnum())
+        lists.append([(w, s, paid, len(c.encode()) if s == 27 else 1) for w, s, paid in decoder.options(c, before, spaced, beside, pairs)])
+        before = c.lower()
+    found = {}
+    for path in itertools.product(*lists):
+        a = b = 0
+        total = 0.0
+        for _, symbol, paid, times in path:
+            total += paid
+            for _ in range(times if symbol >= 0 else 0):
+                total += decoder.cost[a][b][symbol]
+                a, b = b, symbol
+        found.setdefault(round(total + decoder.cost[a][b][0], 9), set()).add("".join(w for w, *_ in path))
+    return found[min(found)]
+
+
+def test_decoding_equals_exhaustive_search(decoder):
+    rnd = random.Random(19)
+    for _ in range(400):
+        span = "".join(rnd.choice("aiostud10@$!| .-é") for _ in range(rnd.randint(1, 6)))
+        for spaced in (False, True):
+            for pairs in (False, True):
+                assert decoder.decode(span, spaced, pairs) in brute_decode(decoder, span, spaced, pairs), span
+
+
+def test_labels_that_repeat_a_key(spark, documents):
+    rows = [(i, "bad word" if i % 2 else "good word", "s") for i in range(200)]
+    labels = [(i, i % 2) for i in range(200)] + [(i, 0) for i in range(200)]
+    table = lambda x: spark.createDataFrame(x, "doc_id long, toxic int")
+    first, second = (sorted(map(tuple, to.toxicity(documents(rows), table(x)).collect())) for x in (labels, labels[::-1]))
+    assert first == second and sum(r[3] for r in first) == 100
+
+
 def test_spaced_letters_and_reading(decoder):
     reader = to.Reader(decoder)
     assert reader.restored("what an i d i o t you") == ["idiot"]
