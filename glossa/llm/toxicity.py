@@ -31,7 +31,7 @@ LEAST_RATIO = 2.0
 #: Hash space of features.
 SPACE = 1 << 22
 #: Words and spans that a worker remembers.
-MEMO = 300_000
+MEMO = 200_000
 #: Characters that are counted at a time.
 COUNTED = 1 << 20
 
@@ -168,20 +168,20 @@ class Reader:
         self.spans: dict[str, str] = {}
 
     def forms(self, token: str) -> tuple[str, ...]:
-        """A token without its edge signs, and its restored form if it looks disguised."""
+        """A token without its edge signs, and its restored form if it looks disguised; what was decoded is remembered."""
         known = self.words.get(token)
         if known is None:
-            if len(self.words) >= MEMO:
-                self.words.clear()
             word = token.strip(_EDGE)
             known = (word,) if word else ()
             core = token.strip("\"'.,;:?[]{}<>-_*#%&/\\~`^=")
             if _LEETED.search(core) or _REPEATED.search(core):
+                if len(self.words) >= MEMO // 2:
+                    self.words.clear()
                 read = [self.decoder.decode(core)]
                 if _REPEATED_SIGN.search(core):
                     read.append(self.decoder.decode(core, pairs=True))
                 known += tuple(dict.fromkeys(w for r in read for w in r.split() if w != word))
-            self.words[token] = known
+                self.words[token] = known
         return known
 
     def restored(self, text: str) -> list[str]:
@@ -355,14 +355,17 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", columns: t
     Null and empty texts get the model's score of a text without features; long texts
     are read whole; repeated rows are scored each and alike.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast((model.counts, model.weights, model.bias))
+    shipped = docs.sparkSession.sparkContext.broadcast({"model": (model.counts, model.weights, model.bias)})
     asked = list(columns) if text in columns else [*columns, text]
     at = asked.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Model(*shipped.value))
+        held = shipped.value
+        if "scorer" not in held:
+            held["scorer"] = Scorer(Model(*held["model"]))  # one for all tasks of a worker, so words are decoded once
+        scorer = held["scorer"]
         for batch in batches:
-            scores = [scorer.score(t) for t in batch.column(at).to_pylist()]
+            scores = [scorer.score(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(scores, pa.float64())], [*columns, name])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in asked])
