@@ -771,7 +771,68 @@ def workload_random(spark, t):
     return workloads.random_characters(spark, 50_000)
 
 
-@query()
+def _u(index: str) -> str:
+    """The generator's draw at an index, as an expression; each step is bound by a list of one."""
+    first = f"[((42 + ({index} + 1) * 1831565813::HUGEINT) % 4294967296)::BIGINT]"
+    second = f"list_transform({first}, lambda a: (xor(a, a >> 15)::HUGEINT * (a | 1)::HUGEINT % 4294967296)::BIGINT)"
+    third = f"list_transform({second}, lambda t: xor(t, ((t + (xor(t, t >> 7)::HUGEINT * (t | 61)::HUGEINT % 4294967296)) % 4294967296)::BIGINT))"
+    return f"list_transform({third}, lambda t: xor(t, t >> 14) / 4294967296.0)[1]"
+
+
+def _below(index: str, n: str) -> str:
+    return f"floor({_u(index)} * {n})::INT"
+
+
+def _cut(index: str) -> str:
+    """A stretch of the text of 7 to 9 characters, by two draws."""
+    size = f"greatest(1, least(2000, 8 + {_below(index, '3')} - 1))"
+    return f"substr(text, {_below(f'({index} + 1)', f'greatest(1, 2000 - {size})')} + 1, {size})"
+
+
+_WORKLOADS = f"""WITH RECURSIVE spelled AS (
+        SELECT 0 AS k, 0 AS p, '' AS word
+        UNION ALL
+        SELECT k + 1, p + 1 + n, array_to_string(list_transform(range(n), lambda j: CASE WHEN j % 2 = 1 THEN 'aeiou'[({_below('(p + 1 + j)', '5')} + 1)] ELSE chr(97 + {_below('(p + 1 + j)', '26')}) END), '')
+        FROM (SELECT k, p, 2 + {_below('p', '7')} AS n FROM spelled WHERE k < 2000)),
+    v AS (SELECT list(word ORDER BY k) FILTER (k > 0) AS words, max(p) AS p FROM spelled),
+    dense AS (SELECT list_transform(range(10), lambda i: words[{_below('(p + 2 * i)', '50')} + 1] || substr(words[{_below('(p + 2 * i + 1)', '2000')} + 1], 1, 6)) AS patterns FROM v),
+    drawn AS (
+        SELECT kind, 0 AS k, CASE kind WHEN 'dense' THEN p + 20 ELSE p END AS p, 0 AS length, '' AS word FROM v, (VALUES ('prose'), ('dense')) x(kind)
+        UNION ALL
+        SELECT kind, k + 1, p + CASE kind WHEN 'prose' THEN 1 ELSE 2 END, length + length(word) + 1, word FROM (
+            SELECT kind, k, d.p, length, CASE WHEN kind = 'prose' THEN words[floor({_u('d.p')} * {_u('d.p')} * 2000)::INT + 1]
+                WHEN {_u('d.p')} < 0.5 THEN patterns[{_below('(d.p + 1)', '10')} + 1] ELSE words[{_below('(d.p + 1)', '2000')} + 1] END AS word
+            FROM drawn d, v, dense WHERE length < 2000)),
+    periodic AS (
+        SELECT 0 AS i, 0 AS p, '' AS c
+        UNION ALL
+        SELECT i + 1, CASE WHEN u < 0.02 THEN p + 2 ELSE p + 1 END, CASE WHEN u < 0.02 THEN 'abc'[({_below('(p + 1)', '3')} + 1)] ELSE 'abcab'[(i % 5 + 1)] END
+        FROM (SELECT i, p, {_u('p')} AS u FROM periodic WHERE i < 2000)),
+    made AS (
+        SELECT kind, substr(string_agg(word, ' ' ORDER BY k) FILTER (k > 0), 1, 2000) AS text, max(p) AS p FROM drawn GROUP BY kind
+        UNION ALL SELECT 'repetitive', string_agg(c, '' ORDER BY i), max(p) FROM periodic
+        UNION ALL SELECT 'random', string_agg(chr(97 + {_below('i', '26')}), '' ORDER BY i), 2000 FROM range(2000) r(i)
+        UNION ALL SELECT 'same', repeat('a', 2000), 0),
+    typed(type, kind) AS (VALUES ('random', 'random'), ('repetitive', 'repetitive'), ('worst-case', 'same'), ('best-case', 'prose'), ('adversarial', 'same'), ('pattern-heavy', 'dense'), ('small', 'prose'), ('medium', 'prose'), ('large', 'prose')),
+    given AS (SELECT type, text, p,
+        CASE type WHEN 'worst-case' THEN 'aaaaaaab' WHEN 'adversarial' THEN 'aaaaaaaa' WHEN 'best-case' THEN 'ZZZZZZZZ' END AS pattern,
+        CASE type WHEN 'worst-case' THEN list_transform(range(10), lambda i: repeat('a', greatest(1, 7 - i % 7)::INT) || 'b') WHEN 'adversarial' THEN list_transform(range(10), lambda i: repeat('a', (1 + i % 8)::INT))
+            WHEN 'best-case' THEN list_transform(range(10), lambda i: repeat(chr((65 + i % 26)::INT), 8)) WHEN 'pattern-heavy' THEN patterns END AS patterns
+        FROM typed JOIN made USING (kind), dense),
+    first AS (SELECT type, text, coalesce(pattern, rpad(substr({_cut('p')}, 1, 8), 8, 'a')) AS pattern, patterns, CASE WHEN pattern IS NULL THEN p + 2 ELSE p END AS p FROM given),
+    cut AS (SELECT type, text, pattern, coalesce(patterns, list_transform(range(10), lambda i: {_cut('(p + 2 * i)')})) AS patterns, CASE WHEN patterns IS NULL THEN p + 20 ELSE p END AS p FROM first),
+    mutated AS (
+        SELECT type, 0 AS i, p, '' AS c FROM cut
+        UNION ALL
+        SELECT type, i + 1, CASE WHEN u < 0.1 THEN p + 2 ELSE p + 1 END, CASE WHEN u < 0.1 THEN chr(97 + {_below('(p + 1)', '26')}) ELSE substr(text, i + 1, 1) END
+        FROM (SELECT m.type, m.i, m.p, text, {_u('m.p')} AS u FROM mutated m JOIN cut USING (type) WHERE m.i < 2000)),
+    other AS (SELECT type, string_agg(c, '' ORDER BY i) AS b FROM mutated GROUP BY type),
+    w AS (SELECT *, CASE WHEN len(regexp_extract_all(text, '[A-Za-z]+')) > 0 THEN regexp_extract_all(text, '[A-Za-z]+') ELSE [substr(text, 1, 20)] END AS words FROM cut)
+    SELECT type, md5(text) AS text, pattern, array_to_string(patterns, ',') AS patterns, words[1] || ' ' || words[len(words) // 2 + 1] || ' ' || words[len(words)] AS query, ((len(words) + 59) // 60)::INT AS documents, levenshtein(text, b)::INT AS mutations
+    FROM w JOIN other USING (type)"""
+
+
+@query(_WORKLOADS)
 def workload_types(spark, t):
     """One row per workload type at 2,000 characters: digests of all its parts."""
     rows = []
