@@ -75,38 +75,38 @@ def match_count(spark, t):
     return t("documents").select("doc_id", ma.match_count(F.col("text"), PATTERN).cast("int").alias("matches"))
 
 
-@query(_positions("benchmark", "item_id", "en"))
+@query(_positions("documents", "doc_id", "en"))
 def match_positions(spark, t):
-    return ma.match_positions(t("benchmark"), "en", key="item_id")
+    return ma.match_positions(t("documents"), "en", key="doc_id")
 
 
-@query(f"WITH p AS ({_positions('benchmark', 'item_id', 'th')}) SELECT b.item_id, count(p.pos)::INT AS n, coalesce(min(p.pos), -1)::INT AS first, coalesce(max(p.pos), -1)::INT AS last FROM benchmark b LEFT JOIN p USING (item_id) GROUP BY b.item_id")
+@query(f"WITH p AS ({_positions('documents', 'doc_id', 'th')}) SELECT b.doc_id, count(p.pos)::INT AS n, coalesce(min(p.pos), -1)::INT AS first, coalesce(max(p.pos), -1)::INT AS last FROM documents b LEFT JOIN p USING (doc_id) GROUP BY b.doc_id")
 def match_lists(spark, t):
     m = F.col("matches")
-    return ma.matches(t("benchmark"), "th", key="item_id", limit=None).select(
-        "item_id", F.col("totalMatches").alias("n"), F.coalesce(F.array_min(m), F.lit(-1)).alias("first"), F.coalesce(F.array_max(m), F.lit(-1)).alias("last")
+    return ma.matches(t("documents"), "th", key="doc_id", limit=None).select(
+        "doc_id", F.col("totalMatches").alias("n"), F.coalesce(F.array_min(m), F.lit(-1)).alias("first"), F.coalesce(F.array_max(m), F.lit(-1)).alias("last")
     )
 
 
 @query(
-    """WITH s AS (SELECT item_id, text, unnest(range(1, length(text) - 2 + 1)) AS i FROM benchmark),
-    c AS (SELECT item_id, CASE WHEN substr(text, i, 1) <> 't' THEN 1 WHEN substr(text, i + 1, 1) <> 'h' THEN 2 ELSE 3 END AS c FROM s)
-    SELECT item_id, sum(c)::BIGINT AS comparisons, count(*)::BIGINT AS operations FROM c GROUP BY item_id"""
+    """WITH s AS (SELECT doc_id, text, unnest(range(1, length(text) - 2 + 1)) AS i FROM documents),
+    c AS (SELECT doc_id, CASE WHEN substr(text, i, 1) <> 't' THEN 1 WHEN substr(text, i + 1, 1) <> 'h' THEN 2 ELSE 3 END AS c FROM s)
+    SELECT doc_id, sum(c)::BIGINT AS comparisons, count(*)::BIGINT AS operations FROM c GROUP BY doc_id"""
 )
 def naive_counters(spark, t):
     c = F.col("text")
-    return t("benchmark").select("item_id", ma.naive_comparisons(c, "the").alias("comparisons"), ma.naive_operations(c, "the").alias("operations"))
+    return t("documents").select("doc_id", ma.naive_comparisons(c, "the").alias("comparisons"), ma.naive_operations(c, "the").alias("operations"))
 
 
 @query(
-    """WITH s AS (SELECT item_id, text, unnest(range(1, length(text) - 2 + 1)) AS i FROM benchmark),
-    h AS (SELECT item_id, substr(text, i, 3) AS w, (unicode(substr(text, i, 1)) * 65536 + unicode(substr(text, i + 1, 1)) * 256 + unicode(substr(text, i + 2, 1))) % 1000003 AS h FROM s)
-    SELECT item_id, sum(CASE WHEN h = (116 * 65536 + 104 * 256 + 101) % 1000003 THEN 1 ELSE 0 END)::BIGINT AS "hashHits",
+    """WITH s AS (SELECT doc_id, text, unnest(range(1, length(text) - 2 + 1)) AS i FROM documents),
+    h AS (SELECT doc_id, substr(text, i, 3) AS w, (unicode(substr(text, i, 1)) * 65536 + unicode(substr(text, i + 1, 1)) * 256 + unicode(substr(text, i + 2, 1))) % 1000003 AS h FROM s)
+    SELECT doc_id, sum(CASE WHEN h = (116 * 65536 + 104 * 256 + 101) % 1000003 THEN 1 ELSE 0 END)::BIGINT AS "hashHits",
         sum(CASE WHEN h = (116 * 65536 + 104 * 256 + 101) % 1000003 AND w <> 'the' THEN 1 ELSE 0 END)::BIGINT AS "spuriousHits"
-    FROM h GROUP BY item_id"""
+    FROM h GROUP BY doc_id"""
 )
 def rabin_karp_hits(spark, t):
-    return t("benchmark").select("item_id", ma.rabin_karp_counters(F.col("text"), "the").alias("c")).select("item_id", "c.hashHits", "c.spuriousHits")
+    return t("documents").select("doc_id", ma.rabin_karp_counters(F.col("text"), "the").alias("c")).select("doc_id", "c.hashHits", "c.spuriousHits")
 
 
 @query(
