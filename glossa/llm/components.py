@@ -11,7 +11,8 @@ from .staging import discard, stage
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the least node that each node of ``edges`` (a, b) reaches.
 
-    Each round every node takes the least label around it and then its label's own
+    Edges with a null end and those from a node to itself count for nothing; no edges
+    give an empty table.  Each round every node takes the least label around it and then its label's own
     label, so chains shorten by halves.  Rounds are written to the shared folder.
     """
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "component-edges")

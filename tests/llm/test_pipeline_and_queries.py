@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
-from glossa.llm import queries
+from glossa.llm import exact_dedup, mixing, queries, staging, url_filters
 from glossa.llm.toxicity import toxicity
 from pyspark.sql import functions as F
 from test_links import Union, shingles
@@ -102,8 +102,6 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 
 
 def test_staged_tables_end_with_their_scope(spark):
-    from glossa.llm import staging
-
     def there(df):
         folder, place = staging._folder(spark, df._staged_at)
         return folder.exists(place)
@@ -130,7 +128,24 @@ def test_query_equals_sql(spark, name):
     assert sorted(repr([r[c] for c in sorted(names)]) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", ["op2_url_filters", "op7_exact_dedup", "op9_mixing"])
-def test_native_queries_have_no_python_in_their_plans(spark, name):
-    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "ArrowEval", "MapInArrow"))
+NATIVE = {
+    **{name: queries.QUERIES[name] for name in ("op2_url_filters", "op7_exact_dedup", "op9_mixing")},
+    "urls by a table of rules": lambda spark, sf: url_filters.judge_urls(spark.read.parquet(f"{sf}/pages.parquet"), queries.URL_RULES, literal_rules=0),
+    "dedup with rows": lambda spark, sf: exact_dedup.exact_dedup(spark.read.parquet(f"{sf}/documents.parquet"), carry=True),
+    "mix with rows": lambda spark, sf: mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"), carry=True),
+}
+
+
+@pytest.mark.parametrize("name", sorted(NATIVE))
+def test_native_queries_have_no_python_in_any_plan(spark, monkeypatch, name):
+    plans = []
+
+    def watched(df, label, real=staging.stage):
+        plans.append(df._jdf.queryExecution().toString())
+        return real(df, label)
+
+    for module in (exact_dedup, mixing, staging):
+        monkeypatch.setattr(module, "stage", watched)
+    plans.append(NATIVE[name](spark, SF)._jdf.queryExecution().toString())
+    assert len(plans) > ("urls" not in name and "op2" not in name)
+    assert not any(x in plan for plan in plans for x in ("Python", "Pandas", "ArrowEval", "InArrow", "ExternalRDD", "MapPartitions"))
