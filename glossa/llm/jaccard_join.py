@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import discard, keep_rows, stage
+from .staging import discard, keep_rows, slices, stage
 
 #: Bytes of text that are hashed at a time.
 BATCH = 1 << 21
@@ -183,7 +183,7 @@ def jaccard_components(
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, BATCH)):
             sizes, ones, twos, tokens, rest = [], [], [], [], []
             for s in text_sets(batch.column(1), width):
                 one, two = _fingerprint(s) if len(s) else (0, 0)
@@ -191,7 +191,7 @@ def jaccard_components(
                 if not len(s) or (one, two) in seen:  # equal sets speak once in a task
                     tokens.append(None), rest.append(None)
                     continue
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add((one, two))
                 first = (mix(s, 7) & _U(0xFFFFFFFF)) < limit
@@ -202,6 +202,7 @@ def jaccard_components(
                 [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), _lists(tokens), _lists(rest)],
                 ["id", "digest", "n", "one", "two", "tokens", "rest"],
             )
+        pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
     source = _source(docs, text, key)
     kind = source.schema["id"].dataType.simpleString()
@@ -317,9 +318,8 @@ def _limit(table: DataFrame, postings: Column) -> int:
 
 def _by_token(rows: DataFrame, table: DataFrame, limit: int) -> DataFrame:
     """``rows`` with the columns of ``table``, one row a token with its frequency ``often``; no hot token meets in one task."""
-    hot = table.where(F.col("often") > limit)
-    few = rows.join(F.broadcast(hot), "token")
-    rest = rows.join(F.broadcast(hot.select("token")), "token", "left_anti")
+    with_hot = rows.join(F.broadcast(table.where(F.col("often") > limit)), "token", "left")  # one broadcast for both
+    few, rest = with_hot.where("often is not null"), with_hot.where("often is null").select(rows.columns)
     return few.unionByName(rest.join(table.where(F.col("often") <= limit), "token"))
 
 
@@ -339,7 +339,7 @@ def _whole_sets(docs: DataFrame, rows: DataFrame, open_: DataFrame, width: int,
     asked = source.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("with"))).select("text", "row", "n", "one", "two")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0, BATCH)):
             names = zip(*(batch.column(k).to_pylist() for k in range(1, 5)))
             nodes, values, bits = [], [], []
             for s, (row, n, one, two) in zip(text_sets(batch.column(0), width), names):
@@ -347,6 +347,7 @@ def _whole_sets(docs: DataFrame, rows: DataFrame, open_: DataFrame, width: int,
                 if len(s) == n and _fingerprint(s) == (one, two):
                     nodes.append(row), values.append(s.view(np.int64)), bits.append(_parities(s))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(values), pa.array(bits, pa.list_(pa.int64()))], ["node", "tokens", "bits"])
+        pa.default_memory_pool().release_unused()
 
     held = stage(asked.mapInArrow(read, "node long, tokens array<long>, bits array<long>"), "jaccard-values")
     if held.groupBy("node").count().where("count > 1").isEmpty():
@@ -383,6 +384,7 @@ def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFram
                 keep.append(den * inter >= num * (len(both) - inter))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+        pa.default_memory_pool().release_unused()
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 

@@ -6,17 +6,26 @@ A staged table is an ordinary Parquet table in the folder named by
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The setting that lets Spark delete a query's shuffle files when the query ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is staged: a query's shuffle files go when it ends, and batches for Python are small.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
+#: Seconds between collections on the driver, by which Spark learns which broadcasts nobody refers to and frees them on the executors.
+COLLECT_EVERY = 2.0
+
+_collected = 0.0
 _scopes: list[list[DataFrame]] = []
 
 
@@ -37,16 +46,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     The table stays until it is discarded, its scope ends, or the driver does.
     """
+    global _collected
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")  # what was shuffled for this table is of no use once it is written
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, value in _SETTINGS.items():
+        spark.conf.set(k, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
     folder, place = _folder(spark, path)
     folder.deleteOnExit(place)
+    if time.monotonic() - _collected > COLLECT_EVERY:
+        gc.collect()
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     if _scopes:
@@ -82,12 +98,23 @@ def _folder(spark: SparkSession, path: str) -> tuple:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts in a column have about ``most`` bytes together, a row at least."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def keep_rows(docs: DataFrame, key: str, text: str, decided: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns alone.
 
     ``decided`` has a row for each of ``docs``: ``id``, ``digest`` (xxhash64 of the
-    text) and ``stays``.  Rows alike in both are interchangeable; of those at most one
-    stays.  What goes is far less than what stays, so rows are held against the former.
+    text) and ``stays``.  Null keys and null texts are equal to each other.  Rows alike in
+    both are interchangeable; of those at most one stays, whatever their other columns.  What goes is far less than what stays, so rows are held against the former.
     """
     classes = decided.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("many"), F.max("stays").alias("stays")).where("many > 1 or not stays")
     classes = stage(classes, "leaving").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "many", "stays")
