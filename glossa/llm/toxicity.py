@@ -19,6 +19,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -276,6 +277,12 @@ def character_counts(docs: DataFrame, text: str) -> np.ndarray:
     return counts
 
 
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    """A list array of numpy arrays without a Python object for each number."""
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.empty(0, np.int32), pa.int32()))
+
+
 def train(docs: DataFrame, labelled: DataFrame, counts: np.ndarray, text: str = "text", key: str = "doc_id") -> Model:
     """Fit the classifier on ``labelled`` (key, toxic); rows with null labels are left out.
 
@@ -300,11 +307,11 @@ def train(docs: DataFrame, labelled: DataFrame, counts: np.ndarray, text: str =
         reader = Reader(Decoder(counts))
         for batch in batches:
             out = []
-            for t in batch.column(1).to_pylist():
-                low = (t or "").lower()
+            for t in batch.column(1):
+                low = (t.as_py() or "").lower()
                 words = {w for token in {*low.split(), *reader.restored(low)} for w in reader.forms(token)}
-                out.append(sorted({f for w in words for f in word_features(w)}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["y", "feats"])
+                out.append(np.array(sorted({f for w in words for f in word_features(w)}), np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out)], ["y", "feats"])
 
     sample = stage(rows.mapInArrow(features, "y int, feats array<int>"), "toxicity-sample")
     seen = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
@@ -318,8 +325,10 @@ def train(docs: DataFrame, labelled: DataFrame, counts: np.ndarray, text: str =
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.intersect1d(np.asarray(x, np.int32), ids, assume_unique=True).tolist() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["y", "feats"])
+            flat, sizes = np.asarray(batch.column(1).flatten()), np.asarray(pc.list_value_length(batch.column(1)))
+            chosen = np.isin(flat, ids)
+            ends = np.concatenate([[0], np.cumsum(chosen)])[np.concatenate([[0], np.cumsum(sizes)])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[chosen], pa.int32()))], ["y", "feats"])
 
     table = sample.mapInArrow(keep, "y int, feats array<int>").toPandas()
     order = np.lexsort((table["feats"].map(lambda x: crc32(np.asarray(x, np.int32).tobytes())), table["y"]))
