@@ -131,11 +131,15 @@ def tfidf_weights(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     often = document_frequencies(df, text)
     bar = often.agg(F.floor(F.coalesce(F.sum("df"), F.lit(0)) / F.lit(HOT_TERMS)).alias("__bar"))
     model = _idf(df, text, often).join(F.broadcast(bar)).withColumn("__hot", F.col("df") > F.col("__bar")).drop("__bar")
-    hot, rare = model.where("__hot").drop("__hot"), model.where("not __hot").drop("__hot")
-    few = counts.join(F.broadcast(hot), "term")
-    joined = few.unionByName(counts.join(F.broadcast(hot.select("term")), "term", "left_anti").join(rare, "term"))
+    hot = model.where("__hot").select("term", F.col("df").alias("__df"), F.col("idf").alias("__idf"))
+    rare = model.where("not __hot").select(F.col("term").alias("__term"), F.lit(0).alias("__part"), "df", "idf")
+    # One pass over the documents: a frequent term has met its row already and goes on under no term, spread by document.
+    rows = counts.join(F.broadcast(hot), "term", "left")
+    met = F.col("__df").isNotNull()
+    rows = rows.withColumns({"__term": F.when(~met, F.col("term")), "__part": F.when(met, F.pmod(F.xxhash64(key), F.lit(256)).cast("int")).otherwise(0)})
+    rows = rows.join(rare, ["__term", "__part"], "left").withColumns({"df": F.coalesce("__df", "df"), "idf": F.coalesce("__idf", "idf")})
     tf = F.col("cnt") / F.col("len")
-    return joined.select(key, "term", "cnt", "len", tf.alias("tf"), "df", "idf", (tf * F.col("idf")).alias("weight"))
+    return rows.select(key, "term", "cnt", "len", tf.alias("tf"), "df", "idf", (tf * F.col("idf")).alias("weight"))
 
 
 def tfidf_global(df: DataFrame, text: str = "text", key: str = "doc_id", limit: int | None = 30) -> DataFrame:
@@ -243,21 +247,29 @@ def query_postings(df: DataFrame, query: str, text: str = "text", key: str = "do
 # Similarity
 
 
+def _squares(ordered: str, starts: str) -> Column:
+    """Sum of the squared lengths of the runs of a column of sorted arrays."""
+    lengths = F.transform(starts, lambda at, k: F.coalesce(F.get(starts, k + 1), F.size(ordered)) - at)
+    return F.aggregate(lengths, F.lit(0).cast("long"), lambda s, n: s + n.cast("long") * n)
+
+
 def similarity(df: DataFrame, text_a: str = "text", text_b: str = "textB", method: str = "cosine") -> DataFrame:
     """``df`` with ``score`` by ``method``, all four measures, shared and one-sided terms, contributions and token counts.
 
-    Everything is computed within the row; empty sides score 0.
+    Everything is computed within the row, and only what is used of it; empty sides score
+    0.  To list ``contributions``, use ``explode_outer``: below a plain ``explode`` the
+    optimizer filters by their number and computes them once more for that.
     """
     if method not in METHODS:
         raise ValidationError(f"unknown method {method!r}; one of {', '.join(METHODS)}")
     # Tokens, their runs and the runs of both sides together; each is a column of its own, so none is computed twice.
     rows = df.withColumns({"__a": tokens(F.col(text_a), remove_stop_words=True), "__b": tokens(F.col(text_b), remove_stop_words=True)})
-    rows = rows.withColumns({"__da": F.array_distinct("__a"), "__db": F.array_distinct("__b"), "__oa": F.sort_array("__a"), "__ob": F.sort_array("__b")})
-    rows = rows.withColumns({"__sa": _run_starts("__oa"), "__sb": _run_starts("__ob")})
-    rows = rows.withColumns({"__ra": _runs("__oa", "__sa"), "__rb": _runs("__ob", "__sb")})
+    rows = rows.withColumns({"__da": F.array_distinct("__a"), "__db": F.array_distinct("__b")})
+    rows = rows.withColumns({"__oa": F.sort_array("__a"), "__ob": F.sort_array("__b"), "__oc": F.sort_array(F.concat("__a", "__b"))})
+    rows = rows.withColumns({f"__s{x}": _run_starts(f"__o{x}") for x in "abc"})
+    rows = rows.withColumns({f"__n{x}": _squares(f"__o{x}", f"__s{x}") for x in "abc"} | {f"__r{x}": _runs(f"__o{x}", f"__s{x}") for x in "ab"})
     marked = lambda runs, side: F.transform(runs, lambda r: F.struct(r["term"].alias("term"), F.lit(side).alias("side"), r["cnt"].alias("cnt")))
-    squares = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + r["cnt"] * r["cnt"])
-    rows = rows.withColumns({"__m": F.sort_array(F.concat(marked("__ra", 0), marked("__rb", 1))), "__na": squares("__ra"), "__nb": squares("__rb")})
+    rows = rows.withColumn("__m", F.sort_array(F.concat(marked("__ra", 0), marked("__rb", 1))))
     # A shared term's two runs are neighbours.
     before = lambda i: F.get("__m", i - 1)
     meet = F.transform("__m", lambda r, i: F.when((i > 0) & (before(i)["term"] == r["term"]), F.struct((-before(i)["cnt"] * r["cnt"]).alias("less"), r["term"].alias("term"))))
@@ -268,10 +280,12 @@ def similarity(df: DataFrame, text_a: str = "text", text_b: str = "textB", metho
             "onlyInA": F.array_except("__da", "__db"),
             "onlyInB": F.array_except("__db", "__da"),
             "contributions": products,
+            "__both": F.size(F.array_intersect("__da", "__db")),
         }
     )
-    dot = F.aggregate("contributions", F.lit(0).cast("long"), lambda s, x: s + x["product"])
-    both, a, b = F.size("sharedTerms"), F.size("__da"), F.size("__db")
+    # Counts of both sides together have the squares of each and twice the product.
+    dot = (F.col("__nc") - F.col("__na") - F.col("__nb")) / 2
+    both, a, b = F.col("__both"), F.size("__da"), F.size("__db")
     ratio = lambda up, down: F.when(down > 0, up / down).otherwise(F.lit(0.0))
     rows = rows.withColumns(
         {
@@ -283,7 +297,4 @@ def similarity(df: DataFrame, text_a: str = "text", text_b: str = "textB", metho
             "tokensB": F.size("__b"),
         }
     )
-    rows = rows.withColumn("score", round4(F.col(method)))
-    # One row of an array: filters on the results stay above it, else the optimizer would put all steps into the filter once more.
-    found = [c for c in rows.columns if not c.startswith("__") and c not in df.columns]
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(F.struct(*found))))
+    return rows.withColumn("score", round4(F.col(method))).drop(*(c for c in rows.columns if c.startswith("__")))

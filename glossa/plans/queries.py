@@ -487,7 +487,8 @@ def shared_terms(spark, t):
 
 @query(f"WITH {_SIM}, {_VECTOR} SELECT doc_id, term, ta.c * tb.c AS product FROM ta JOIN tb USING (doc_id, term)")
 def contributions(spark, t):
-    return an.similarity(_neighbours(t)).select("doc_id", F.explode("contributions").alias("c")).select("doc_id", "c.term", "c.product")
+    rows = an.similarity(_neighbours(t)).select("doc_id", F.explode_outer("contributions").alias("c"))
+    return rows.where("c is not null").select("doc_id", "c.term", "c.product")
 
 
 @query(f"WITH {_SIM} SELECT doc_id, len(da)::BIGINT AS comparisons, (len(a) + len(b))::BIGINT AS operations FROM q")
