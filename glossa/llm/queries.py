@@ -17,6 +17,7 @@ from .sharding import shard_documents
 from .token_counts import count_tokens
 from .toxicity import toxicity
 from .url_filters import Rule, judge_urls
+from .vector_codes import compress
 
 #: The rule table of op2.
 URL_RULES = [
@@ -74,6 +75,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents"))
 
@@ -89,10 +94,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op11_vector_codes": op11_vector_codes,
     "op13_personal_data": op13_personal_data,
 }
 
+def _vector_codes_sql(rounds: int) -> str:
+    """Full search of every entry in every round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (
+            SELECT vec_id, p, arg_min(entry, d * 16 + entry) AS entry, min(d) AS d
+            FROM (SELECT vec_id, p, entry, list_sum(list_transform(range(1, len(c) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d FROM cut JOIN book{r} USING (p))
+            GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""mean{r} AS MATERIALIZED (
+            SELECT p, entry, list(c ORDER BY i) AS c
+            FROM (SELECT p, entry, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS c FROM (SELECT p, entry, unnest(v) AS x, unnest(range(len(v))) AS i FROM near{r} JOIN cut USING (vec_id, p)) GROUP BY p, entry, i)
+            GROUP BY p, entry),
+        book{r + 1} AS MATERIALIZED (SELECT b.p, b.entry, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m ON b.p = m.p AND b.entry = m.entry)""")
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        cut AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] AS v FROM (SELECT vec_id, v, unnest(range(8)) AS p FROM kept)),
+        seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 16),
+        book0 AS MATERIALIZED (SELECT p, entry, v AS c FROM cut JOIN seeds USING (vec_id)),
+        {", ".join(steps)},
+        coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+            (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, entry)) FROM book{rounds}) AS codebooks_sha256
+        FROM coded JOIN kept USING (vec_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _vector_codes_sql(6),
     "op2_url_filters": r"""
         WITH rules(rule, host, path, verdict) AS (VALUES
             ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
