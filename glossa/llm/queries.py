@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import near_duplicate_vectors
+from .erasure import erase
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .mixing import mix
@@ -79,6 +80,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
 
 
+def op12_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return erase(*(_table(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines")), share=350, every=400)
+
+
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents"))
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
     "op11_vector_codes": op11_vector_codes,
+    "op12_erasure": op12_erasure,
     "op13_personal_data": op13_personal_data,
 }
 
