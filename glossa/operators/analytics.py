@@ -168,11 +168,22 @@ def tfidf_top_terms(df: DataFrame, top_k: int = 10, text: str = "text", key: str
 # Inverted index
 
 
-def inverted_index(df: DataFrame, text: str = "text", key: str = "doc_id", most_positions: int | None = 50) -> DataFrame:
-    """``term, key, tf, positions``: one posting a row, so that no term's list has to fit in a task."""
-    grouped = terms(df, text, key).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    shown = F.slice("positions", 1, most_positions) if most_positions else F.col("positions")
-    return grouped.select("term", key, "tf", shown.alias("positions"))
+def inverted_index(df: DataFrame, text: str = "text", key: str = "doc_id", most_positions: int | None = 50, wanted: list[str] | None = None) -> DataFrame:
+    """``term, key, tf, positions``: one posting a row, so that no term's list has to fit in a task; of ``wanted`` terms alone, if given.
+
+    A row is a document: its postings are runs of its sorted (term, position) pairs, and nothing is shuffled.
+    """
+    words = F.transform(tokens(F.col(text), remove_stop_words=True), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    if wanted is not None:
+        words = F.filter(words, lambda x: x["term"].isin(wanted or [""]))
+    # Each step is a column of its own, so none is computed twice.
+    rows = df.select(key, F.array_sort(words).alias("__w"))
+    starts = F.transform("__w", lambda x, i: F.when((i == 0) | (x["term"] != F.get("__w", i - 1)["term"]), i))
+    rows = rows.withColumn("__s", F.filter(starts, lambda i: i.isNotNull()))
+    size = lambda at, k: F.coalesce(F.get("__s", k + 1), F.size("__w")) - at
+    shown = lambda at, k: F.least(size(at, k), F.lit(most_positions)) if most_positions else size(at, k)
+    posting = lambda at, k: F.struct(F.get("__w", at)["term"].alias("term"), size(at, k).cast("long").alias("tf"), F.transform(F.slice("__w", at + 1, shown(at, k)), lambda x: x["pos"]).alias("positions"))
+    return rows.select(key, F.explode(F.transform("__s", posting)).alias("__p")).select("__p.term", key, "__p.tf", "__p.positions")
 
 
 def index_stats(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -207,12 +218,6 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in found if t and t not in STOP_WORDS))
 
 
-def _asked(df: DataFrame, query: str, text: str, key: str) -> tuple[DataFrame, list[str]]:
-    wanted = query_terms(query)
-    found = F.filter(tokens(F.col(text), remove_stop_words=False), lambda t: t.isin(wanted or [""]))
-    return df.select(key, F.explode(found).alias("term")), wanted
-
-
 def and_query(df: DataFrame, query: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key`` of the documents that have all terms of the query; none if it has no terms.
 
@@ -226,22 +231,25 @@ def and_query(df: DataFrame, query: str, text: str = "text", key: str = "doc_id"
 
 
 def or_query(df: DataFrame, query: str, text: str = "text", key: str = "doc_id", limit: int | None = 50) -> DataFrame:
-    """``rank, key, matched, score, terms``: by number of terms, then by their total count, then by first term and key."""
-    rows, wanted = _asked(df, query, text, key)
-    place = F.array_position(F.array(*[F.lit(w) for w in wanted or [""]]), F.col("term")).cast("int")
-    per_term = rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("place", place)
-    found = per_term.groupBy(key).agg(F.count(F.lit(1)).alias("matched"), F.sum("tf").alias("score"), F.min("place").alias("first"), F.array_sort(F.collect_list(F.struct("place", "term"))).alias("terms"))
+    """``rank, key, matched, score, terms``: by number of terms, then by their total count, then by first term and key.
+
+    A row is a document, so it is scored where it is; only the first ``limit`` meet.
+    """
+    wanted = query_terms(query)
+    words = F.array(*[F.lit(w) for w in wanted or [""]])
+    hits = F.filter(tokens(F.col(text)), lambda t: t.isin(wanted or [""]))
+    rows = df.select(key, F.transform(hits, lambda t: F.array_position(words, t).cast("int")).alias("__h")).where(F.size("__h") > 0)
+    places = F.array_sort(F.array_distinct("__h"))
+    found = rows.select(key, F.size(places).cast("long").alias("matched"), F.size("__h").cast("long").alias("score"), F.array_min("__h").alias("first"), F.transform(places, lambda p: F.element_at(words, p)).alias("terms"))
     order = [F.desc("matched"), F.desc("score"), F.col("first"), F.col(key)]
     if limit is not None:
         found = found.orderBy(*order).limit(limit)
-    return found.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("rank"), key, "matched", "score", F.col("terms.term").alias("terms"))
+    return found.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("rank"), key, "matched", "score", "terms")
 
 
 def query_postings(df: DataFrame, query: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``term, key, tf, positions`` of the query's terms alone; other terms never leave their rows."""
-    wanted = query_terms(query)
-    every = df.select(key, F.posexplode(tokens(F.col(text), remove_stop_words=True)).alias("pos", "term")).where(F.col("term").isin(wanted or [""]))
-    return every.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.slice(F.array_sort(F.collect_list("pos")), 1, 50).alias("positions"))
+    return inverted_index(df, text, key, wanted=query_terms(query))
 
 
 # Similarity

@@ -11,11 +11,12 @@ from ..functions import preprocess as pp
 from ..functions import text as tx
 from ..operators import analytics as an
 from ..operators import counters as co
+from ..operators import index as ix
 from ..operators import matching as ma
 from ..operators import multi_pattern as mp
 from ..operators import statistics as stt
 from ..operators import structures as st
-from ..sources import files, workloads
+from ..sources import files, scratch, workloads
 from . import benchmark, dashboard, recommender, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -428,6 +429,43 @@ def top_terms(spark, t):
     return an.top_terms(t("documents"))
 
 
+def _index(spark, t):
+    """The index of all documents, written anew."""
+    return ix.build_index(t("documents"), scratch.new_folder(spark, "index"))
+
+
+@query(ORACLE_SQL["and_query"])
+def indexed_and_query(spark, t):
+    return ix.and_query(_index(spark, t), "ing the tion")
+
+
+@query(ORACLE_SQL["or_query"])
+def indexed_or_query(spark, t):
+    return ix.or_query(_index(spark, t), SEARCH).withColumn("terms", F.array_join("terms", " "))
+
+
+@query(ORACLE_SQL["postings"])
+def indexed_postings(spark, t):
+    """All postings, out of the blocks."""
+    rows = _index(spark, t).blocks.select("term", "cell", F.inline(F.arrays_zip("offsets", "counts", "positions")))
+    return rows.select("term", (F.col("cell") * ix.CELL + F.col("offsets")).alias("doc_id"), F.col("counts").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query(ORACLE_SQL["query_postings"])
+def indexed_query_postings(spark, t):
+    return ix.query_postings(_index(spark, t), SEARCH).select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query(ORACLE_SQL["top_terms"])
+def indexed_top_terms(spark, t):
+    return ix.top_terms(_index(spark, t))
+
+
+@query(ORACLE_SQL["index_stats"])
+def indexed_stats(spark, t):
+    return ix.index_stats(_index(spark, t))
+
+
 @query(f"WITH {_TERMS} SELECT 0::BIGINT AS comparisons, (sum(cnt) + count(*))::BIGINT AS operations, (count(*) * 48 + count(DISTINCT term) * 64)::BIGINT AS \"memoryBytes\" FROM cnt")
 def tfidf_counters(spark, t):
     return co.tfidf_counters(t("documents"))
