@@ -2,7 +2,7 @@
 
 ``comparisons`` and ``operations`` are those of the textbook procedure, counted from
 what the operators compute anyway: closed forms over tries, suffix arrays and posting
-lists.  Only the automaton's scan follows its states one character after another.
+lists.  Only an automaton with many states follows them one character after another.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from .analytics import query_terms
+from .matching import MOST_PREFIXES, failures
 from .multi_pattern import check_patterns
 from .structures import common_prefix
 
@@ -25,6 +26,7 @@ class Machine:
 
     def __init__(self, patterns: list[str]):
         self.edges: list[dict[str, int]] = [{}]
+        self.names = [""]
         self.work = 0
         for pattern in patterns:
             at = 0
@@ -32,6 +34,7 @@ class Machine:
                 self.work += 1
                 if c not in self.edges[at]:
                     self.edges[at][c] = len(self.edges)
+                    self.names.append(self.names[at] + c)
                     self.edges.append({})
                 at = self.edges[at][c]
         self.fail = [0] * len(self.edges)
@@ -61,9 +64,19 @@ class Machine:
         return total
 
 
-def automaton_counters(df: DataFrame, patterns: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, comparisons, operations`` of each text: the automaton's construction is part of the operations; null counts as empty."""
+def automaton_counters(df: DataFrame, patterns: list[str], text: str = "text", key: str = "doc_id", most_prefixes: int = MOST_PREFIXES) -> DataFrame:
+    """``key, comparisons, operations`` of each text: the automaton's construction is part of the operations; null counts as empty.
+
+    The scan compares once for each character and once for each failure link; with few
+    states those are counted by place, with many a task follows the states.
+    """
     patterns = check_patterns(patterns)
+    made = Machine(patterns)
+    if len(made.names) - 1 <= most_prefixes:
+        whole = F.coalesce(text, F.lit(""))
+        n = F.length(whole).cast("long")
+        failed = failures(whole, {name: set(edges) for name, edges in zip(made.names, made.edges) if name})
+        return df.select(key, (n + failed).alias("comparisons"), (n + made.work).alias("operations"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine(patterns)

@@ -172,9 +172,47 @@ def _boyer_moore_scan(text: str, pattern: str, shift: list[int], last: dict[str,
     return compared, aligned
 
 
-def kmp_counters(text: Column, pattern: str) -> Column:
-    """Struct ``comparisons, operations`` of the scan with a failure table, its construction included."""
+#: Up to so many prefixes failures are counted by one expression each; above, a task's scan is faster.
+MOST_PREFIXES = 24
+
+
+def _codes(text: str) -> str:
+    return "".join(f"\\x{{{ord(c):x}}}" for c in text)
+
+
+def failures(text: Column, edges: dict[str, set[str]]) -> Column:
+    """How often a scan follows a failure link, for the prefixes in ``edges`` and the characters that go on from each.
+
+    At a character, the scan tries the prefixes that end there, longest first, up to the
+    first that goes on with it.  So a prefix fails where it is followed by none of its
+    characters, and no longer prefix that ends with it is followed by one of its own.
+    Each prefix is a pattern of places; nothing is scanned step by step.
+    """
+    total = F.lit(0).cast("long")
+    for x, onward in edges.items():
+        other = f"[^{_codes(''.join(sorted(onward)))}]" if onward else r"[\s\S]"
+        place = f"(?={_codes(x)}{other})"
+        for y, more in edges.items():
+            if more and len(y) > len(x) and y.endswith(x):
+                place += f"(?!(?<={_codes(y[: -len(x)])}){_codes(x)}[{_codes(''.join(sorted(more)))}])"
+        total = total + F.regexp_count(text, F.lit(place))
+    return total
+
+
+def kmp_counters(text: Column, pattern: str, most_prefixes: int = MOST_PREFIXES) -> Column:
+    """Struct ``comparisons, operations`` of the scan with a failure table, its construction included.
+
+    A scan compares once for each character and once more after each failure; failures
+    and matches are its operations.
+    """
     table, work = _lps(check_pattern(pattern))
+    m = len(pattern)
+    if m - 1 <= most_prefixes:
+        whole = F.coalesce(text, F.lit(""))
+        failed = failures(whole, {pattern[:k]: {pattern[k]} for k in range(1, m)})
+        # A scan of a text that is shorter than the pattern isn't begun.
+        begun = lambda n: work + F.when(F.length(whole) >= m, n).otherwise(F.lit(0).cast("long"))
+        return F.struct(begun(F.length(whole) + failed).alias("comparisons"), begun(failed + match_count(whole, pattern)).alias("operations"))
 
     @F.pandas_udf("comparisons long, operations long")
     def count(texts: pd.Series) -> pd.DataFrame:

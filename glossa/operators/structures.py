@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .suffixes import long_suffix_array
+
 #: Up to this length a text's suffixes are ranked by Spark's own sort, above by prefix doubling in a task.
 SHORT_TEXT = 512
+#: From this length on a text is the work of many tasks.
+LONG_TEXT = 1 << 18
 
 
 def prefixes(word: Column) -> Column:
@@ -47,12 +51,13 @@ def trie_completions(words: DataFrame, query: str, word: str = "word", limit: in
     return top.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("word")).alias("rank"), "word")
 
 
-def suffix_array(df: DataFrame, text: str = "text", key: str = "doc_id", short: int = SHORT_TEXT) -> DataFrame:
+def suffix_array(df: DataFrame, text: str = "text", key: str = "doc_id", short: int = SHORT_TEXT, long: int = LONG_TEXT) -> DataFrame:
     """One row per suffix: ``key, rank, pos, lcp``; keys must be unique.
 
     ``rank`` counts from 0 in code-point order, ``lcp`` is the common prefix with the
     suffix before.  A text of n characters has n suffixes of n/2 characters on average,
-    so only short texts are exploded; longer ones are sorted by prefix doubling.
+    so only short texts are exploded; longer ones are sorted by prefix doubling, those
+    below ``long`` each within a task, others by rows over all tasks.
     """
     source = df.select(F.col(key), F.col(text).alias("__t")).where(F.length("__t") > 0)
     low = source.where(F.length("__t") <= short)
@@ -61,7 +66,7 @@ def suffix_array(df: DataFrame, text: str = "text", key: str = "doc_id", short:
     order = Window.partitionBy(key).orderBy("__s")
     rows = rows.select(key, (F.row_number().over(order) - 1).alias("rank"), "pos", "__s", F.lag("__s").over(order).alias("__p"))
     small = rows.select(key, "rank", "pos", common_prefix(F.col("__s"), F.coalesce("__p", F.lit(""))).alias("lcp"))
-    high = source.where(F.length("__t") > short)
+    high = source.where((F.length("__t") > short) & (F.length("__t") < long))
     kind = high.schema[key].dataType.simpleString()
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +77,9 @@ def suffix_array(df: DataFrame, text: str = "text", key: str = "doc_id", short:
                 keys = batch.column(0).take(pa.array(np.full(n, r), pa.int32()))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(np.arange(n), pa.int32()), pa.array(order, pa.int32()), pa.array(common, pa.int32())], [key, "rank", "pos", "lcp"])
 
-    return small.union(high.mapInArrow(ranked, f"`{key}` {kind}, rank int, pos int, lcp int"))
+    out = small.union(high.mapInArrow(ranked, f"`{key}` {kind}, rank int, pos int, lcp int"))
+    huge = source.where((F.length("__t") > short) & (F.length("__t") >= long))
+    return out if huge.isEmpty() else out.union(long_suffix_array(huge, "__t", key))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

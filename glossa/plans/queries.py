@@ -111,10 +111,10 @@ def rabin_karp_hits(spark, t):
 
 
 @query(
-    f"""WITH RECURSIVE r AS (
-        SELECT item_id, text, length(text) AS n, 1 AS i, 0 AS j, {ma.lps_work('ten')}::BIGINT AS comparisons, {ma.lps_work('ten')}::BIGINT AS operations FROM benchmark
+    """WITH RECURSIVE r AS (
+        SELECT item_id, text, length(text) AS n, 1 AS i, 0 AS j, 2::BIGINT AS comparisons, 2::BIGINT AS operations FROM benchmark
         UNION ALL
-        SELECT item_id, text, n, CASE WHEN NOT eq AND j > 0 THEN i ELSE i + 1 END, CASE WHEN eq AND j < 2 THEN j + 1 WHEN eq OR j > 0 THEN {ma.lps('ten')}[CASE WHEN eq THEN 3 ELSE j END] ELSE 0 END,
+        SELECT item_id, text, n, CASE WHEN NOT eq AND j > 0 THEN i ELSE i + 1 END, CASE WHEN eq AND j < 2 THEN j + 1 WHEN eq OR j > 0 THEN [0, 0, 0][CASE WHEN eq THEN 3 ELSE j END] ELSE 0 END,
             comparisons + 1, operations + CASE WHEN (eq AND j = 2) OR (NOT eq AND j > 0) THEN 1 ELSE 0 END
         FROM (SELECT *, substr(text, i, 1) = substr('ten', j + 1, 1) AS eq FROM r WHERE i <= n AND n >= 3))
     SELECT item_id, max(comparisons) AS comparisons, max(operations) AS operations FROM r GROUP BY item_id"""
@@ -123,11 +123,25 @@ def kmp_counters(spark, t):
     return t("benchmark").select("item_id", ma.kmp_counters(F.col("text"), "ten").alias("c")).select("item_id", "c.*")
 
 
+def _failed_sql(prefixes: dict[str, list[str]]) -> str:
+    """Failures of prefixes by what may follow each, as differences of counts; right where no prefix overlaps itself and longer ones that end with it have no other characters."""
+    count = lambda x: f"(length(text) - length(replace(text, '{x}', ''))) // {len(x)}"
+    return " + ".join(f"({' - '.join([count(x), f'ends_with(text, {chr(39)}{x}{chr(39)})::INT', *(count(x + c) for c in onward)])})" for x, onward in prefixes.items())
+
+
 @query(
-    f"""WITH RECURSIVE r AS (
-        SELECT item_id, text, length(text) AS n, 0 AS s, {ma.good_suffix_work('ation')}::BIGINT AS comparisons, 0::BIGINT AS operations FROM benchmark
+    f"""WITH f AS (SELECT doc_id, length(text) AS n, {_failed_sql({'t': ['e'], 'te': ['n']})} AS failed, (length(text) - length(replace(text, 'ten', ''))) // 3 AS found FROM documents)
+    SELECT doc_id, (2 + CASE WHEN n >= 3 THEN n + failed ELSE 0 END)::BIGINT AS comparisons, (2 + CASE WHEN n >= 3 THEN failed + found ELSE 0 END)::BIGINT AS operations FROM f"""
+)
+def kmp_counters_documents(spark, t):
+    return t("documents").select("doc_id", ma.kmp_counters(F.col("text"), "ten").alias("c")).select("doc_id", "c.*")
+
+
+@query(
+    """WITH RECURSIVE r AS (
+        SELECT item_id, text, length(text) AS n, 0 AS s, 4::BIGINT AS comparisons, 0::BIGINT AS operations FROM benchmark
         UNION ALL
-        SELECT item_id, text, n, s + CASE WHEN k = 5 THEN {ma.good_suffix('ation')}[1] ELSE greatest({ma.good_suffix('ation')}[6 - k], 5 - k - instr('ation', substr(text, s + 5 - k, 1))) END,
+        SELECT item_id, text, n, s + CASE WHEN k = 5 THEN [5, 5, 5, 5, 5, 1][1] ELSE greatest([5, 5, 5, 5, 5, 1][6 - k], 5 - k - instr('ation', substr(text, s + 5 - k, 1))) END,
             comparisons + least(k + 1, 5), operations + 1
         FROM (SELECT *, len(list_filter([1, 2, 3, 4, 5], lambda x: right(substr(text, s + 1, 5), x) = right('ation', x)))::INT AS k FROM r WHERE s <= n - 5))
     SELECT item_id, max(comparisons) AS comparisons, max(operations) AS operations FROM r GROUP BY item_id"""
@@ -178,20 +192,28 @@ def automaton_states(spark, t):
 
 @query(
     _many_sql(
-        f"""SELECT item_id, (length(text) + coalesce(h, 0))::BIGINT AS comparisons, (length(text) + {co.Machine(PATTERNS).work})::BIGINT AS operations FROM benchmark LEFT JOIN (
+        """SELECT item_id, (length(text) + coalesce(h, 0))::BIGINT AS comparisons, (length(text) + 26)::BIGINT AS operations FROM benchmark LEFT JOIN (
             WITH pre AS (SELECT DISTINCT substr(pattern, 1, k::INT) AS x FROM (SELECT pattern, unnest(range(1, length(pattern) + 1)) AS k FROM p)),
             places AS (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark),
-            held AS (SELECT item_id, i, length(text) AS n, length(x) AS l FROM places JOIN pre ON i >= length(x) AND substr(text, (i - length(x) + 1)::INT, length(x)) = x),
+            held AS (SELECT item_id, i, length(text) AS n, length(x) AS l FROM places JOIN pre ON substr(text, i, 1) = right(x, 1) AND i >= length(x) AND substr(text, (i - length(x) + 1)::INT, length(x)) = x),
             top AS (SELECT item_id, i, max(l) AS l FROM held GROUP BY ALL)
             SELECT held.item_id, count(*) AS h FROM held LEFT JOIN top ON top.item_id = held.item_id AND top.i = held.i + 1
             WHERE held.i < held.n AND held.l > greatest(coalesce(top.l, 0) - 1, 0) GROUP BY held.item_id) USING (item_id)"""
     )
 )
 def automaton_counters(spark, t):
-    """A failure link is followed for each prefix that ends before a character and is longer than what goes on with it."""
+    """A failure link is followed for each prefix that ends before a character and is longer than what goes on with it; making the automaton takes 26 steps."""
     return co.automaton_counters(t("benchmark"), PATTERNS, key="item_id")
 
 
+_ONWARD = {"t": ["h", "i"], "th": ["e"], "the": [], "h": ["e"], "he": [], "ti": ["o"], "tio": ["n"], "tion": [], "e": ["r", "n"], "er": [], "en": [], "Z": ["z"], "Zz": []}
+
+
+@query(f"SELECT doc_id, (length(text) + {_failed_sql(_ONWARD)})::BIGINT AS comparisons, (length(text) + 26)::BIGINT AS operations FROM documents")
+def automaton_counters_documents(spark, t):
+    return co.automaton_counters(t("documents"), PATTERNS)
+
+
 # Structures
 
 _PARTS = "words AS (SELECT unnest(string_split(p_name, ' ')) AS word FROM part)"
@@ -248,6 +270,12 @@ def suffix_array_doubling(spark, t):
     return st.suffix_array(t("benchmark"), key="item_id", short=0)
 
 
+@query(f"WITH {_SUFFIXES} SELECT item_id, rank::INT AS rank, pos::INT AS pos, lcp::INT AS lcp FROM l")
+def suffix_array_distributed(spark, t):
+    """Every text by rows over all tasks, as long ones are."""
+    return st.suffix_array(t("benchmark"), key="item_id", short=0, long=0)
+
+
 @query(
     f"""WITH {_SUFFIXES}, b AS (SELECT item_id, any_value(text) AS text, max(lcp) AS m, sum(lcp) AS total, count(*) AS n FROM l GROUP BY item_id),
     f AS (SELECT l.item_id, min(rank) AS rank FROM l JOIN b ON l.item_id = b.item_id AND l.lcp = b.m GROUP BY l.item_id)
