@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered, with_previous
 from .suffixes import long_suffix_array
 
 #: Up to this length a text's suffixes are ranked by Spark's own sort, above by prefix doubling in a task.
@@ -17,18 +18,42 @@ SHORT_TEXT = 512
 LONG_TEXT = 1 << 18
 
 
-def prefixes(word: Column) -> Column:
-    """All non-empty prefixes, shortest first."""
-    return F.when(F.length(word) > 0, F.transform(F.sequence(F.lit(1), F.length(word)), lambda k: F.substring(word, F.lit(1), k))).otherwise(F.array())
+def sorted_words(words: DataFrame, word: str = "word") -> DataFrame:
+    """``w, number, lcp``: the distinct words in order, and how many characters each shares with the word before.
+
+    Words are sorted by ranges; neighbours, those at a border of two ranges too, meet by
+    their numbers.
+    """
+    distinct = numbered(words.select(F.col(word).alias("w")).where("w <> ''").distinct(), "w")
+    return with_previous(distinct, "number", "w").select("w", "number", common_prefix(F.col("w"), F.coalesce("prev_w", F.lit(""))).alias("lcp"))
 
 
 def trie_nodes(words: DataFrame, word: str = "word") -> DataFrame:
-    """``prefix, depth, parent, terminal`` of each node below the root."""
-    distinct = words.select(F.col(word).alias("w")).where("w <> ''").distinct()
-    nodes = distinct.select("w", F.explode(prefixes(F.col("w"))).alias("prefix"))
-    nodes = nodes.groupBy("prefix").agg(F.max(F.col("prefix") == F.col("w")).alias("terminal"))
-    depth = F.length("prefix")
-    return nodes.select("prefix", depth.alias("depth"), F.substring("prefix", F.lit(1), depth - 1).alias("parent"), "terminal")
+    """``prefix, depth, parent, terminal`` of each node below the root.
+
+    A word adds the nodes below what it shares with its left neighbour in order, so each
+    node is made once; one that is a word itself is that word's, which comes before all longer ones.
+    """
+    rows = sorted_words(words, word).where("lcp < length(w)")
+    nodes = rows.select("w", F.explode(F.sequence(F.col("lcp") + 1, F.length("w"))).alias("depth"))
+    prefix = F.substring("w", F.lit(1), F.col("depth"))
+    return nodes.select(prefix.alias("prefix"), "depth", F.substring("w", F.lit(1), F.col("depth") - 1).alias("parent"), (F.col("depth") == F.length("w")).alias("terminal"))
+
+
+def trie_edges(words: DataFrame, word: str = "word") -> DataFrame:
+    """``prefix, label, terminal`` of the edges of the compressed trie, whose inner nodes are words or branch.
+
+    A node of the plain trie stays if it is a word, or if two neighbours in order part
+    there.  The characters between two nodes that stay are one label.
+    """
+    rows = sorted_words(words, word)
+    # A node where two words part is what a word shares with its neighbour.
+    parts = rows.where("lcp > 0").select(F.expr("substring(w, 1, lcp)").alias("prefix"))
+    kept = parts.union(rows.select(F.col("w").alias("prefix"))).distinct()
+    terminal = rows.select(F.col("w").alias("prefix"), F.lit(True).alias("terminal"))
+    inner = sorted_words(kept, "prefix").withColumnRenamed("w", "prefix")
+    # In order, a kept prefix hangs from the longest kept prefix of it, and that has as many characters as it shares with the one before.
+    return inner.select("prefix", F.expr("substring(prefix, lcp + 1, length(prefix))").alias("label")).join(terminal, "prefix", "left").select("prefix", "label", F.coalesce("terminal", F.lit(False)).alias("terminal"))
 
 
 def trie_summary(words: DataFrame, query: str, word: str = "word") -> DataFrame:
@@ -39,7 +64,7 @@ def trie_summary(words: DataFrame, query: str, word: str = "word") -> DataFrame:
         F.coalesce(F.bool_or(F.startswith("w", F.lit(query))), F.lit(query == "")).alias("prefixFound"),
         F.coalesce(F.bool_or(F.col("w") == query), F.lit(False)).alias("isWord"),
     )
-    nodes = trie_nodes(words, word).agg((F.count(F.lit(1)) + 1).alias("nodeCount"))
+    nodes = sorted_words(words, word).agg((F.coalesce(F.sum(F.length("w") - F.col("lcp")), F.lit(0)) + 1).alias("nodeCount"))
     # Both sides are one row.
     return nodes.join(asked).select("nodeCount", "wordsInserted", (F.col("prefixFound") | F.lit(query == "")).alias("prefixFound"), "isWord")
 

@@ -11,6 +11,7 @@ from ..functions import preprocess as pp
 from ..functions import text as tx
 from ..operators import analytics as an
 from ..operators import counters as co
+from ..operators import dictionary as di
 from ..operators import index as ix
 from ..operators import matching as ma
 from ..operators import multi_pattern as mp
@@ -185,6 +186,17 @@ def multi_pattern_automaton(spark, t):
     return mp.find_many(t("benchmark"), PATTERNS, key="item_id", automaton_from=1)
 
 
+@query(
+    f"""WITH p AS (SELECT DISTINCT pattern FROM (SELECT unnest({_tok('text', False)}) AS pattern FROM benchmark) WHERE length(pattern) >= 4),
+    h AS (SELECT doc_id, pattern, text, instr(text, pattern) - 1 AS first FROM documents JOIN p ON contains(text, pattern))
+    SELECT doc_id, pattern, first::INT AS first, (length(text) - length(pattern) - instr(reverse(text), reverse(pattern)) + 1)::INT AS last FROM h"""
+)
+def dictionary_matches(spark, t):
+    """Where the words of the benchmark occur first and last in each document."""
+    words = t("benchmark").select(F.explode(tx.tokens(F.col("text"))).alias("pattern")).where(F.length("pattern") >= 4).distinct()
+    return di.find_dictionary(t("documents"), words).groupBy("doc_id", "pattern").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
 @query("SELECT count(DISTINCT substr(p, 1, k)) + 1 AS states FROM (SELECT p, unnest(range(1, length(p) + 1)) AS k FROM (VALUES " + ", ".join(f"('{p}')" for p in PATTERNS) + ") v(p))")
 def automaton_states(spark, t):
     return mp.automaton_states(spark, PATTERNS)
@@ -242,17 +254,45 @@ def trie_nodes(spark, t):
     return st.trie_nodes(_part_words(t))
 
 
-@query(f"WITH {_PARTS} SELECT row_number() OVER (ORDER BY word)::INT AS rank, word FROM (SELECT DISTINCT word FROM words WHERE word <> '' AND starts_with(word, 'Part') ORDER BY word LIMIT 200)")
+_DOCUMENT_WORDS = f"words AS (SELECT unnest({_tok('text', False)}) AS word FROM documents)"
+
+
+def _document_words(t):
+    return t("documents").select(F.explode(tx.tokens(F.col("text"))).alias("word"))
+
+
+@query(
+    f"""WITH {_DOCUMENT_WORDS}, w AS (SELECT DISTINCT word FROM words),
+    p AS (SELECT word, substr(word, 1, k) AS prefix FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM w))
+    SELECT prefix, length(prefix)::INT AS depth, substr(prefix, 1, length(prefix) - 1) AS parent, bool_or(prefix = word) AS terminal FROM p GROUP BY prefix"""
+)
+def trie_of_documents(spark, t):
+    return st.trie_nodes(_document_words(t))
+
+
+@query(
+    f"""WITH {_DOCUMENT_WORDS}, w AS (SELECT DISTINCT word FROM words),
+    p AS (SELECT substr(word, 1, k) AS prefix, max(word = substr(word, 1, k)) AS terminal, count(DISTINCT substr(word, k + 1, 1)) AS onward FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM w) GROUP BY 1),
+    k AS (SELECT prefix, terminal FROM p WHERE terminal OR onward > 1),
+    up AS (SELECT k.prefix, max(length(a.prefix)) AS n FROM (SELECT prefix, unnest(range(1, length(prefix))) AS n FROM k) k JOIN k a ON a.prefix = substr(k.prefix, 1, k.n::INT) GROUP BY k.prefix)
+    SELECT prefix, substr(prefix, coalesce(n, 0)::INT + 1) AS label, terminal FROM k LEFT JOIN up USING (prefix)"""
+)
+def trie_edges(spark, t):
+    """Edges of the compressed trie over all words of the documents."""
+    return st.trie_edges(_document_words(t))
+
+
+@query(f"WITH {_PARTS} SELECT row_number() OVER (ORDER BY word)::INT AS rank, word FROM (SELECT DISTINCT word FROM words WHERE word <> '' AND starts_with(word, 'b') ORDER BY word LIMIT 200)")
 def trie_completions(spark, t):
-    return st.trie_completions(_part_words(t), "Part")
+    return st.trie_completions(_part_words(t), "b")
 
 
 @query(
-    f"""WITH {_PARTS}, w AS (SELECT word FROM words WHERE word <> ''), f AS (SELECT coalesce(max(k), 0) AS f FROM (SELECT unnest(range(1, 7)) AS k) WHERE EXISTS (SELECT 1 FROM w WHERE starts_with(word, substr('Partly', 1, k::INT))))
-    SELECT (sum(length(word)) + least(6, any_value(f) + 1))::BIGINT AS comparisons, sum(length(word))::BIGINT AS operations FROM w, f"""
+    f"""WITH {_PARTS}, w AS (SELECT word FROM words WHERE word <> ''), f AS (SELECT coalesce(max(k), 0) AS f FROM (SELECT unnest(range(1, 6)) AS k) WHERE EXISTS (SELECT 1 FROM w WHERE starts_with(word, substr('blunt', 1, k::INT))))
+    SELECT (sum(length(word)) + least(5, any_value(f) + 1))::BIGINT AS comparisons, sum(length(word))::BIGINT AS operations FROM w, f"""
 )
 def trie_counters(spark, t):
-    return co.trie_counters(_part_words(t), "Partly")
+    return co.trie_counters(_part_words(t), "blunt")
 
 
 _SUFFIXES = """s AS (SELECT item_id, text, pos, substr(text, (pos + 1)::INT) AS s FROM (SELECT item_id, text, unnest(range(length(text))) AS pos FROM benchmark)),
