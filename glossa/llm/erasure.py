@@ -21,7 +21,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sort_keys import keys_at, with_keys
+from .sort_keys import encode, keys_at, with_keys
 from .staging import discard, shared_dir, stage
 
 #: Rows that a task writes at least, where files are smaller.
@@ -29,7 +29,10 @@ TASK_ROWS = 100_000
 #: Rows of a row group.
 GROUP_ROWS = 1 << 16
 
-_REPORT = "file_no long, n_rows long, n_erased long, cents long, ids_sha256 string, low long, high long, path string"
+#: Bytes of a key that hold its lead, and those that hold a whole number behind it.
+LEAD, NUMBER = 4, 9
+
+_REPORT = "file_no long, n_rows long, n_erased long, cents long, ids_sha256 string, low binary, high binary, path string"
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,12 @@ class Relation:
     money: str
     victim: str
 
+    @property
+    def reach(self) -> int:
+        """Bytes of a key that tell where an id may be: those of the lead, and of the id if its column comes first."""
+        first = self.rows.schema[0]
+        return LEAD + NUMBER * (first.name == self.victim and first.dataType.typeName() in ("long", "integer", "short", "byte"))
+
 
 def crc(column: Column) -> Column:
     """CRC-32 of a number written in decimal; null is the empty string."""
@@ -95,7 +104,7 @@ class _File:
 
 def _report(rows: list[tuple]) -> pa.RecordBatch:
     names = [f.split()[0] for f in _REPORT.split(", ")]
-    kinds = [pa.string() if f.endswith("string") else pa.int64() for f in _REPORT.split(", ")]
+    kinds = [{"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}[f.split()[1]] for f in _REPORT.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
@@ -119,8 +128,8 @@ def _dealt(rows: DataFrame, files: int, n: int, order: list[str]) -> DataFrame:
     return rows.repartitionById(tasks, F.floor(F.col("file_no") * tasks / files).cast("int")).sortWithinPartitions(*order)
 
 
-def write_sorted(keyed: DataFrame, base: str, name: str, money: str, share: int) -> DataFrame:
-    """Write ``row`` of ``key, row`` in the keys' order as files of ``1 + n // share`` rows; a report of each (see _REPORT)."""
+def write_sorted(keyed: DataFrame, base: str, name: str, money: str, share: int, reach: int = LEAD) -> DataFrame:
+    """Write ``row`` of ``key, row`` in the keys' order as files of ``1 + n // share`` rows; a report of each (see _REPORT), ``low`` and ``high`` the first ``reach`` bytes of its keys."""
     n = keyed.count()
     size = 1 + n // share
     files = -(-n // size)
@@ -137,7 +146,7 @@ def write_sorted(keyed: DataFrame, base: str, name: str, money: str, share: int)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, now = None, -1
-        low = high = 0
+        low = high = b""
 
         def done() -> pa.RecordBatch:
             file.close()
@@ -150,8 +159,8 @@ def write_sorted(keyed: DataFrame, base: str, name: str, money: str, share: int)
                 if file:
                     yield done()
                 file, now = _File(base, name, _file_name(number), plain.schema, at), number
-                low = int.from_bytes(run.column(1)[0].as_py()[:4], "big")
-            high = int.from_bytes(run.column(1)[-1].as_py()[:4], "big")
+                low = run.column(1)[0].as_py()[:reach]
+            high = run.column(1)[-1].as_py()[:reach]
             file.add(plain)
         if file:
             yield done()
@@ -160,15 +169,19 @@ def write_sorted(keyed: DataFrame, base: str, name: str, money: str, share: int)
     return stage(_dealt(rows, max(files, 1), n, ["key"]).mapInArrow(write, _REPORT), f"erasure-{name}-written")
 
 
-def _place(victims: DataFrame, files: list) -> DataFrame:
-    """``file_no, id`` of ``id, lead``: each file whose range holds a lead; ranges are ascending and few (``share`` of them)."""
-    lows, highs = (np.array([f[c] for f in files], np.int64) for c in ("low", "high"))
+def _place(victims: DataFrame, files: list, reach: int) -> DataFrame:
+    """``file_no, id`` of ``id, lead``: each file whose range of keys may hold the id; ranges are ascending and few (``share`` of them).
+
+    Where a client has very many rows and their ids don't come first, all its files get the one id of the client.
+    """
+    lows, highs = (np.array([f[c] for f in files], f"S{reach}") for c in ("low", "high"))
     kind = victims.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lead = np.asarray(batch.column(1))
-            first, end = np.searchsorted(highs, lead, "left"), np.searchsorted(lows, lead, "right")
+            keys = np.array(encode([batch.column(0)] if reach > LEAD else [], lead).to_pylist(), f"S{reach}")
+            first, end = np.searchsorted(highs, keys, "left"), np.searchsorted(lows, keys, "right")
             many = np.maximum(end - first, 0)
             row = np.repeat(np.arange(len(lead)), many)
             number = first[row] + np.arange(len(row)) - (np.cumsum(many) - many)[row]
@@ -207,7 +220,7 @@ def rewrite(written: DataFrame, base: str, relation: Relation, victims: DataFram
                 for batch in old.read_row_group(g).filter(pa.array(~hit)).to_batches():
                     new.add(batch)
             new.close()
-        return number, new.n, erased, new.cents, new.digest.hexdigest(), 0, 0, new.path
+        return number, new.n, erased, new.cents, new.digest.hexdigest(), None, None, new.path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = -1, []
@@ -224,7 +237,7 @@ def rewrite(written: DataFrame, base: str, relation: Relation, victims: DataFram
             if done:
                 yield _report([done])
 
-    placed = _place(victims, files)
+    placed = _place(victims, files, relation.reach)
     n = max(sum(r["n_rows"] for r in files), 1)
     return stage(_dealt(placed, max(len(files), 1), n, ["file_no", "id"]).mapInArrow(run, _REPORT), f"erasure-{name}-rewritten")
 
@@ -284,7 +297,7 @@ def erase(clients: DataFrame, clicks: DataFrame, sales: DataFrame, sale_lines: D
     reports, spent = [], [masters, gone, ids, owners]
     for relation, rows, victims in work:
         keyed = stage(with_keys(rows, "lead"), f"erasure-{relation.name}-keyed")
-        written = write_sorted(keyed, base, relation.name, relation.money, share)
+        written = write_sorted(keyed, base, relation.name, relation.money, share, relation.reach)
         discard(keyed)
         rewritten = rewrite(written, base, relation, victims)
         _commit(base, written, rewritten)
