@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import operator
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matching import ValidationError
@@ -66,94 +69,67 @@ def profiles(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return parse_profiles(spark.createDataFrame(data, "profile_id int, " + ", ".join(f"{k} string" for k in PROFILE)))
 
 
-def _points(when: Column, value: int) -> Column:
-    return F.when(when, value).otherwise(0)
+_SINGLE, _MANY = ("task", "=", "single-pattern"), ("patternCount", ">", 1)
+_MULTI = ([("task", "=", "multi-pattern")], [_SINGLE, _MANY])
+
+# Points of each algorithm, and the fields of a profile that give them.  A rule marked True makes the algorithm applicable.
+RULES: dict[str, list[tuple[bool, int, list[tuple[str, str, object]]]]] = {
+    "naive": [(True, 40, [_SINGLE]), (False, 20, [_SINGLE, ("patternSize", "<=", 3)]), (False, 10, [_SINGLE, ("textSize", "<", 10_000)]), (False, -30, [("repetition", "=", "high")])],
+    "kmp": [(True, 60, [_SINGLE]), (False, 20, [_SINGLE, ("repetition", "<>", "low")]), (False, 10, [_SINGLE, ("alphabet", "=", "small")]), (False, 15, [("streaming", "=", True)])],
+    "boyer-moore": [
+        (True, 55, [_SINGLE]), (False, 15, [_SINGLE, ("alphabet", "=", "large")]), (False, 15, [_SINGLE, ("patternSize", ">=", 8)]),
+        (False, -15, [("alphabet", "=", "small")]), (False, -15, [("repetition", "=", "high")]),
+    ],
+    "rabin-karp": [(True, 45, [_SINGLE]), (True, 30, [("task", "=", "multi-pattern")]), (False, 35, [("task", "=", "document-similarity")]), (False, -10, [("repetition", "=", "high")])],
+    "aho-corasick": [*((True, 85, m) for m in _MULTI), *((False, 10, [*m, ("patternCount", ">=", 10)]) for m in _MULTI)],
+    "trie": [(True, 90, [("task", "=", "prefix-lookup")]), *((True, 45, [*m, ("queryFrequency", "=", "frequent")]) for m in _MULTI)],
+    "suffix-array": [(True, 85, [("task", "=", "substring-queries")]), (True, 70, [_SINGLE, ("queryFrequency", "=", "frequent"), ("needIndexing", "=", True)])],
+    "kasai": [(True, 90, [("task", "=", "repeat-analysis")]), (True, 50, [("task", "=", "substring-queries")])],
+    "edit-distance": [(True, 90, [("task", "=", "fuzzy-match"), ("textSize", "<=", 5000)]), (True, 55, [("task", "=", "fuzzy-match"), ("textSize", ">", 5000)])],
+    "tfidf": [(True, 90, [("task", "=", "keyword-ranking")]), (True, 55, [("task", "=", "document-search")])],
+    "inverted-index": [(True, 90, [("task", "=", "document-search")]), (True, 60, [("task", "<>", "document-search"), ("needIndexing", "=", True), ("documentCount", ">", 1)])],
+    "similarity": [(True, 85, [("task", "=", "document-similarity")])],
+}
+
+_RELATIONS = {
+    "=": ("is", operator.eq), "<>": ("is not", operator.ne), "<": ("is below", operator.lt),
+    "<=": ("is at most", operator.le), ">": ("is above", operator.gt), ">=": ("is at least", operator.ge),
+}
+
+
+def _holds(terms: list[tuple[str, str, object]]) -> Column:
+    return reduce(operator.and_, (_RELATIONS[relation][1](F.col(field), value) for field, relation, value in terms))
+
+
+def _said(points: int, terms: list[tuple[str, str, object]]) -> Column:
+    """A rule in words, with what the profile has in its fields."""
+    parts: list[Column] = []
+    for field, relation, value in terms:
+        shown = f"{value:,}" if isinstance(value, int) and not isinstance(value, bool) else str(value).lower()
+        own = F.format_number(F.col(field), 0) if PROFILE[field][0] == "double" else None
+        parts.append(F.concat(F.lit(f"{field} ("), own, F.lit(f") {_RELATIONS[relation][0]} {shown}")) if own is not None else F.lit(f"{field} {_RELATIONS[relation][0]} {shown}"))
+    return F.concat(F.concat_ws(", ", *parts), F.lit(f": {points:+d}"))
 
 
 def scores() -> dict[str, tuple[Column, Column]]:
     """(applicable, score before bounds) of each algorithm over the columns of a profile."""
-    c = F.col
-    task = lambda *names: c("task").isin(*names)
-    single = task("single-pattern")
-    multi = task("multi-pattern") | (single & (c("patternCount") > 1))
-    frequent = c("queryFrequency") == "frequent"
-    high, small_alphabet = c("repetition") == "high", c("alphabet") == "small"
-    static = single & frequent & c("needIndexing")
-    many_indexed = c("needIndexing") & (c("documentCount") > 1)
-    return {
-        "naive": (single, _points(single, 40) + _points(single & (c("patternSize") <= 3), 20) + _points(single & (c("textSize") < 10_000), 10) - _points(high, 30)),
-        "kmp": (single, _points(single, 60) + _points(single & (c("repetition") != "low"), 20) + _points(single & small_alphabet, 10) + _points(c("streaming"), 15)),
-        "boyer-moore": (
-            single,
-            _points(single, 55) + _points(single & (c("alphabet") == "large"), 15) + _points(single & (c("patternSize") >= 8), 15) - _points(small_alphabet, 15) - _points(high, 15),
-        ),
-        "rabin-karp": (single | multi, F.when(task("document-similarity"), 35).when(single, 45).when(multi, 30).otherwise(0) - _points(high, 10)),
-        "aho-corasick": (multi, _points(multi, 85) + _points(multi & (c("patternCount") >= 10), 10)),
-        "trie": (task("prefix-lookup") | (multi & frequent), F.when(task("prefix-lookup"), 90).when(multi & frequent, 45).otherwise(0)),
-        "suffix-array": (task("substring-queries") | static, F.when(task("substring-queries"), 85).when(static, 70).otherwise(0)),
-        "kasai": (task("repeat-analysis", "substring-queries"), F.when(task("repeat-analysis"), 90).when(task("substring-queries"), 50).otherwise(0)),
-        "edit-distance": (task("fuzzy-match"), F.when(task("fuzzy-match") & (c("textSize") <= 5000), 90).when(task("fuzzy-match"), 55).otherwise(0)),
-        "tfidf": (task("keyword-ranking", "document-search"), F.when(task("keyword-ranking"), 90).when(task("document-search"), 55).otherwise(0)),
-        "inverted-index": (task("document-search") | many_indexed, F.when(task("document-search"), 90).when(many_indexed, 60).otherwise(0)),
-        "similarity": (task("document-similarity"), _points(task("document-similarity"), 85)),
-    }
+    out = {}
+    for name, rules in RULES.items():
+        points = [F.when(_holds(terms), value).otherwise(0) for _, value, terms in rules]
+        out[name] = reduce(operator.or_, (_holds(terms) for opens, _, terms in rules if opens)), reduce(operator.add, points)
+    return out
 
 
 def grounds() -> dict[str, tuple[list[tuple[Column, Column]], list[tuple[Column, Column]]]]:
-    """(reasons, cautions) of each algorithm, each a condition over the columns of a profile and what is said where it holds."""
-    c = F.col
-    task = lambda *names: c("task").isin(*names)
-    single = task("single-pattern")
-    multi = task("multi-pattern") | (single & (c("patternCount") > 1))
-    frequent, high = c("queryFrequency") == "frequent", c("repetition") == "high"
-    small = c("alphabet") == "small"
-    static = single & frequent & c("needIndexing")
-    many_indexed = c("needIndexing") & (c("documentCount") > 1)
-    number = lambda name: F.format_number(c(name), 0)
-    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    short, little = single & (c("patternSize") <= 3), single & (c("textSize") < 10_000)
-    always = F.lit(True)
-    return {
-        "naive": (
-            [(short, say("A pattern of ", number("patternSize"), " characters leaves little to save by tables.")), (little, say("On a small text the simplest scan is fast enough.")), (single & ~short & ~little, say("A baseline that is easy to check."))],
-            [(high, say("Repetitive text makes almost every shift compare most of the pattern.")), (~single, say("It searches for a single pattern only."))],
-        ),
-        "kmp": (
-            [(single, say("Linear in text and pattern whatever they are.")), (single & (c("repetition") != "low"), say("Partial matches of repetitive text are used again through the failure table.")), (single & small, say("A small alphabet costs it nothing.")), (c("streaming"), say("It never goes back in the text."))],
-            [(multi, say("It needs ", number("patternCount"), " passes for as many patterns."))],
-        ),
-        "boyer-moore": (
-            [(single & ~small, say("With a large alphabet mismatches skip whole pattern lengths.")), (single & (c("patternSize") >= 8), say("A pattern of ", number("patternSize"), " characters allows long skips."))],
-            [(small, say("A small alphabet allows short skips only.")), (high, say("Repetitive text may take it to the product of both lengths.")), (c("streaming"), say("It reads backwards within a window, which a stream must buffer."))],
-        ),
-        "rabin-karp": (
-            [(single, say("A rolling hash takes linear time on average.")), (multi, say("Hashes of several patterns of one length can be looked up together.")), (task("document-similarity"), say("Rolling hashes are what fingerprints of documents are made of."))],
-            [(always, say("Many equal hashes take it to the product of both lengths.")), (high, say("In repetitive text most windows may need a second look."))],
-        ),
-        "aho-corasick": (
-            [(multi, say("One pass finds all ", number("patternCount"), " patterns.")), (multi & (c("patternCount") >= 10), say("It gains with every further pattern.")), (multi & c("streaming"), say("It reads a stream from left to right."))],
-            [(single & (c("patternCount") == 1), say("For one pattern it is a failure table with more overhead."))],
-        ),
-        "trie": (
-            [(task("prefix-lookup"), say("A look-up costs the length of the prefix, not the size of the dictionary.")), (~task("prefix-lookup") & multi & frequent, say("Frequent look-ups pay for building it."))],
-            [(always, say("It takes memory for every node."))],
-        ),
-        "suffix-array": (
-            [(task("substring-queries") | static, say("The text is sorted once, and ", c("queryFrequency"), " queries search it in logarithmic steps.")), (single & frequent & ~c("needIndexing"), say("If the text may be indexed, frequent queries favour it."))],
-            [(always, say("A changed text must be sorted again."))],
-        ),
-        "kasai": ([(task("repeat-analysis", "substring-queries"), say("Common prefixes of neighbouring suffixes give repeats and distinct substrings in linear time."))], []),
-        "edit-distance": ([(task("fuzzy-match"), say("The least number of edits is an exact score that can be shown."))], [(c("textSize") > 5000, say("Its cost is the product of both lengths."))]),
-        "tfidf": (
-            [(task("keyword-ranking"), say("It weighs the terms that set apart each of ", number("documentCount"), " documents.")), (task("document-search"), say("Its weights rank what an index finds."))],
-            [(c("documentCount") < 2, say("With one document all terms weigh alike."))],
-        ),
-        "inverted-index": (
-            [(task("document-search") | c("needIndexing"), say("A query reads its terms' lists instead of ", number("documentCount"), " documents.")), (task("document-search") | c("needIndexing"), F.when(frequent, "Frequent queries pay for building it.").otherwise("It is built once."))],
-            [],
-        ),
-        "similarity": ([(task("document-similarity"), say("Measures of shared terms take linear time and can be shown."))], [(always, say("It compares words, not meanings."))]),
-    }
+    """(reasons, cautions) of each algorithm, each a condition and what is said where it holds: the rules that gain points, and those that cost some or let none apply."""
+    out, applicable = {}, scores()
+    for name, rules in RULES.items():
+        lines = {True: [], False: []}
+        for _, points, terms in rules:
+            lines[points > 0].append((_holds(terms), _said(points, terms)))
+        opening = [", ".join(f"{f} {_RELATIONS[r][0]} {str(v).lower()}" for f, r, v in terms) for opens, _, terms in rules if opens]
+        out[name] = lines[True], [*lines[False], (~applicable[name][0], F.lit(f"applies only if {'; or '.join(opening)}"))]
+    return out
 
 
 def recommend(df: DataFrame, key: str = "profile_id") -> DataFrame:
@@ -173,9 +149,13 @@ def recommend(df: DataFrame, key: str = "profile_id") -> DataFrame:
         )
         for i, a in enumerate(ORDER)
     ]
-    rows = df.select(key, F.inline(F.array(*entries)))
-    order = Window.partitionBy(key).orderBy(F.desc("applicable"), F.desc("score"), "place")
-    return rows.select(key, F.row_number().over(order).alias("rank"), "algorithmId", "name", "applicable", "score", "reasons", "cautions", "complexity")
+    # The fields stand in dozens of rules; an explode keeps what they are made from out of each.
+    given = df.select(key, F.explode_outer(F.array(F.struct(*PROFILE))).alias("__p")).select(key, "__p.*")
+    # A profile's twelve entries are one row's array, so they are ranked in the row.
+    placed = lambda e: F.struct((~e["applicable"]).alias("no"), (-e["score"]).alias("low"), e["place"].alias("place"), e.alias("entry"))
+    rows = given.select(key, F.posexplode_outer(F.array_sort(F.transform(F.array(*entries), placed))).alias("__at", "__e"))
+    columns = ("algorithmId", "name", "applicable", "score", "reasons", "cautions", "complexity")
+    return rows.select(key, (F.col("__at") + 1).alias("rank"), *[F.col(f"__e.entry.{c}").alias(c) for c in columns])
 
 
 def explanation(df: DataFrame, key: str = "profile_id") -> DataFrame:

@@ -235,9 +235,14 @@ def test_profiles(spark):
 def test_reasons(spark):
     df = recommender.profiles(spark, [{"patternSize": 2, "textSize": 500, "repetition": "high"}, {"task": "document-search", "documentCount": 40, "queryFrequency": "frequent"}])
     got = {(r["profile_id"], r["algorithmId"]): r for r in recommender.recommend(df).collect()}
-    assert len(got[0, "naive"]["reasons"]) == 2 and len(got[0, "naive"]["cautions"]) == 1
-    assert len(got[1, "inverted-index"]["reasons"]) == 2 and "40 documents" in got[1, "inverted-index"]["reasons"][0]
-    assert got[1, "naive"]["cautions"] and not got[1, "naive"]["applicable"] and got[1, "kasai"]["reasons"] == []
+    assert got[0, "naive"]["reasons"] == ["task is single-pattern: +40", "task is single-pattern, patternSize (2) is at most 3: +20", "task is single-pattern, textSize (500) is below 10,000: +10"]
+    assert got[0, "naive"]["cautions"] == ["repetition is high: -30"] and got[0, "naive"]["score"] == 40
+    assert got[1, "inverted-index"]["reasons"] == ["task is document-search: +90"] and got[1, "inverted-index"]["cautions"] == []
+    assert got[1, "naive"]["cautions"] == ["applies only if task is single-pattern"] and not got[1, "naive"]["applicable"] and got[1, "kasai"]["reasons"] == []
+    # What is said is what is scored.
+    for r in got.values():
+        points = [int(x.rsplit(": ", 1)[1]) for x in r["reasons"] + [c for c in r["cautions"] if not c.startswith("applies")]]
+        assert r["score"] == max(0, min(100, sum(points)))
     assert got[0, "kmp"]["complexity"] == "O(n + m) worst, O(m) space"
     v = recommender.verification(df).where("profile_id = 0").first()
     assert (v["size"], v["patternLength"], v["patternCount"]) == (1000.0, 2.0, 1.0)
