@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import round4, tokens
+from ..sources.scratch import staged
 from .matching import ValidationError
 
 # Most cells of a full edit matrix, and of any.
@@ -28,41 +29,59 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def edit_script(a: str, b: str) -> list[tuple[str, str, str]] | None:
-    """(op, a, b) of an optimal script, diagonal steps preferred, then deletions; None above FULL_MATRIX cells."""
+def _next_row(row: np.ndarray, differ: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """The row of costs below ``row``; ``differ`` tells where the row's character is another."""
+    out = np.empty_like(row)
+    out[0] = row[0] + 1
+    out[1:] = np.minimum(row[1:] + 1, row[:-1] + differ)
+    return np.minimum.accumulate(out - slope) + slope  # insertions run along the row
+
+
+def edit_script(a: str, b: str, most_cells: int | None = FULL_MATRIX) -> list[tuple[str, str, str]] | None:
+    """(op, a, b) of an optimal script, diagonal steps preferred, then deletions; None above ``most_cells`` cells.
+
+    Only one row in about sqrt(n) of the matrix is kept.  The path is followed from the
+    end, and the rows between two kept ones are made again when it gets there, so it is
+    the path of the whole matrix in memory of about sqrt(n) rows.
+    """
     n, m = len(a), len(b)
-    if (n + 1) * (m + 1) > FULL_MATRIX:
+    if most_cells is not None and (n + 1) * (m + 1) > most_cells:
         return None
     x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
-    cost = np.empty((n + 1, m + 1), np.int32)
-    cost[0] = np.arange(m + 1)
     slope = np.arange(m + 1, dtype=np.int32)
-    for i in range(1, n + 1):
-        row = np.empty(m + 1, np.int32)
-        row[0] = i
-        row[1:] = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (y != x[i - 1]))
-        cost[i] = np.minimum.accumulate(row - slope) + slope  # insertions run along the row
-    out = []
-    i, j = n, m
-    while i or j:
-        here = cost[i, j]
-        if i and j and here == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            out.append(("match" if a[i - 1] == b[j - 1] else "substitute", a[i - 1], b[j - 1]))
-            i, j = i - 1, j - 1
-        elif i and here == cost[i - 1, j] + 1:
-            out.append(("delete", a[i - 1], ""))
-            i -= 1
-        else:
-            out.append(("insert", "", b[j - 1]))
-            j -= 1
+    stride = max(1, int(np.sqrt(n + 1)))
+    row, kept = slope.copy(), []
+    for i in range(n + 1):
+        if i % stride == 0:
+            kept.append(row)
+        if i < n:
+            row = _next_row(row, y != x[i], slope)
+    out, i, j = [], n, m
+    for k in reversed(range(len(kept))):
+        first = k * stride
+        rows = [kept[k]]
+        while first + len(rows) <= i:
+            rows.append(_next_row(rows[-1], y != x[first + len(rows) - 1], slope))
+        # Within these rows; a step to the row above the first ends it.
+        while i > first or (k == 0 and j):
+            here, above = rows[i - first], rows[i - first - 1] if i > first else None
+            if i and j and here[j] == above[j - 1] + (x[i - 1] != y[j - 1]):
+                out.append(("match" if x[i - 1] == y[j - 1] else "substitute", a[i - 1], b[j - 1]))
+                i, j = i - 1, j - 1
+            elif i and here[j] == above[j] + 1:
+                out.append(("delete", a[i - 1], ""))
+                i -= 1
+            else:
+                out.append(("insert", "", b[j - 1]))
+                j -= 1
     return out[::-1]
 
 
-def alignment(a: Column, b: Column) -> Column:
-    """Edit script of each pair; null where the matrix would be too large or a text is null."""
+def alignment(a: Column, b: Column, most_cells: int | None = FULL_MATRIX) -> Column:
+    """Edit script of each pair; null where the matrix would have more than ``most_cells`` cells or a text is null."""
 
     def one(x: str | None, y: str | None) -> list[dict] | None:
-        found = edit_script(x, y) if x is not None and y is not None else None
+        found = edit_script(x, y, most_cells) if x is not None and y is not None else None
         return None if found is None else [dict(zip(("op", "a", "b"), s)) for s in found]
 
     @F.pandas_udf("array<struct<op:string,a:string,b:string>>")
@@ -128,7 +147,8 @@ def tfidf_weights(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     large, by a shuffle.
     """
     counts = term_frequencies(df, text, key)
-    often = document_frequencies(df, text)
+    # Frequencies are wanted three times and counted once.
+    often = staged(document_frequencies(df, text), "frequencies")
     bar = often.agg(F.floor(F.coalesce(F.sum("df"), F.lit(0)) / F.lit(HOT_TERMS)).alias("__bar"))
     model = _idf(df, text, often).join(F.broadcast(bar)).withColumn("__hot", F.col("df") > F.col("__bar")).drop("__bar")
     hot = model.where("__hot").select("term", F.col("df").alias("__df"), F.col("idf").alias("__idf"))

@@ -13,6 +13,7 @@ from ..operators import analytics as an
 from ..operators import counters as co
 from ..operators import dictionary as di
 from ..operators import index as ix
+from ..operators import links as li
 from ..operators import matching as ma
 from ..operators import multi_pattern as mp
 from ..operators import statistics as stt
@@ -602,6 +603,18 @@ def similarity_counters(spark, t):
     return co.similarity_counters(_neighbours(t))
 
 
+@query(
+    f"""WITH RECURSIVE {_TERMS}, v AS (SELECT doc_id, sum(cnt * cnt)::HUGEINT AS s FROM cnt GROUP BY doc_id),
+    dot AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.cnt * b.cnt)::HUGEINT AS d FROM cnt a JOIN cnt b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY ALL),
+    link AS MATERIALIZED (SELECT dot.a, dot.b FROM dot JOIN v x ON x.doc_id = dot.a JOIN v y ON y.doc_id = dot.b WHERE 25 * d * d >= 16 * x.s * y.s),
+    reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+    SELECT doc_id, (SELECT count(*) FROM link WHERE link.a = doc_id) AS n_links, (SELECT min(b) FROM reach WHERE reach.a = doc_id) AS component_id FROM documents"""
+)
+def similar_documents(spark, t):
+    """Documents linked by a cosine of 0.8 or more, out of all pairs."""
+    return li.similar_documents(t("documents"))
+
+
 # Statistics
 
 
