@@ -6,7 +6,9 @@ fields of one of the known encodings with nested lengths that fill each other ex
 signed tokens must have a decodable header that names an algorithm, and other encoded
 text must hold a base pattern or something confirmed itself, at any depth.  Candidates
 have at least the length that the shortest base pattern of 12 bytes has when encoded; a
-run broken by line ends is as many candidates, except within the armour of a key.
+run broken by line ends is as many candidates, except within the armour of a key.  The
+signs ``/ _ -`` may be part of base64 or stand before it, so a run is read from its
+beginning, behind each of these, and shifted by one to three signs.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ _ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
 _END = re.compile(r"-----END [A-Z0-9 ]*-----")
 _HEADER = re.compile(r"[\x20\t]*([A-Za-z0-9-]+):[\x20\t]*(.*)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_SEPARATOR = re.compile(r"[/_-]+")
 _LONG_HEX = re.compile(r"[0-9A-Fa-f]{24,}")
 
 
@@ -83,6 +86,9 @@ def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     return out
 
 
+#: Object identifiers of password-based encryption (PKCS #5 and #12), their last numbers behind a common beginning.
+_ENCRYPTION = {bytes.fromhex("2a864886f70d0105"): (1, 3, 4, 6, 10, 11, 13), bytes.fromhex("2a864886f70d010c01"): (1, 2, 3, 4, 5, 6)}
+
 # Tags of the encodings of keys.
 _INTEGER, _BITS, _OCTETS, _OBJECT, _SEQUENCE, _FIRST, _SECOND = 0x02, 0x03, 0x04, 0x06, 0x30, 0xA0, 0xA1
 
@@ -101,8 +107,8 @@ def _nests(data: bytes, at: int, end: int) -> bool:
 def is_private_key(data: bytes) -> bool:
     """Whether bytes are a private key of one of the known encodings, all nested lengths filled exactly.
 
-    These are: version, algorithm identifier and octets (PKCS #8); the same encrypted,
-    without version; version and nine integers or more (RSA) or five (DSA); version 1,
+    These are: version, algorithm identifier and octets (PKCS #8); an identifier of
+    password-based encryption and octets (the same encrypted); version and nine integers or more (RSA) or five (DSA); version 1,
     octets and tagged parameters (EC); and OpenSSH's own.
     """
     if data.startswith(b"openssh-key-v1\0"):
@@ -114,7 +120,7 @@ def is_private_key(data: bytes) -> bool:
     tags = [f[0] for f in fields]
     named = lambda f: data[f[1] : f[1] + 1] == bytes([_OBJECT]) and (_header(data, f[1], f[2]) or (0, 0, 0))[2] > f[1] + 2
     if tags == [_SEQUENCE, _OCTETS]:
-        return named(fields[0]) and fields[1][2] - fields[1][1] >= 16
+        return named(fields[0]) and _is_encryption(data, fields[0][1], fields[0][2]) and fields[1][2] - fields[1][1] >= 16
     if len(tags) < 3 or tags[0] != _INTEGER or fields[0][2] - fields[0][1] != 1:
         return False
     version = data[fields[0][1]]
@@ -129,6 +135,12 @@ def is_private_key(data: bytes) -> bool:
     return rsa and version <= 1 and min(whole) >= 1 and whole[0] >= 32
 
 
+def _is_encryption(data: bytes, at: int, end: int) -> bool:
+    """Whether an algorithm identifier is one of encryption by a password; a digest's, say, is not."""
+    _, start, stop = _header(data, at, end)
+    return data[stop - 1] in _ENCRYPTION.get(data[start : stop - 1], ())
+
+
 def _is_openssh_key(data: bytes) -> bool:
     """Cipher, key derivation and its options, a number of keys, as many public keys, and the private part, which ends the data."""
     at, fields = len(b"openssh-key-v1\0"), []
@@ -251,15 +263,57 @@ def _decoded(text: str, pattern: re.Pattern, taken: list[tuple[int, int, str]])
         if k < len(taken) and taken[k][0] < m.end():
             continue
         run = m.group()
-        if pattern is _LONG_HEX:
-            data = bytes.fromhex(run) if len(run) % 2 == 0 else None
+        if pattern is _BASE64:
+            kind = _held_in_base64(run)
         else:
-            data = decode_base64(run)
-        kind = None if data is None else "key" if is_private_key(data) else "encoded" if _holds_secret(data) else None
+            data = bytes.fromhex(run) if len(run) % 2 == 0 else b""
+            kind = "key" if is_private_key(data) else "encoded" if _holds_secret(data) else None
         if kind:
             yield m.start(), m.end(), kind
 
 
+def _quads(run: str) -> bytes:
+    """What a run without padding decodes to, but for a last sign that fills no byte."""
+    return decode_base64(run[:-1] if len(run) % 4 == 1 else run) or b""
+
+
+def _held_in_base64(run: str) -> str | None:
+    """The kind of what a run of base64 signs holds.
+
+    A path or a name in front belongs to the run, as their signs are those of base64.  So
+    beside the whole run, what begins behind a separator is read as a key whose length
+    it tells, and as text; and the run is read from each of its first four signs, as
+    wherever an encoding begins, one of these falls on its groups.
+    """
+    run = run.rstrip("=")
+    whole = _quads(run)
+    if is_private_key(whole):
+        return "key"
+    begins = [m.end() for m in _SEPARATOR.finditer(run)]
+    for at in begins:
+        if run[at : at + 1] == "M" and len(run) - at >= 16:  # a sequence
+            top = _length(_quads(run[at : at + 8]))
+            signs = -(-top * 4 // 3)
+            if top and signs <= len(run) - at and is_private_key(_quads(run[at : at + signs])):
+                return "key"
+    if _holds_secret(whole):
+        return "encoded"
+    for at, end in zip(begins, [*(b - 1 for b in begins[1:]), len(run)]):
+        if at % 4 and end - at >= 16 and _holds_secret(_quads(run[at:end])):
+            return "encoded"
+    return "encoded" if any(base_spans(_quads(run[k:]).decode("utf-8", "replace")) for k in (1, 2, 3)) else None
+
+
+def _length(data: bytes) -> int:
+    """Bytes of the element that begins here; 0 if none does."""
+    if len(data) < 6:
+        return 0
+    size, n = data[1], data[1] & 0x7F
+    if size < 0x80:
+        return 2 + size
+    return 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 else 0
+
+
 def _beside(taken: list[tuple[int, int, str]], more: Iterator[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Both in order, without those of the second, in order themselves, that meet one of the first."""
     out, k = list(taken), 0
