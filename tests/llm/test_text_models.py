@@ -97,7 +97,7 @@ def armoured(name, data, headers=(), check=""):
 
 RSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([1 + k]) * n) for k, n in enumerate((64, 3, 64, 32, 32, 32, 32, 32))))
 EC = der(0x30, der(2, b"\1") + der(4, bytes(range(32))) + der(0xA0, der(6, b"\x2a\x86\x48\xce")) + der(0xA1, der(3, bytes(66))))
-SEALED = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7") + der(0x30, der(6, b"\x2a\x86"))) + der(4, bytes(64)))
+SEALED = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, der(6, b"\x2a\x86"))) + der(4, bytes(64)))
 OPENSSH = b"openssh-key-v1\0" + ssh(b"none", b"none", b"") + (1).to_bytes(4, "big") + ssh(b"public", b"private part")
 PGP = bytes([0x95, 0, 40, 4]) + bytes(39) + bytes([0xB4, 5]) + b"a user"[:5]
 
