@@ -55,8 +55,13 @@ def lines(text: Column) -> Column:
 
 
 def trim(text: Column) -> Column:
-    """Without white space of any script at both ends."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    """Without white space of any script at both ends; a text of ASCII has six kinds of it and needs no pattern."""
+    return F.when(F.octet_length(text) == F.length(text), F.btrim(text, F.lit(" \t\n\x0b\f\r"))).otherwise(F.regexp_replace(text, EDGE_SPACE, ""))
+
+
+def has_text(text: Column) -> Column:
+    """Whether a text is more than white space of any script."""
+    return F.rlike(text, F.lit(r"(?U)[^\s\x{FEFF}]"))
 
 
 def split_documents(text: Column) -> Column:

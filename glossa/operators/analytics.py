@@ -275,12 +275,6 @@ def query_postings(df: DataFrame, query: str, text: str = "text", key: str = "do
 # Similarity
 
 
-def _squares(ordered: str, starts: str) -> Column:
-    """Sum of the squared lengths of the runs of a column of sorted arrays."""
-    lengths = F.transform(starts, lambda at, k: F.coalesce(F.get(starts, k + 1), F.size(ordered)) - at)
-    return F.aggregate(lengths, F.lit(0).cast("long"), lambda s, n: s + n.cast("long") * n)
-
-
 def similarity(df: DataFrame, text_a: str = "text", text_b: str = "textB", method: str = "cosine") -> DataFrame:
     """``df`` with ``score`` by ``method``, all four measures, shared and one-sided terms, contributions and token counts.
 
@@ -290,18 +284,21 @@ def similarity(df: DataFrame, text_a: str = "text", text_b: str = "textB", metho
     """
     if method not in METHODS:
         raise ValidationError(f"unknown method {method!r}; one of {', '.join(METHODS)}")
-    # Tokens, their runs and the runs of both sides together; each is a column of its own, so none is computed twice.
     rows = df.withColumns({"__a": tokens(F.col(text_a), remove_stop_words=True), "__b": tokens(F.col(text_b), remove_stop_words=True)})
     rows = rows.withColumns({"__da": F.array_distinct("__a"), "__db": F.array_distinct("__b")})
-    rows = rows.withColumns({"__oa": F.sort_array("__a"), "__ob": F.sort_array("__b"), "__oc": F.sort_array(F.concat("__a", "__b"))})
-    rows = rows.withColumns({f"__s{x}": _run_starts(f"__o{x}") for x in "abc"})
-    rows = rows.withColumns({f"__n{x}": _squares(f"__o{x}", f"__s{x}") for x in "abc"} | {f"__r{x}": _runs(f"__o{x}", f"__s{x}") for x in "ab"})
-    marked = lambda runs, side: F.transform(runs, lambda r: F.struct(r["term"].alias("term"), F.lit(side).alias("side"), r["cnt"].alias("cnt")))
-    rows = rows.withColumn("__m", F.sort_array(F.concat(marked("__ra", 0), marked("__rb", 1))))
-    # A shared term's two runs are neighbours.
-    before = lambda i: F.get("__m", i - 1)
-    meet = F.transform("__m", lambda r, i: F.when((i > 0) & (before(i)["term"] == r["term"]), F.struct((-before(i)["cnt"] * r["cnt"]).alias("less"), r["term"].alias("term"))))
-    products = F.transform(F.sort_array(F.filter(meet, lambda x: x.isNotNull())), lambda x: F.struct((-x["less"]).alias("product"), x["term"].alias("term")))
+    # Tokens of both sides are sorted together, each with the mark of its side, which no token has; a shared
+    # term's two runs are neighbours.  Each step is a column of its own, so none is computed twice.
+    marked = lambda side, mark: F.transform(side, lambda t: F.concat(t, F.lit(mark)))
+    rows = rows.withColumn("__o", F.sort_array(F.concat(marked("__a", "\x01"), marked("__b", "\x02")))).withColumn("__s", _run_starts("__o"))
+    first = lambda r: F.endswith(r["term"], F.lit("\x01"))
+    rows = rows.withColumn("__r", _runs("__o", "__s"))
+    bare = lambda r: F.substring(r["term"], F.lit(1), F.length(r["term"]) - 1)
+    before = lambda i: F.get("__r", i - 1)
+    meets = lambda r, i: (i > 0) & ~first(r) & (before(i)["term"] == F.concat(bare(r), F.lit("\x01")))
+    rows = rows.withColumn("__m", F.filter(F.transform("__r", lambda r, i: F.when(meets(r, i), F.struct((-before(i)["cnt"] * r["cnt"]).alias("less"), bare(r).alias("term")))), lambda x: x.isNotNull()))
+    products = F.transform(F.sort_array("__m"), lambda x: F.struct((-x["less"]).alias("product"), x["term"].alias("term")))
+    zero = F.lit(0).cast("long")
+    squares = lambda side: F.aggregate("__r", zero, lambda s, r: s + F.when(first(r) == F.lit(side), r["cnt"] * r["cnt"]).otherwise(zero))
     rows = rows.withColumns(
         {
             "sharedTerms": F.array_intersect("__da", "__db"),
@@ -311,13 +308,12 @@ def similarity(df: DataFrame, text_a: str = "text", text_b: str = "textB", metho
             "__both": F.size(F.array_intersect("__da", "__db")),
         }
     )
-    # Counts of both sides together have the squares of each and twice the product.
-    dot = (F.col("__nc") - F.col("__na") - F.col("__nb")) / 2
+    dot, length = -F.aggregate("__m", zero, lambda s, x: s + x["less"]), F.sqrt((squares(True) * squares(False)).cast("double"))
     both, a, b = F.col("__both"), F.size("__da"), F.size("__db")
     ratio = lambda up, down: F.when(down > 0, up / down).otherwise(F.lit(0.0))
     rows = rows.withColumns(
         {
-            "cosine": ratio(dot, F.sqrt((F.col("__na") * F.col("__nb")).cast("double"))),
+            "cosine": ratio(dot, length),
             "jaccard": ratio(both, a + b - both),
             "dice": ratio(2 * both, a + b),
             "overlap": ratio(both, F.least(a, b)),

@@ -429,6 +429,29 @@ def preprocess_pipeline(spark, t):
     return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.col("r.before.chars").alias("before"), F.col("r.after.chars").alias("after"))
 
 
+def _details_sql() -> str:
+    with_, last = [], "documents"
+    for k, flag in enumerate(_ALL):
+        with_.append(f"s{k} AS (SELECT doc_id, {_P[flag].replace('{0}', 'text')} AS text FROM {last})")
+        last = f"s{k}"
+    words, count = (lambda t: f"len(regexp_extract_all({t}.text, '\\S+'))"), (lambda t: f"(CASE WHEN {t}.text = '' THEN 0 ELSE len(string_split({t}.text, chr(10))) END)")
+    marks = f"length(s0.text) - length(translate(s0.text, '{pp.PUNCTUATION.replace(chr(39), chr(39) * 2)}', ''))"
+    amounts = [
+        r"len(regexp_extract_all(documents.text, '[A-Z\x{00C0}-\x{00DE}]'))", marks, f"greatest(0, {words('s1')} - {words('s2')})", "length(s2.text) - length(s3.text)",
+        f"{count('s3')} - {count('s4')}", f"{count('s4')} - {count('s5')}", words("s6"),
+    ]
+    units = [pp.STAGES[f][3] for f in _ALL]
+    listed = " || '; ' || ".join(f"format('{{:,}}', ({a})::BIGINT) || ' {u}'" for a, u in zip(amounts, units))
+    return f"WITH {', '.join(with_)} SELECT doc_id, {listed} AS details FROM documents " + " ".join(f"JOIN s{k} USING (doc_id)" for k in range(len(_ALL)))
+
+
+@query(_details_sql())
+def preprocess_details(spark, t):
+    """What each stage of the chain counted."""
+    rows = pp.preprocess(t("documents").select("doc_id", "text"), _ALL, report="r")
+    return rows.select("doc_id", F.array_join(F.transform("r.steps", lambda s: s["detail"]), "; ").alias("details"))
+
+
 @query("SELECT doc_id, line::INT AS line, text FROM (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS text FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents))")
 def split_documents(spark, t):
     return t("documents").select("doc_id", F.posexplode(tx.split_documents(F.col("text"))).alias("line", "text"))
