@@ -18,7 +18,7 @@ from ..operators import matching as ma
 from ..operators import multi_pattern as mp
 from ..operators import statistics as stt
 from ..operators import structures as st
-from ..sources import files, scratch, workloads
+from ..sources import csv_table, files, scratch, workloads
 from . import benchmark, dashboard, recommender, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -684,6 +684,15 @@ def preview(spark, t):
     return files.preview(t("documents"), 100, 100).select("doc_id", "preview", "total", "hasMore")
 
 
+@query()
+def csv_round_trip(spark, t):
+    """The documents written as CSV to a new folder and read again by blocks; it writes files, so it has no SQL."""
+    path = scratch.new_folder(spark, "csv")
+    files.export_csv([t("documents").select("doc_id", "source", "text")], path)
+    back = csv_table.csv_table(spark, path)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 # Measurements: events stand in for runs, their types for algorithms
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.preprocess import preprocess
 from ..functions.text import raw_words, split_documents, trim
 from ..operators.matching import ValidationError
+from .csv_table import csv_table, split_rows
 
 #: Most characters of one content, bytes of one uploaded file, rows of a pasted table, rows of a payload that is handed out.
 MOST_CHARACTERS, MOST_BYTES, MOST_ROWS, MOST_PAYLOAD = 5_000_000, 10 * 1024 * 1024, 200_000, 50_000
@@ -52,36 +53,10 @@ def read_text(spark: SparkSession, path: str, upload: bool = False) -> DataFrame
 
 def parse_csv(content: str) -> list[list[str]]:
     """Rows of a pasted table: quotes open anywhere in a field, doubled ones stand for one; rows of blanks alone are left out."""
-    rows: list[list[str]] = []
-    row, cell, quoted, k = [], [], False, 0
-    while k < len(content):
-        c = content[k]
-        if quoted:
-            if c == '"' and content[k + 1 : k + 2] == '"':
-                cell.append(c)
-                k += 1
-            elif c == '"':
-                quoted = False
-            else:
-                cell.append(c)
-        elif c == '"':
-            quoted = True
-        elif c in ",\n\r":
-            row.append("".join(cell))
-            cell = []
-            if c != ",":
-                k += c == "\r" and content[k + 1 : k + 2] == "\n"
-                rows.append(row)
-                row = []
-        else:
-            cell.append(c)
-        k += 1
-    if cell or row:
-        rows.append([*row, "".join(cell)])
-    kept = [r for r in rows if any(x.strip() for x in r)]
-    if len(kept) > MOST_ROWS:
+    rows = split_rows(content)
+    if len(rows) > MOST_ROWS:
         raise ValidationError(f"the table has more than {MOST_ROWS:,} rows")
-    return kept
+    return rows
 
 
 def pasted_csv(spark: SparkSession, content: str, column: str | None = None) -> DataFrame:
@@ -102,13 +77,12 @@ def pasted_csv(spark: SparkSession, content: str, column: str | None = None) ->
 def read_csv(spark: SparkSession, path: str, column: str | None = None, upload: bool = False) -> DataFrame:
     """``text``: one document per row, from the named column or the one with the longest values on average.
 
-    Fields may be quoted, quotes in them doubled, and hold line breaks, which become
-    spaces; header names are trimmed; blank values are left out.
+    Quoting is that of pasted tables; line breaks within fields become spaces; header
+    names are trimmed; blank values are left out.  A large file is read by many tasks.
     """
     if upload:
         check_upload(spark, path)
-    table = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    table = table.toDF(*[c.strip() for c in table.columns])
+    table = csv_table(spark, path)
     name = column if column is not None else longest_column(table)
     if name not in table.columns:
         raise ValidationError(f"no column {name!r}; there are {', '.join(table.columns)}")
@@ -164,7 +138,7 @@ def export_csv(frames: list[DataFrame], path: str) -> None:
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    out.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    out.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def export_json(df: DataFrame, path: str) -> None:
