@@ -719,22 +719,27 @@ def reproducibility_cv(spark, t):
     return out.select("user_id", "event_type", "runs", *[F.round(c, 6).alias(c) if c in ("mean", "stdev", "cv") else F.col(c) for c in ("mean", "stdev", "min", "max", "cv")])
 
 
-@query("SELECT o_orderstatus AS row, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END)::BIGINT AS urgent, sum(CASE WHEN o_orderpriority = '5-LOW' THEN 1 END)::BIGINT AS low FROM orders GROUP BY 1")
+# All values of the columns that the pivots spread.
+_PRIORITIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query("SELECT o_orderstatus AS row, " + ", ".join(f"sum(CASE WHEN o_orderpriority = '{p}' THEN 1 END)::BIGINT AS {n}" for p, n in _PRIORITIES.items()) + " FROM orders GROUP BY 1")
 def stress_pivot(spark, t):
-    out = stt.matrix(t("orders"), "o_orderstatus", "o_orderpriority", "o_orderkey", ["1-URGENT", "5-LOW"], "count")
-    return out.select(F.col("o_orderstatus").alias("row"), F.col("1-URGENT").alias("urgent"), F.col("5-LOW").alias("low"))
+    out = stt.matrix(t("orders"), "o_orderstatus", "o_orderpriority", "o_orderkey", list(_PRIORITIES), "count")
+    return out.select(F.col("o_orderstatus").alias("row"), *[F.col(p).alias(n) for p, n in _PRIORITIES.items()])
 
 
 @query(
-    """WITH l AS (SELECT o_custkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS p FROM orders)
-    SELECT o_orderpriority AS label, max(CASE WHEN c_mktsegment = 'BUILDING' THEN o_totalprice END) AS building, max(CASE WHEN c_mktsegment = 'MACHINERY' THEN o_totalprice END) AS machinery FROM l JOIN customer ON o_custkey = c_custkey WHERE p = 1 GROUP BY 1"""
+    f"""WITH l AS (SELECT o_custkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS p FROM orders)
+    SELECT o_orderpriority AS label, {', '.join(f"max(CASE WHEN c_mktsegment = '{s}' THEN o_totalprice END) AS {s.lower()}" for s in _SEGMENTS)} FROM l JOIN customer ON o_custkey = c_custkey WHERE p = 1 GROUP BY 1"""
 )
 def experiment_compare_pivot(spark, t):
     """The latest run of each experiment, pivoted: orders of customers by segment."""
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
     latest = t("orders").withColumn("p", place).where("p = 1").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    out = stt.matrix(latest, "o_orderpriority", "c_mktsegment", "o_totalprice", ["BUILDING", "MACHINERY"], "max")
-    return out.select(F.col("o_orderpriority").alias("label"), F.col("BUILDING").alias("building"), F.col("MACHINERY").alias("machinery"))
+    out = stt.matrix(latest, "o_orderpriority", "c_mktsegment", "o_totalprice", list(_SEGMENTS), "max")
+    return out.select(F.col("o_orderpriority").alias("label"), *[F.col(s).alias(s.lower()) for s in _SEGMENTS])
 
 
 # Relational patterns of the store: customers stand in for datasets and experiments, orders for versions and runs
@@ -843,9 +848,9 @@ def runs_by_dataset(spark, t):
     return dashboard.runs_by_dataset(_entries(t), _experiments(t), datasets)
 
 
-@query('SELECT l_orderkey AS run_id, max(CASE WHEN l_linenumber = 1 THEN l_extendedprice END) AS a1, max(CASE WHEN l_linenumber = 2 THEN l_extendedprice END) AS a2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1')
+@query("SELECT l_orderkey AS run_id, " + ", ".join(f"max(CASE WHEN l_linenumber = {k} THEN l_extendedprice END) AS a{k}" for k in range(1, 8)) + ' FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1')
 def run_matrix(spark, t):
-    return dashboard.run_matrix(_entries(t), ["a1", "a2"], "max")
+    return dashboard.run_matrix(_entries(t), [f"a{k}" for k in range(1, 8)], "max")
 
 
 @query(
@@ -871,9 +876,9 @@ def category_rollup(spark, t):
     return registry.categories(spark).select("category", "count", F.array_join("algorithms", ",").alias("algorithms"))
 
 
-@query("SELECT event_type AS algorithm, extract('hour' FROM ts)::INT AS size, value AS runtime FROM events WHERE event_type IN ('view', 'click') AND value IS NOT NULL")
+@query("SELECT event_type AS algorithm, extract('hour' FROM ts)::INT AS size, value AS runtime FROM events WHERE value IS NOT NULL")
 def performance_trend(spark, t):
-    return t("events").where(F.col("event_type").isin("view", "click") & F.col("value").isNotNull()).select(F.col("event_type").alias("algorithm"), F.hour("ts").alias("size"), F.col("value").alias("runtime"))
+    return t("events").where(F.col("value").isNotNull()).select(F.col("event_type").alias("algorithm"), F.hour("ts").alias("size"), F.col("value").alias("runtime"))
 
 
 @query("SELECT c_custkey AS experiment_id, c_name AS experiment, c_mktsegment AS mode, o_orderkey AS run_id, l_linenumber AS entry, l_extendedprice AS runtime FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey")
