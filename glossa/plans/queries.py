@@ -19,6 +19,7 @@ from ..operators import multi_pattern as mp
 from ..operators import statistics as stt
 from ..operators import structures as st
 from ..sources import csv_table, files, scratch, workloads
+from ..streaming import overviews
 from . import benchmark, dashboard, recommender, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +35,11 @@ def query(sql: str | None = None) -> Callable:
 
     def wrap(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            def read(name: str) -> DataFrame:
+                return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+            read.folder = sf_dir
+            return f(spark, read)
 
         QUERIES[f.__name__] = run
         if sql:
@@ -867,6 +872,21 @@ def scaling_series(spark, t):
     return benchmark.scaling_series(points, "g").select("k", "l", "t", F.round("theoretical", 3).alias("theoretical"))
 
 
+@query()
+def streamed_overview(spark, t):
+    """Overview of all events by type, kept by a stream in a new folder; it writes files, so it has no SQL."""
+    # As a pattern, since a stream reads folders or patterns, and the table may be one file.
+    source = spark.readStream.schema(t("events").schema).parquet(f"{t.folder}/events.parque[t]")
+    one = F.lit(1)
+    overview = overviews.Overview(
+        ["event_type"],
+        {"runs": (one, "sum"), "measured": (F.when(F.col("value").isNotNull(), one).otherwise(0), "sum"), "total": (F.col("value"), "sum"), "least": (F.col("value"), "min"), "most": (F.col("value"), "max"), "latest": (F.struct("ts", "event_id"), "max")},
+    )
+    folder = scratch.new_folder(spark, "overview")
+    overviews.keep(source, overview, folder).awaitTermination()
+    return overviews.kept(spark, overview, folder).select("event_type", "runs", "measured", "total", "least", "most", F.col("latest.event_id").alias("latest_id"))
+
+
 @query(
     "SELECT category, count(*) AS count, string_agg(id, ',' ORDER BY id) AS algorithms FROM (VALUES "
     + ", ".join(f"('{k}', '{v[1]}')" for k, v in registry.META.items())
