@@ -103,6 +103,19 @@ def test_query_equals_sql(spark, name):
     _compare(spark, name)
 
 
+@pytest.mark.parametrize("name", ["naive_counters", "rabin_karp_hits"])
+def test_counters_of_short_texts(spark, tmp_path, name):
+    """A text that is shorter than the pattern has a row in SQL too."""
+    import duckdb
+
+    rows = [(1, "A."), (2, ""), (3, None), (4, "the"), (5, "thermal the")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(queries.ORACLE_SQL[name]).fetchall()) and len(got) == 5
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
 def test_other_queries_run(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
