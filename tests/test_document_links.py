@@ -50,6 +50,24 @@ def test_equals_all_pairs(spark, num, den):
     assert found(spark, rows, num, den) == brute(rows, num, den)
 
 
+def test_links_never_become_rows(spark, monkeypatch):
+    """Of 300 documents that are all linked, no table has a row a link; small blocks make many pairs of blocks."""
+    sizes = []
+
+    def counted(df, name, staged=li.staged):
+        out = staged(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(li, "staged", counted)
+    monkeypatch.setattr(li, "BLOCK_VECTORS", 32)
+    monkeypatch.setattr(li, "AT_ONCE", 16)
+    word = lambda i: "x" + "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, f"ash birch cedar elm fir oak pine yew larch {word(i)}") for i in range(300)]
+    assert found(spark, rows, 4, 5) == {i: (299, 0) for i in range(300)}
+    assert max(sizes) < 10_000
+
+
 def test_nothing_to_link(spark):
     assert found(spark, [], 4, 5) == {}
     assert found(spark, [(1, "ash"), (2, "oak")], 4, 5) == {1: (0, 1), 2: (0, 2)}
