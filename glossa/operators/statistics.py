@@ -108,6 +108,16 @@ def reproducibility(df: DataFrame, value: str, *by: str) -> DataFrame:
 
 
 def matrix(df: DataFrame, row: str, column: str, value: str, columns: list[str], how: str = "first") -> DataFrame:
-    """One row per ``row``, a column for each of ``columns``; naming them spares the pass that would find them."""
-    chosen = {"first": F.first, "sum": F.sum, "avg": F.avg, "max": F.max, "count": F.count}[how]
-    return df.groupBy(row).pivot(column, columns).agg(chosen(value))
+    """One row per ``row``, a column for each of ``columns``; naming them spares the pass that would find them.
+
+    All columns are one aggregate by ``row``; what no row has is null, a count too.
+    """
+
+    def cell(name: str) -> Column:
+        here = F.col(column) == F.lit(name)
+        if how == "first":  # a null that comes first counts
+            return F.first(F.when(here, F.struct(F.col(value).alias("v"))), ignorenulls=True)["v"]
+        chosen = {"sum": F.sum, "avg": F.avg, "max": F.max, "count": F.count}[how](F.when(here, F.col(value)))
+        return F.when(F.count_if(here) > 0, chosen) if how == "count" else chosen
+
+    return df.groupBy(row).agg(*[cell(name).alias(str(name)) for name in columns])

@@ -3,6 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from glossa.operators import statistics
 from glossa.operators.matching import ValidationError
 from glossa.plans import benchmark, experiments, queries, recommender, registry
 from glossa.plans.registry import Input, execute
@@ -121,6 +122,22 @@ def test_other_queries_run(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_run_matrix_is_one_aggregate(spark):
+    rows = [(1, "a", 2.0), (1, "a", 3.0), (1, "b", None), (2, "c", 5.0), (None, "b", 7.0)]
+    df = spark.createDataFrame(rows, "run_id int, algorithmId string, runtimeMs double")
+    out = {how: {r[0]: tuple(r)[1:] for r in statistics.matrix(df, "run_id", "algorithmId", "runtimeMs", ["a", "b"], how).collect()} for how in ("max", "sum", "avg", "count")}
+    assert out["max"] == {1: (3.0, None), 2: (None, None), None: (None, 7.0)}
+    assert out["sum"][1] == (5.0, None) and out["avg"][1] == (2.5, None) and out["count"] == {1: (2, 0), 2: (None, None), None: (None, 1)}
+    first = statistics.matrix(df.where("runtimeMs is null or runtimeMs > 2"), "run_id", "algorithmId", "runtimeMs", ["a", "b"])
+    assert {tuple(r) for r in first.collect()} == {(1, 3.0, None), (2, None, None), (None, None, 7.0)}
+    plan = _plan(queries.QUERIES["run_matrix"](spark, SF))
+    assert "pivotfirst" not in plan and f", {queries._ENTRY_PARTS})" in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 30
     assert set(entry.oracle_sql()) <= set(entry.queries())
