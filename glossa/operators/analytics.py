@@ -13,6 +13,8 @@ from .matching import ValidationError
 
 # Most cells of a full edit matrix, and of any.
 FULL_MATRIX, MOST_CELLS = 4_000_000, 100_000_000
+#: Cells up to which a matrix of lists is quicker than arrays.
+SMALL_MATRIX = 4096
 METHODS = ("cosine", "jaccard", "dice", "overlap")
 #: Terms that may be too frequent for one task to join, at most.
 HOT_TERMS = 1 << 15
@@ -37,6 +39,35 @@ def _next_row(row: np.ndarray, differ: np.ndarray, slope: np.ndarray) -> np.ndar
     return np.minimum.accumulate(out - slope) + slope  # insertions run along the row
 
 
+def _small_script(a: str, b: str) -> list[tuple[str, str, str]]:
+    """The same path out of a whole matrix of lists, which short texts are done with before an array is made."""
+    rows = [list(range(len(b) + 1))]
+    for c in a:
+        above, left = rows[-1], rows[-1][0] + 1
+        row = [left]
+        for d, corner, up in zip(b, above, above[1:]):
+            if c != d:
+                corner += 1
+            if up < left:
+                left = up
+            left = corner if corner <= left else left + 1
+            row.append(left)
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
+    while i or j:
+        cost = rows[i][j]
+        if i and j and cost == rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+            i, j = i - 1, j - 1
+            out.append(("match" if a[i] == b[j] else "substitute", a[i], b[j]))
+        elif i and cost == rows[i - 1][j] + 1:
+            i -= 1
+            out.append(("delete", a[i], ""))
+        else:
+            j -= 1
+            out.append(("insert", "", b[j]))
+    return out[::-1]
+
+
 def edit_script(a: str, b: str, most_cells: int | None = FULL_MATRIX) -> list[tuple[str, str, str]] | None:
     """(op, a, b) of an optimal script, diagonal steps preferred, then deletions; None above ``most_cells`` cells.
 
@@ -47,6 +78,8 @@ def edit_script(a: str, b: str, most_cells: int | None = FULL_MATRIX) -> list[tu
     n, m = len(a), len(b)
     if most_cells is not None and (n + 1) * (m + 1) > most_cells:
         return None
+    if (n + 1) * (m + 1) <= SMALL_MATRIX:
+        return _small_script(a, b)
     x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
     slope = np.arange(m + 1, dtype=np.int32)
     stride = max(1, int(np.sqrt(n + 1)))

@@ -68,6 +68,14 @@ def test_links_never_become_rows(spark, monkeypatch):
     assert max(sizes) < 10_000
 
 
+def test_short_scripts_are_those_of_arrays(monkeypatch):
+    rng = random.Random(4)
+    pairs = [tuple("".join(rng.choices("abc", k=rng.randrange(12))) for _ in range(2)) for _ in range(400)]
+    short = [an.edit_script(a, b) for a, b in pairs]
+    monkeypatch.setattr(an, "SMALL_MATRIX", 0)
+    assert short == [an.edit_script(a, b) for a, b in pairs]
+
+
 def test_nothing_to_link(spark):
     assert found(spark, [], 4, 5) == {}
     assert found(spark, [(1, "ash"), (2, "oak")], 4, 5) == {1: (0, 1), 2: (0, 2)}
