@@ -138,6 +138,15 @@ def test_run_matrix_is_one_aggregate(spark):
     assert "pivotfirst" not in plan and f", {queries._ENTRY_PARTS})" in plan
 
 
+def test_scaling_series_shuffles_no_points(spark):
+    """An algorithm's constant comes to its points, however large the tables are."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in _plan(queries.QUERIES["scaling_series"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 30
     assert set(entry.oracle_sql()) <= set(entry.queries())
