@@ -3,14 +3,18 @@
 A term's postings are cut into blocks of CELL neighbouring document ids, so no block
 grows with the corpus and blocks of one cell, whatever their terms, can be merged on
 their own.  A block has its postings as offsets to the cell's first id, with their
-counts and places, and the largest count as a bound.  Blocks are sorted by term, so a
-query reads the row groups of its terms only.
+counts and places, and the largest count as a bound.  A file has the blocks of some
+neighbouring cells, sorted by term, so a query reads the row groups of its terms only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ CELL = 4096
 FIRST_CELLS = 64
 #: Rows of a row group are few, so that a term's blocks are found by the group's least and largest term.
 GROUP_BYTES = 4 << 20
+#: Files that an index has at most.
+MOST_FILES = 512
 
 
 @dataclass(frozen=True)
@@ -37,18 +43,46 @@ class Index:
         return self.blocks.where(F.col("term").isin(terms or [""]))
 
 
+def _packed(postings: DataFrame) -> DataFrame:
+    """Blocks out of ``term, cell, offset, tf, positions``, whose partitions are sorted and hold a cell's postings together."""
+
+    def blocks(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        term, cell, offset, tf, positions = rows.columns
+        ends = np.append(starts, len(rows))
+        several = lambda c: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), c)
+        first, counts = pa.array(starts), np.asarray(tf)
+        columns = [term.take(first), cell.take(first), pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(counts, starts)), pa.array(np.add.reduceat(counts, starts)), several(offset), several(tf), several(positions)]
+        return pa.RecordBatch.from_arrays(columns, ["term", "cell", "n", "top", "total", "offsets", "counts", "positions"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            if not len(rows):
+                continue
+            new = [np.asarray(pc.not_equal(c[1:], c[:-1])) for c in rows.columns[:2]]
+            starts = np.append(0, np.flatnonzero(new[0] | new[1]) + 1)
+            held = rows.slice(starts[-1])  # the last block may go on
+            if len(starts) > 1:
+                yield blocks(rows.slice(0, starts[-1]), starts[:-1])
+        if held is not None:
+            yield blocks(held, np.zeros(1, np.int64))
+
+    return postings.mapInArrow(run, "term string, cell long, n long, top long, total long, offsets array<int>, counts array<long>, positions array<array<int>>")
+
+
 def build_index(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> Index:
     """Write the index of ``df``, whose keys are whole numbers and unique, to ``path`` and open it.
 
     Documents without terms have no postings; rows with a null key or text are left out.
+    Documents are dealt to files by cells, so that postings need no shuffle of their own.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text"))
     cell = F.floor(F.col("__id") / CELL)
-    entry = F.struct((F.col("__id") - cell * CELL).cast("int").alias("offset"), "tf", "positions")
-    found = inverted_index(rows, "__text", "__id").groupBy("term", cell.alias("cell")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    part = lambda c: F.transform("e", lambda x: x[c])
-    blocks = found.select("term", "cell", F.size("e").cast("long").alias("n"), F.array_max(part("tf")).alias("top"), F.aggregate(part("tf"), F.lit(0).cast("long"), lambda a, b: a + b).alias("total"), part("offset").alias("offsets"), part("tf").alias("counts"), part("positions").alias("positions"))
-    blocks.repartitionByRange("term", "cell").sortWithinPartitions("term", "cell").write.option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/blocks")
+    cells = rows.select(cell.alias("cell")).distinct().count()
+    dealt = rows.repartitionByRange(max(1, min(cells, MOST_FILES)), cell)
+    found = inverted_index(dealt, "__text", "__id").select("term", cell.alias("cell"), (F.col("__id") - cell * CELL).cast("int").alias("offset"), "tf", "positions")
+    _packed(found.sortWithinPartitions("term", "cell", "offset")).write.option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/blocks")
     rows.where(F.trim("__text") != "").agg(F.count(F.lit(1)).alias("documents"), F.lit(key).alias("key")).write.parquet(f"{path}/about")
     return open_index(df.sparkSession, path)
 

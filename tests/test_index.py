@@ -103,3 +103,15 @@ def test_postings_shuffle_nothing(spark):
     for found in (an.inverted_index(df), an.query_postings(df, "ash")):
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert an.or_query(df, "ash oak")._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+
+
+def test_files_hold_whole_cells(built):
+    """Documents are dealt, not postings: a cell is one file's, in which blocks are sorted."""
+    index, _, _ = built
+    where = defaultdict(set)
+    files = defaultdict(list)
+    for r in index.blocks.selectExpr("input_file_name() as f", "term", "cell").collect():
+        where[r.cell].add(r.f)
+        files[r.f].append((r.term, r.cell))
+    assert len(where) > 5 and all(len(f) == 1 for f in where.values())
+    assert all(blocks == sorted(set(blocks)) for blocks in files.values())
