@@ -147,6 +147,12 @@ def test_scaling_series_shuffles_no_points(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_dictionary_matches_holds_no_groups_of_a_scan(spark):
+    """All aggregates of matches are behind the exchange that deals them; none is held by the task that scans."""
+    plan = _plan(queries.QUERIES["dictionary_matches"](spark, SF))
+    assert f", {queries._DOCUMENT_PARTS})" in plan and plan.index(f", {queries._DOCUMENT_PARTS})") > plan.rindex("min(pos")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 30
     assert set(entry.oracle_sql()) <= set(entry.queries())
