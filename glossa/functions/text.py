@@ -5,7 +5,11 @@ Lengths and offsets count code points, 0-based where they are positions.
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -106,9 +110,16 @@ def strip_marks(text: Column) -> Column:
     Plain ASCII has nothing to change, so such texts never leave the JVM.
     """
 
-    @F.pandas_udf(StringType())
-    def strip(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFKD").str.replace("[\u0300-\u036f]", "", regex=True).str.normalize("NFKC")
+    # A text at a time: a batch's texts are held once as they come and once as they go.
+    @F.arrow_udf(StringType())
+    def strip(texts: pa.Array) -> pa.Array:
+        def each() -> Iterator[str | None]:
+            for t in texts:
+                t = t.as_py()
+                yield None if t is None else unicodedata.normalize("NFKC", marks.sub("", unicodedata.normalize("NFKD", t)))
+
+        return pa.array(each(), pa.string())
 
+    marks = re.compile("[\u0300-\u036f]")
     plain = F.octet_length(text) == F.length(text)
     return F.when(plain, text).otherwise(strip(F.when(plain, F.lit(None).cast("string")).otherwise(text)))

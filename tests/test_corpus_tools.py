@@ -1,4 +1,6 @@
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +116,12 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     got = {(str(r["start"])[11:16], r["term"]): r["count"] for r in spark.table("terms").collect()}
     assert got["00:00", "alpha"] == 10 and got["00:10", "beta"] == 10
+
+
+def test_marks_are_stripped_a_text_at_a_time(spark):
+    """The same forms as pandas gives, and no series of whole batches."""
+    texts = ["Éaux", "ﬁn ①", "e\u0301\u0302", "\u0345x", "plain", "", None, "한국 Ω"]
+    want = [t and unicodedata.normalize("NFKC", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", t))) for t in texts]
+    out = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", tx.strip_marks(F.col("t")).alias("t"))
+    assert [r.t for r in out.orderBy("k").collect()] == want
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString() and not hasattr(tx, "pd")
