@@ -115,3 +115,9 @@ def test_files_hold_whole_cells(built):
         files[r.f].append((r.term, r.cell))
     assert len(where) > 5 and all(len(f) == 1 for f in where.values())
     assert all(blocks == sorted(set(blocks)) for blocks in files.values())
+
+
+def test_words_are_sorted_without_a_comparator(spark):
+    df = an.inverted_index(spark.createDataFrame([(1, "oak ash oak")], "doc_id long, text string"))
+    assert sorted(tuple(r) for r in df.collect()) == [("ash", 1, 1, [1]), ("oak", 1, 2, [0, 2])]
+    assert "array_sort" not in df._jdf.queryExecution().optimizedPlan().toString()
