@@ -36,10 +36,15 @@ def is_stop_word(word: Column) -> Column:
     return F.lower(word).isin(STOP_WORDS)
 
 
+def token_pattern(lowercase: bool = True) -> str:
+    """A token's pattern, which Java and Python read alike."""
+    inner = TOKEN_CHARS.removesuffix("'") if lowercase else "A-Z" + TOKEN_CHARS.removesuffix("'")
+    return f"[{inner}](?:[{inner}']*[{inner}])?"
+
+
 def tokens(text: Column, lowercase: bool = True, remove_stop_words: bool = False) -> Column:
     """Array of a text's tokens in order, runs of token characters without the apostrophes at their edges; null gives null."""
-    inner = TOKEN_CHARS.removesuffix("'") if lowercase else "A-Z" + TOKEN_CHARS.removesuffix("'")
-    found = F.regexp_extract_all(F.lower(text) if lowercase else text, F.lit(f"[{inner}](?:[{inner}']*[{inner}])?"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text) if lowercase else text, F.lit(token_pattern(lowercase)), F.lit(0))
     if not remove_stop_words:
         return found
     return F.filter(found, lambda t: ~(t.isin(STOP_WORDS) if lowercase else is_stop_word(t)))

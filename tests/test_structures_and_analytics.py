@@ -1,9 +1,13 @@
+import math
 import os
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from glossa.functions.text import STOP_WORDS
 from glossa.operators import analytics as an
 from glossa.operators import structures as st
 from glossa.operators.matching import ValidationError
@@ -93,3 +97,36 @@ def test_similarity(spark):
     assert [r["cosine"] for r in empty] == [0.0, 1.0]
     with pytest.raises(ValidationError):
         an.similarity(spark.createDataFrame([("a", "b")], "text string, textB string"), method="none")
+
+
+def test_cosine_counts_terms_without_lambdas(spark):
+    rng = random.Random(14)
+    some = ["oak", "Oak", "ÉLAN", "élan", "it's", "'ash'", "the", "x1", "ɏ", "a'", "'", "日本", "fir-elm"]
+    texts = ["", None, "the of", "' ''", *(" ".join(rng.choices(some, k=rng.randrange(1, 60))) for _ in range(600))]
+    pairs = [(i, *rng.choices(texts[:4] if i < 30 else texts, k=2)) for i in range(700)]
+    rows = an.similarity(spark.createDataFrame(pairs, "i long, text string, textB string").repartition(2))
+
+    def counts(text):
+        found = (w.strip("'") for w in re.findall("[a-z0-9\u00c0-\u024f']+", text.lower()))
+        return Counter(w for w in found if w and w not in STOP_WORDS)
+
+    got = {r["i"]: r for r in rows.select("i", "score", "contributions", "sharedTerms").collect()}
+    assert len(got) == len(pairs)
+    for i, a, b in pairs:
+        if a is None or b is None:
+            assert got[i]["score"] == 0.0 and got[i]["contributions"] is None
+            continue
+        x, y = counts(a), counts(b)
+        products = sorted((-x[t] * y[t], t) for t in x if t in y)
+        squares = sum(n * n for n in x.values()) * sum(n * n for n in y.values())
+        assert got[i]["score"] == (math.floor(-sum(p for p, _ in products) / math.sqrt(squares) * 10000 + 0.5) / 10000 if squares else 0.0)
+        assert [(-c["product"], c["term"]) for c in got[i]["contributions"]] == products
+        assert sorted(got[i]["sharedTerms"]) == sorted(t for _, t in products)
+    for column in ("score", "contributions"):
+        assert "lambdafunction" not in rows.select("i", column)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cosine_of_texts_whose_squares_multiply_beyond_a_long(spark):
+    text = "oak " * 60_000
+    row = an.similarity(spark.createDataFrame([(text, text + "ash")], "text string, textB string")).select("score", "contributions").first()
+    assert row["score"] == 1.0 and [tuple(c) for c in row["contributions"]] == [(3_600_000_000, "oak")]
