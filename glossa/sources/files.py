@@ -115,14 +115,17 @@ def preview(df: DataFrame, offset: int = 0, limit: int = 5000, text: str = "text
     return df.withColumns({"preview": F.substring(t, offset + 1, limit), "total": F.length(t), "hasMore": F.length(t) > offset + limit})
 
 
-def preprocess_preview(df: DataFrame, config: dict[str, bool], text: str = "text", key: str | None = None, shown: int = 3000) -> DataFrame:
+def preprocess_preview(df: DataFrame, config: dict[str, bool], text: str = "text", key: str | None = None, shown: int = 3000, refuse: bool = True) -> DataFrame:
     """Per text, without storing anything: ``steps, before, after, truncated``, after the ``key`` if one is named.
 
     ``before`` and ``after`` have characters, lines, words, distinct words and the beginning
-    of the text; blank texts are refused.
+    of the text.  Empty and null texts are refused, as a request's is; with ``refuse`` off, as
+    for a whole table, they are rows too: an empty text has nothing of each, a null one nulls.
     """
     t = F.col(text)
-    given = df.select(F.when(F.coalesce(t, F.lit("")) == "", F.raise_error(F.lit("nothing to preprocess"))).otherwise(t).alias("__given"), *([F.col(key)] if key else []))
+    if refuse:
+        t = F.when(F.coalesce(t, F.lit("")) == "", F.raise_error(F.lit("nothing to preprocess"))).otherwise(t)
+    given = df.select(t.alias("__given"), *([F.col(key)] if key else []))
     rows = preprocess(given, config, "__given", "__made", "__r")
 
     def side(which: str, made: str) -> Column:

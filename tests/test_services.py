@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossa.operators import counters as co
 from glossa.operators import structures as st
 from glossa.operators.matching import ValidationError
-from glossa.plans import benchmark, dashboard, experiments, learning, recommender, registry, traces
+from glossa.plans import benchmark, dashboard, experiments, learning, queries, recommender, registry, traces
 from glossa.plans.registry import Input, execute
 from glossa.sources import files, workloads
 from glossa.sources.store import Store
@@ -280,3 +280,17 @@ def test_previews_and_payloads(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).first()["title"] == "t"
     files.export_payload(spark, "t", [{"a": 1}, {"b": "x,y"}], str(tmp_path / "c"), "csv")
     assert [tuple(r) for r in spark.read.csv(str(tmp_path / "c"), header=True).collect()] == [("1", None), (None, "x,y")]
+
+
+def test_preview_of_a_table_keeps_empty_and_null_texts(spark, tmp_path):
+    import duckdb
+
+    df = spark.createDataFrame([(1, "The cat!"), (2, ""), (3, None), (4, " \n")], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.QUERIES["preprocess_preview"](spark, str(tmp_path))
+    sql = queries.ORACLE_SQL["preprocess_preview"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duckdb.sql(sql)
+    assert sorted(map(tuple, out.select(*want.columns).collect()), key=lambda r: r[0]) == sorted(want.fetchall(), key=lambda r: r[0])
+    # A request's empty text is refused still.
+    with pytest.raises(Exception, match="nothing to preprocess"):
+        files.preprocess_preview(df, {"lowercase": True}).collect()
