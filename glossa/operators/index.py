@@ -3,7 +3,8 @@
 A term's postings are cut into blocks of CELL neighbouring document ids, so no block
 grows with the corpus and blocks of one cell, whatever their terms, can be merged on
 their own.  A block has its postings as offsets to the cell's first id, with their
-counts and places, and the largest count as a bound.  A file has the blocks of some
+counts and all their places, and the largest count as a bound; postings with more than
+MOST_PLACES places together are several blocks.  A file has the blocks of some
 neighbouring cells, sorted by term, so a query reads the row groups of its terms only.
 """
 
@@ -22,6 +23,8 @@ from .analytics import inverted_index, query_terms
 
 #: Document ids of a cell.
 CELL = 4096
+#: Places of a block at most, but for those of its last posting.
+MOST_PLACES = 1 << 17
 #: Cells that are scored first to learn what a further cell has to reach.
 FIRST_CELLS = 64
 #: Rows of a row group are few, so that a term's blocks are found by the group's least and largest term.
@@ -62,6 +65,10 @@ def _packed(postings: DataFrame) -> DataFrame:
                 continue
             new = [np.asarray(pc.not_equal(c[1:], c[:-1])) for c in rows.columns[:2]]
             starts = np.append(0, np.flatnonzero(new[0] | new[1]) + 1)
+            # A block also ends where its places are enough.
+            before = np.cumsum(rows.column(3)) - np.asarray(rows.column(3))
+            full = (before - np.repeat(before[starts], np.diff(np.append(starts, len(rows))))) // MOST_PLACES
+            starts = np.union1d(starts, np.flatnonzero(full[1:] != full[:-1]) + 1)
             held = rows.slice(starts[-1])  # the last block may go on
             if len(starts) > 1:
                 yield blocks(rows.slice(0, starts[-1]), starts[:-1])
@@ -75,13 +82,13 @@ def build_index(df: DataFrame, path: str, text: str = "text", key: str = "doc_id
     """Write the index of ``df``, whose keys are whole numbers and unique, to ``path`` and open it.
 
     Documents without terms have no postings; rows with a null key or text are left out.
-    Documents are dealt to files by cells, so that postings need no shuffle of their own.
+    Every place of a term is kept.  Documents are dealt to files by cells, so that postings need no shuffle of their own.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text"))
     cell = F.floor(F.col("__id") / CELL)
     cells = rows.select(cell.alias("cell")).distinct().count()
     dealt = rows.repartitionByRange(max(1, min(cells, MOST_FILES)), cell)
-    found = inverted_index(dealt, "__text", "__id").select("term", cell.alias("cell"), (F.col("__id") - cell * CELL).cast("int").alias("offset"), "tf", "positions")
+    found = inverted_index(dealt, "__text", "__id", most_positions=None).select("term", cell.alias("cell"), (F.col("__id") - cell * CELL).cast("int").alias("offset"), "tf", "positions")
     _packed(found.sortWithinPartitions("term", "cell", "offset")).write.option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/blocks")
     rows.where(F.trim("__text") != "").agg(F.count(F.lit(1)).alias("documents"), F.lit(key).alias("key")).write.parquet(f"{path}/about")
     return open_index(df.sparkSession, path)
@@ -100,7 +107,7 @@ def and_query(index: Index, query: str) -> DataFrame:
     """``key`` of the documents that have all terms of the query; none if it has no terms or one isn't indexed.
 
     Cells without the rarest term are left out before any list is read further; within a
-    cell lists are intersected shortest first.
+    cell a term's blocks are one list, and lists are intersected shortest first.
     """
     wanted = query_terms(query)
     blocks = index.of(wanted)
@@ -109,8 +116,11 @@ def and_query(index: Index, query: str) -> DataFrame:
         return index.blocks.where(F.lit(False)).select(_ids(F.lit(0)).alias(index.key))
     rarest = min(wanted, key=lambda t: (sizes[t], wanted.index(t)))
     cells = index.of([rarest]).select("cell")
-    rows = blocks.select("cell", F.struct("n", "offsets").alias("list")).join(cells, "cell", "left_semi")
-    merged = rows.groupBy("cell").agg(F.array_sort(F.collect_list("list")).alias("lists")).where(F.size("lists") == len(wanted))
+    rows = blocks.select("cell", F.struct("term", "offsets").alias("list")).join(cells, "cell", "left_semi")
+    of = lambda term: F.flatten(F.transform(F.filter("lists", lambda x: x["term"] == term), lambda x: x["offsets"]))
+    whole = rows.groupBy("cell").agg(F.collect_list("list").alias("lists")).select("cell", F.transform(F.array(*[F.lit(w) for w in wanted]), of).alias("lists"))
+    by_size = F.array_sort(F.transform("lists", lambda x: F.struct(F.size(x).alias("n"), x.alias("offsets"))))
+    merged = whole.where(F.forall("lists", lambda x: F.size(x) > 0)).select("cell", by_size.alias("lists"))
     both = F.aggregate(F.slice("lists", 2, len(wanted)), F.get("lists", F.lit(0))["offsets"], lambda got, x: F.when(F.size(got) == 0, got).otherwise(F.array_intersect(got, x["offsets"])))
     return merged.select("cell", F.explode(both).alias("offset")).select(_ids(F.col("offset")).alias(index.key))
 

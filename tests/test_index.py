@@ -121,3 +121,25 @@ def test_words_are_sorted_without_a_comparator(spark):
     df = an.inverted_index(spark.createDataFrame([(1, "oak ash oak")], "doc_id long, text string"))
     assert sorted(tuple(r) for r in df.collect()) == [("ash", 1, 1, [1]), ("oak", 1, 2, [0, 2])]
     assert "array_sort" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_place_is_kept_in_bounded_blocks(spark, monkeypatch):
+    """A term's places beyond the 50th are in the index; blocks that end by their places answer as whole ones do."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(["ash", "oak", "elm"], weights=[i % 7, 1, 0.1], k=rng.randrange(200)))) for i in range(60)]
+    df = spark.createDataFrame([*rows, (70, "fir " * 300)], "doc_id long, text string").repartition(3)
+    lists = postings([*rows, (70, "fir " * 300)])
+    for most in (ix.MOST_PLACES, 256):
+        monkeypatch.setattr(ix, "MOST_PLACES", most)
+        index = ix.build_index(df, scratch.new_folder(spark, "index-test"))
+        blocks = index.blocks.collect()
+        assert (max(Counter((r.term, r.cell) for r in blocks).values()) > 2) == (most == 256)
+        assert all(r.total - r.counts[-1] <= most for r in blocks)
+        assert {(r.term, r.doc_id): (r.tf, r.positions) for r in ix.query_postings(index, "ash oak elm fir").collect()} == {(w, d): (len(p), p) for w in lists for d, p in lists[w].items()}
+        for query in ("ash", "ash oak", "elm oak ash", "ash fir"):
+            wanted = query.split()
+            assert Counter(r[0] for r in ix.and_query(index, query).collect()) == Counter(set.intersection(*[set(lists[w]) for w in wanted]))
+            assert [tuple(r)[:4] for r in ix.or_query(index, query, 5).orderBy("rank").collect()] == [w[:4] for w in ranked(lists, wanted)[:5]]
+        stats = ix.index_stats(index).first()
+        assert (stats.terms, stats.postings) == (4, sum(map(len, lists.values())))
+        assert [(r.df, r.totalTf) for r in ix.top_terms(index).orderBy("rank").collect()] == sorted(((len(p), sum(map(len, p.values()))) for p in lists.values()), reverse=True)
