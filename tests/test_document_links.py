@@ -119,3 +119,34 @@ def test_long_pair(spark):
     assert "".join(s[1] for s in script) == a and "".join(s[2] for s in script) == b
     edits = sum(s[0] != "match" for s in script)
     assert edits == spark.range(1).select(F.levenshtein(F.lit(a), F.lit(b))).first()[0] == len(a) - len(b)
+
+
+def test_frequent_terms_are_multiplied_and_others_looked_up(monkeypatch):
+    """Two blocks, whether their strips' pairs are verified one by one or as matrices: each vector's links are those of whole numbers, some exactly at the bound."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(li, "STRIP", 16)
+    rng = np.random.default_rng(2)
+    sparse = rng.random((8, 60)) < 0.3
+    rows = [np.where(rng.random(60) < 0.08, rng.integers(1, 4, 60), sparse[rng.integers(8)] * 2) for _ in range(70)]
+    rows = [r for r in rows if r.any()] + [np.eye(60, dtype=int)[0] * 4 + np.eye(60, dtype=int)[1] * 3, np.eye(60, dtype=int)[0]]
+    names = np.concatenate([np.arange(20), -(np.arange(40) * 1_000_003 + 1)])  # places of frequent terms, and names of others
+
+    def block(some, first):
+        return li.Block(pa.array(range(first, first + len(some))), pa.array([1 + k % 3 for k in range(len(some))]), pa.array([int((r > 0).sum()) for r in some]), np.concatenate([names[r > 0] for r in some]), np.concatenate([r[r > 0] for r in some]).astype(np.int32))
+
+    x, y = block(rows, 0), block(rows[::-1], 100)
+    table = np.array(rows)
+    dots, square = table @ table.T, (table**2).sum(1)
+    links = 25 * dots**2 >= 16 * np.outer(square, square)
+    assert links[-2, -1] and links.sum() > 300
+    for few in (0, 1000):
+        monkeypatch.setattr(li, "FEW", few)
+        mine, theirs, a, b = li._linked(x, y, 4, 5)
+        assert (mine == links[:, ::-1] @ y.many).all() and (theirs == links[:, ::-1].T @ x.many).all()
+        assert links[:, ::-1][a, b].all() and len(a) < 2 * (links.shape[0] + links.shape[1]) * 25
+        n = len(rows)
+        every = np.nonzero(links[:, ::-1])
+        assert (li._least(2 * n, a, b + n) == li._least(2 * n, every[0], every[1] + n)).all()
+        mine, theirs, a, b = li._linked(x, x, 4, 5)
+        assert (mine + theirs == (links & ~np.eye(n, dtype=bool)) @ x.many).all()
